@@ -40,14 +40,14 @@ def settle(line: Timeline, hysteresis: int = HYSTERESIS) -> Timeline:
     )
     tick = F.col("tick")
     inner = F.col("_said").isNotNull() & F.col("_base").isNotNull() & (F.col("_len") >= hysteresis)
-    summary = runs.summarise({
+    aggregates = {
         "_first_class": F.min_by("_said", F.when(certain, tick)),
         "_last_class": F.max_by("_said", F.when(certain, tick)),
         "_certain": F.max("_cc"),
         "_last_base": F.max("_base"),
         "_head": F.max(F.when(F.col("_base").isNull(), F.col("_cc"))),
         "_inner_settled": F.max_by("_said", F.when(inner, tick)),
-    })
+    }
 
     def derive(s: DataFrame, w: SegmentWindows) -> DataFrame:
         head_goes_on = F.col("_first_class") == F.col("_cand_in")
@@ -68,7 +68,8 @@ def settle(line: Timeline, hysteresis: int = HYSTERESIS) -> Timeline:
             .withColumn("_settled_in", F.last("_settles", ignorenulls=True).over(w.before()))
         )
 
-    out = runs.carry(summary, derive, ["_cand_in", "_count_in", "_settled_in"])
+    out = runs.carry(
+        aggregates, derive, {"_cand_in": "string", "_count_in": "long", "_settled_in": "string"})
     from_past = F.col("_base").isNull() & (
         F.col("_now").isNull() | (F.col("_now") == F.col("_cand_in")))
     settles = F.last(F.when(F.col("_said").isNotNull() & F.col("stable"), F.col("_said")),
@@ -90,8 +91,8 @@ def dwell(line: Timeline, tick_seconds: float = TICK_SECONDS) -> Timeline:
     """Adds dwell_s (age of the settled state) and prior_duration_s (age of the one before)."""
     mark = F.when(F.col("changed"), F.col("tick"))
     out = line.carry(
-        line.summarise({"_mark": F.max(mark)}),
-        lambda s, w: s.withColumn("_since_in", F.max("_mark").over(w.before())), ["_since_in"])
+        {"_mark": F.max(mark)},
+        lambda s, w: s.withColumn("_since_in", F.max("_mark").over(w.before())), {"_since_in": "long"})
     since = lambda w: F.coalesce(F.max(mark).over(w), F.col("_since_in"), F.lit(0))
     rows = (
         out.rows

@@ -93,29 +93,24 @@ class Timeline:
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.key, "seg")
 
-    def hot_rows(self) -> DataFrame:
-        return self.rows.where("hot")
+    def carry(self, aggregates: Mapping[str, Column],
+              derive: Callable[[DataFrame, SegmentWindows], DataFrame],
+              columns: Mapping[str, str], rows: DataFrame | None = None) -> Timeline:
+        """Join `columns` (name -> type), derived from per-segment aggregates, to the rows.
 
-    def carry(self, summary: DataFrame,
-              derive: Callable[[DataFrame, SegmentWindows], DataFrame], columns: list[str]) -> Timeline:
-        """Join `columns`, derived from the per-segment `summary`, to the rows of each segment.
-
-        The carries (one row per hot segment) are checkpointed: a chain of carries then stays a
-        chain, where nested plans would double with every step.
+        Only hot series are aggregated. The carries (one row per hot segment) are checkpointed: a
+        chain of carries then stays a chain, where nested plans would double with every step.
         """
-        keys = [*self.key, "seg"]
-        carried = derive(summary, SegmentWindows(self.key)).select(*keys, *columns)
         if not self.segmented:
-            types = {f.name: f.dataType for f in carried.schema}
             return self.with_rows(self.rows.withColumns(
-                {c: F.lit(None).cast(types[c]) for c in columns}))
+                {c: F.lit(None).cast(t) for c, t in columns.items()}))
+        keys = [*self.key, "seg"]
+        source = self.rows.where("hot") if rows is None else rows
+        summary = source.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+        carried = derive(summary, SegmentWindows(self.key)).select(
+            *keys, *[F.col(c).cast(t) for c, t in columns.items()])
         return self.with_rows(self.rows.join(checkpointed(carried), keys, "left"))
 
-    def summarise(self, aggregates: Mapping[str, Column], rows: DataFrame | None = None) -> DataFrame:
-        """Per-segment aggregates of the hot series."""
-        source = self.hot_rows() if rows is None else rows
-        return source.groupBy(*self.key, "seg").agg(*[c.alias(n) for n, c in aggregates.items()])
-
 
 @dataclass(frozen=True)
 class SegmentWindows:
@@ -143,8 +138,8 @@ def with_ordinal(line: Timeline, name: str = "seq", total: str | None = None) ->
         out = summary.withColumn("_off", F.coalesce(F.sum("_n").over(w.before()), F.lit(0)))
         return out.withColumn("_total", F.sum("_n").over(w.whole())) if total else out
 
-    carried = ["_off", "_total"] if total else ["_off"]
-    out = line.carry(line.summarise({"_n": F.count("*")}), derive, carried)
+    carried = {"_off": "long", "_total": "long"} if total else {"_off": "long"}
+    out = line.carry({"_n": F.count("*")}, derive, carried)
     rows = out.rows.withColumn(
         name, F.row_number().over(line.local()) - 1 + F.coalesce("_off", F.lit(0)))
     if total:
@@ -154,13 +149,12 @@ def with_ordinal(line: Timeline, name: str = "seq", total: str | None = None) ->
 
 def with_neighbours(line: Timeline, value: str, seq: str, before: str, after: str) -> Timeline:
     """`value` of the previous and the next row of the series."""
-    summary = line.summarise(
-        {"_first": F.min_by(value, seq), "_last": F.max_by(value, seq)})
+    kind = line.rows.schema[value].dataType.simpleString()
     out = line.carry(
-        summary,
+        {"_first": F.min_by(value, seq), "_last": F.max_by(value, seq)},
         lambda s, w: s.withColumn("_prev", F.lag("_last").over(w.ordered()))
         .withColumn("_next", F.lead("_first").over(w.ordered())),
-        ["_prev", "_next"])
+        {"_prev": kind, "_next": kind})
     edge = Window.partitionBy(*line.key, "seg").orderBy(seq)
     rows = (
         out.rows
@@ -180,13 +174,13 @@ def with_tail(line: Timeline, item: Column, size: int, seq: str, name: str) -> T
             Window.partitionBy(*line.key, "seg").orderBy(F.col(seq).desc())))
         .where(F.col("_r") <= keep)
     )
-    summary = line.summarise({"_tail": F.sort_array(F.collect_list("_item"))}, ranked)
+    kind = picked.schema["_item"].dataType.simpleString()
     out = line.with_rows(picked).carry(
-        summary,
+        {"_tail": F.sort_array(F.collect_list("_item"))},
         # every segment has a row, so the last `keep` segments always suffice
         lambda s, w: s.withColumn(
             "_past", F.flatten(F.collect_list("_tail").over(w.before(keep)))),
-        ["_past"])
+        {"_past": f"array<{kind}>"}, rows=ranked)
     frame = Window.partitionBy(*line.key, "seg").orderBy(seq).rowsBetween(-keep, 0)
     near = F.collect_list("_item").over(frame)
     joined = F.when(

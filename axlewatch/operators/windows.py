@@ -117,15 +117,13 @@ def brake_activity(line: Timeline, decay: float = BRAKE_DECAY) -> Timeline:
         .withColumn("_i", F.row_number().over(at))
         .withColumn("_log", F.max(F.when(
             F.col("brake_use") > 0, F.ln("brake_use") - F.col("_i") * step)).over(upto)))
-    summary = base.summarise({"_rows": F.max("_i"), "_peak": F.max("_log")})
-
     def derive(s: DataFrame, w: SegmentWindows) -> DataFrame:
         start = F.coalesce(F.sum("_rows").over(w.before()), F.lit(0))
         return (s.withColumn("_start", start)
                 .withColumn("_past", F.max(F.col("_peak") - F.col("_start") * step).over(w.before())
                             + F.col("_start") * step))
 
-    out = base.carry(summary, derive, ["_past"])
+    out = base.carry({"_rows": F.max("_i"), "_peak": F.max("_log")}, derive, {"_past": "double"})
     peak = F.exp(F.greatest("_log", "_past") + F.col("_i") * step)
     rows = out.rows.withColumn("brake_activity", F.coalesce(peak, F.lit(0.0)))
     return out.with_rows(rows.drop("_i", "_log", "_past"))

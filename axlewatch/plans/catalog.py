@@ -1,6 +1,8 @@
 """All registered queries and their SQL forms."""
 
-from axlewatch.plans import alarm_queries, history_queries  # noqa: F401
+from axlewatch.plans import (  # noqa: F401
+    alarm_queries, history_queries, scoring_queries, window_queries,
+)
 from axlewatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

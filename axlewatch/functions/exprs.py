@@ -78,10 +78,16 @@ def duration_text(seconds: Column) -> Column:
 
 # ---------------------------------------------------------------- predictions
 
+def bind(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    shares = lambda e: bind(total(e), lambda s: F.transform(e, lambda x: x / s))
+    return bind(F.array_max(logits), lambda top: bind(
+        F.transform(logits, lambda x: F.exp(x - top)), shares))
 
 
 def argmax(values: Column) -> Column:
@@ -146,6 +152,13 @@ def unknown_anomaly(error: Column, threshold: Column, pred: Column) -> Column:
     return (error > threshold) & (pred == "normal")
 
 
+# ---------------------------------------------------------------- rounding
+
+def round_even(value: Column, digits: int) -> Column:
+    """Rounds the scaled binary value half to even, as the stored telemetry was rounded."""
+    return F.rint(value * 10.0 ** digits) / 10.0 ** digits
+
+
 # ---------------------------------------------------------------- vehicle physics
 
 def is_stationary(speed_kmh: Column) -> Column:

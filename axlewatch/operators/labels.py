@@ -47,7 +47,7 @@ def chronological_split(df: DataFrame, ts: str = "timestamp", share: float = SPL
 
 def round_floats(df: DataFrame, digits: int = 4) -> DataFrame:
     doubles = {n for n, t in df.dtypes if t == "double"}
-    return df.select(*[F.round(c, digits).alias(c) if c in doubles else c for c in df.columns])
+    return df.select(*[X.round_even(F.col(c), digits).alias(c) if c in doubles else c for c in df.columns])
 
 
 def label_distribution(split: DataFrame) -> DataFrame:

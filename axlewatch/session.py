@@ -25,12 +25,11 @@ def build_session(app: str = "axlewatch", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise through the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for checkpoints and intermediate tables that every executor can reach.
 
-    The folder comes from `spark.checkpoint.dir`. Only a local session without one gets its own.
+    It is the one named by `spark.checkpoint.dir`. Only a local session without one gets its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +38,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="axlewatch-checkpoint-")
         context.setCheckpointDir(folder)
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Materialise through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

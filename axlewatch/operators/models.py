@@ -87,7 +87,11 @@ def window_vectors(line: Timeline, scaler: Scaler, size: int = WINDOW_ROWS,
     """Scaled windows flattened to one vector; labels and severity code of the last row."""
     make = fit_val_split if split else sliding_sequences
     rows = make(line, scaler.item(), size, stride).rows
-    return rows.withColumn("features", array_to_vector(F.flatten("window"))).withColumn(
+    flat = F.flatten("window")
+    # Spark may test a score before it drops incomplete windows, so those get a full width too
+    blank = F.array_repeat(F.lit(0.0), size * len(scaler.features))
+    full = F.when(F.size("window") == size, flat).otherwise(blank)
+    return rows.withColumn("features", array_to_vector(full)).withColumn(
         "severity_code", X.severity_code(F.col("fault_severity"))).drop("window")
 
 

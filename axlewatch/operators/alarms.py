@@ -149,7 +149,7 @@ def nearest_defect(rows: DataFrame, defects: DataFrame, slack_km: float = 0.8) -
     ranked = F.transform("_defects", lambda d: F.struct(
         distance(d).alias("distance"), d["ord"].alias("ord"), d.alias("d")))
     return (
-        rows.join(sized_broadcast(per_line), "line_id", "left")
+        rows.join(sized_broadcast(per_line, F.size("_defects")), "line_id", "left")
         .withColumn("_near", F.array_min(ranked))
         .withColumn("_hit", F.when(
             F.col("_near.distance") <= F.col("_near.d.width_km") + slack_km, F.col("_near")))

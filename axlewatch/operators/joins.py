@@ -42,7 +42,7 @@ def defect_zone_join(rows: DataFrame, defects: DataFrame) -> DataFrame:
         F.abs(F.col("track_km") - d["km"]) <= d["width_km"]) & (F.col("speed_kmh") > SLOW_KMH))
     takes = F.col("_hit").isNotNull() & (F.col("fault_type") == "normal")
     return (
-        rows.join(sized_broadcast(per_line), "line_id", "left")
+        rows.join(sized_broadcast(per_line, F.size("_defects")), "line_id", "left")
         .withColumn("_hit", hit)
         .withColumn("zone_defect", F.col("_hit.defect_id"))
         .withColumn("zone_severity", X.defect_severity(F.col("_hit.kind"), F.col("speed_kmh")))
@@ -66,7 +66,7 @@ def episode_label_join(rows: DataFrame, episodes: DataFrame, step: str = "seq",
     level = X.severity_profile(at, F.col("_e.start_step"), F.col("_e.len_steps"))
     return (
         rows.withColumn("_bucket", F.floor(at / width).cast("long"))
-        .join(sized_broadcast(lookup), ["axle_key", "_bucket"], "left")
+        .join(sized_broadcast(lookup, F.size("_episodes")), ["axle_key", "_bucket"], "left")
         .withColumn("_e", first_match("_episodes", covers))
         .withColumn("episode_level", F.coalesce(level, F.lit(0.0)))
         .withColumn("episode_label", F.when(

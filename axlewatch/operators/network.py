@@ -140,7 +140,7 @@ def locate_on_line(rows: DataFrame, stations: DataFrame, km: str = "track_km",
     position = lambda c: F.when(outside.isNotNull(), outside[c]).otherwise(between(c))
     return (
         rows.withColumn("_bucket", F.floor(at / width_km).cast("long"))
-        .join(sized_broadcast(lookup), ["line_id", "_bucket"], "left")
+        .join(sized_broadcast(lookup, F.size("_legs")), ["line_id", "_bucket"], "left")
         .join(sized_broadcast(ends), "line_id", "left")
         .withColumn("_leg", first_match(
             "_legs", lambda g: (g["a"]["km"] <= at) & (at <= g["b"]["km"])))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from axlewatch.operators.segments import running_sums
 from axlewatch.schemas import METRIC_EVERY
+from axlewatch.session import checkpointed
 
 
 def _zero_safe(a: Column, b: Column) -> Column:
@@ -139,37 +140,34 @@ def unknown_anomaly_axles(predictions: DataFrame) -> DataFrame:
     return predictions.where("unknown_anomaly").select("tick", "axle_key", "anomaly_score")
 
 
-def tick_scores(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("tick").agg(
+def accuracy_trend(scored: DataFrame, keep: int = 120) -> DataFrame:
+    """Cumulative accuracy after each tick; the last `keep` ticks."""
+    per_tick = scored.groupBy("tick").agg(
         F.count_if("evaluated").alias("evaluated"), F.count_if("correct").alias("correct"),
         F.count_if("severity_correct").alias("severity_correct"))
-
-
-def accuracy_trend(scored: DataFrame, keep: int | None = 120) -> DataFrame:
-    """Cumulative accuracy after each tick; the last `keep` ticks."""
-    sums = running_sums(tick_scores(scored), [], "tick", {
+    sums = running_sums(per_tick, [], "tick", {
         "total": "evaluated", "hits": "correct", "severity_hits": "severity_correct"})
     trend = sums.select(
         "tick", "total", "hits", F.when(F.col("total") > 0, F.col("hits") / F.col("total")).alias("acc"),
         F.when(F.col("total") > 0, F.col("severity_hits") / F.col("total")).alias("severity_acc"))
-    if keep is None:
-        return trend
-    last = scored.agg(F.max("tick")).scalar()
-    return trend.where(F.col("tick") > last - keep)
+    return trend.orderBy(F.desc("tick")).limit(keep)
 
 
 def running_confusion(scored: DataFrame, classes: list[str]) -> DataFrame:
-    """Cumulative confusion matrix after each tick: one row per tick, one column per cell."""
+    """Cumulative counts after each tick: severity hits and one column per confusion cell."""
     cells = [(a, p) for a in classes for p in classes]
     hit = lambda a, p: F.col("evaluated") & (F.col("actual") == a) & (F.col("pred") == p)
-    per_tick = scored.groupBy("tick").agg(*[
-        F.count_if(hit(a, p)).alias(f"_n_{a}_{p}") for a, p in cells])
-    out = running_sums(per_tick, [], "tick", {f"{a}__{p}": f"_n_{a}_{p}" for a, p in cells})
-    return out.select("tick", *[f"{a}__{p}" for a, p in cells])
+    per_tick = scored.groupBy("tick").agg(
+        F.count_if("evaluated").alias("_n"), F.count_if("severity_correct").alias("_severity"),
+        *[F.count_if(hit(a, p)).alias(f"_n_{a}_{p}") for a, p in cells])
+    return running_sums(per_tick, [], "tick", {
+        "evaluated": "_n", "severity_hits": "_severity",
+        **{f"{a}__{p}": f"_n_{a}_{p}" for a, p in cells}}).select(
+        "tick", "evaluated", "severity_hits", *[f"{a}__{p}" for a, p in cells])
 
 
 def running_metrics(scored: DataFrame, classes: list[str], digits: int = 4) -> DataFrame:
-    """Cumulative accuracy, severity accuracy and live macro F1 after each tick."""
+    """Cumulative accuracy, severity accuracy and live macro F1 after each tick (NULL before any)."""
     cm = running_confusion(scored, classes)
     cell = lambda a, p: F.col(f"{a}__{p}")
     add = lambda cs: sum(cs[1:], cs[0])
@@ -181,12 +179,12 @@ def running_metrics(scored: DataFrame, classes: list[str], digits: int = 4) -> D
         f1 = _zero_safe(2 * precision * recall, precision + recall)
         f1s.append(F.when(support > 0, f1).otherwise(0.0))
         present.append(F.when(support > 0, 1).otherwise(0))
-    macro = cm.select("tick", F.round(_zero_safe(add(f1s), add(present)), digits).alias("macro_f1"))
-    trend = accuracy_trend(scored, keep=None).select(
-        "tick", F.col("total").alias("evaluated"), F.round("acc", digits).alias("accuracy"),
-        F.round("severity_acc", digits).alias("severity_accuracy"))
-    return trend.join(macro, "tick").withColumn(
-        "macro_f1", F.when(F.col("evaluated") > 0, F.col("macro_f1")))
+    n = F.col("evaluated")
+    shown = lambda c: F.when(n > 0, F.round(c, digits))
+    return cm.select(
+        "tick", "evaluated", shown(add([cell(c, c) for c in classes]) / n).alias("accuracy"),
+        shown(F.col("severity_hits") / n).alias("severity_accuracy"),
+        shown(_zero_safe(add(f1s), add(present))).alias("macro_f1"))
 
 
 def metric_snapshots(metrics: DataFrame, every: int = METRIC_EVERY) -> DataFrame:
@@ -195,7 +193,12 @@ def metric_snapshots(metrics: DataFrame, every: int = METRIC_EVERY) -> DataFrame
 
 
 def blind_metrics(metrics: DataFrame, blind: bool) -> DataFrame:
-    """In blind mode only the count is shown, until the last tick opens the aggregates."""
+    """In blind mode only the count is shown, until the last tick opens the aggregates.
+
+    `metrics` has one row per tick; it is stored, so that finding the last tick does not compute
+    it again.
+    """
+    metrics = checkpointed(metrics)
     last = metrics.agg(F.max("tick")).scalar()
     is_last = F.col("tick") >= last
     shown = is_last | F.lit(not blind)

@@ -12,6 +12,7 @@ an exchange nor a sort on the row side.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
@@ -46,7 +47,11 @@ def hot_series(df: DataFrame, key: list[str], ts: str, limit: int,
 
 @dataclass(frozen=True)
 class Timeline:
-    """Rows with a segment number (`seg`) and the flag `hot` of their series."""
+    """Rows with a segment number (`seg`) and the flag `hot` of their series.
+
+    All windows use the same partitioning and order, so a chain of operators shuffles and sorts
+    its rows once. The `order` columns must therefore stay among the rows.
+    """
 
     rows: DataFrame
     key: tuple[str, ...]
@@ -155,11 +160,10 @@ def with_neighbours(line: Timeline, value: str, seq: str, before: str, after: st
         lambda s, w: s.withColumn("_prev", F.lag("_last").over(w.ordered()))
         .withColumn("_next", F.lead("_first").over(w.ordered())),
         {"_prev": kind, "_next": kind})
-    edge = Window.partitionBy(*line.key, "seg").orderBy(seq)
     rows = (
         out.rows
-        .withColumn(before, F.coalesce(F.lag(value).over(edge), F.col("_prev")))
-        .withColumn(after, F.coalesce(F.lead(value).over(edge), F.col("_next")))
+        .withColumn(before, F.coalesce(F.lag(value).over(line.local()), F.col("_prev")))
+        .withColumn(after, F.coalesce(F.lead(value).over(line.local()), F.col("_next")))
     )
     return out.with_rows(rows.drop("_prev", "_next"))
 
@@ -181,8 +185,7 @@ def with_tail(line: Timeline, item: Column, size: int, seq: str, name: str) -> T
         lambda s, w: s.withColumn(
             "_past", F.flatten(F.collect_list("_tail").over(w.before(keep)))),
         {"_past": f"array<{kind}>"}, rows=ranked)
-    frame = Window.partitionBy(*line.key, "seg").orderBy(seq).rowsBetween(-keep, 0)
-    near = F.collect_list("_item").over(frame)
+    near = F.collect_list("_item").over(line.local().rowsBetween(-keep, 0))
     joined = F.when(
         F.col("_past").isNotNull() & (F.size("_near") < size), F.concat("_past", "_near")
     ).otherwise(F.col("_near"))
@@ -239,28 +242,46 @@ def running_sums(df: DataFrame, keys: list[str], at: str, sums: Mapping[str, str
     return joined.drop("_b", *[f"_s_{n}" for n in sums])
 
 
-def exact_percentile(df: DataFrame, value: str, share: float, tie: list[str]) -> DataFrame:
-    """Percentile with linear interpolation (one row, column `percentile`), by global position.
+def exact_percentile(df: DataFrame, value: str, share: float, tie: list[str],
+                     accuracy: int = 100_000) -> DataFrame:
+    """Percentile with linear interpolation (one row, column `percentile`).
 
-    `tie` are identity columns that spread rows of equal value over the partitions.
+    A sketch brackets the wanted position; only the rows inside the bracket are ranked, after the
+    rows below it are counted. `tie` are identity columns that spread rows of equal value.
     """
-    ranked = global_rank(
-        df.select(value, *tie).where(F.col(value).isNotNull()), [value, *tie], "_rank")
-    spot = ranked.agg(((F.count("*") - 1) * F.lit(float(share))).alias("spot")).scalar()
-    near = ranked.select(value, "_rank", spot.alias("_spot")).where(
-        (F.col("_rank") == F.floor("_spot")) | (F.col("_rank") == F.ceil("_spot")))
-    low, high = F.min(value), F.max(value)
-    return near.agg(
-        (low + (high - low) * (F.max("_spot") - F.floor(F.max("_spot")))).alias("percentile"))
+    rows = df.select(value, *tie).where(F.col(value).isNotNull())
+    margin = 2.0 / accuracy
+    ends = [max(share - margin, 0.0), min(share + margin, 1.0)]
+    around = rows.agg(
+        F.count("*").alias("n"),
+        F.percentile_approx(value, ends, accuracy).alias("ends")).first()
+    if not around["n"]:
+        return rows.agg(F.max(value).cast("double").alias("percentile"))
+    spot = (around["n"] - 1) * share
+    low, high = around["ends"]
+    seen = rows.agg(
+        F.count_if(F.col(value) < low).alias("below"), F.count_if(F.col(value) <= high).alias("upto")).first()
+    below = seen["below"]
+    if below > math.floor(spot) or seen["upto"] <= math.ceil(spot):
+        below, near = 0, rows       # the sketch missed: rank everything
+    else:
+        near = rows.where(F.col(value).between(low, high))
+    ranked = global_rank(near, [value, *tie], "_rank").where(
+        F.col("_rank").isin(math.floor(spot) - below, math.ceil(spot) - below))
+    part = spot - math.floor(spot)
+    return ranked.agg((F.min(value) + (F.max(value) - F.min(value)) * part).alias("percentile"))
 
 
 # ---------------------------------------------------------------- small tables
 
-def sized_broadcast(dim: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast `dim` if it has at most `limit` rows, else leave the join strategy to Spark.
+def sized_broadcast(dim: DataFrame, items: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Broadcast `dim` if it is small enough, else leave the join to Spark.
 
-    The check keeps no more than limit + 1 rows, and a small table is computed only once.
+    Small means at most `limit` rows, and at most `limit` array elements in all where `items`
+    counts those of a row. Beyond that Spark joins by shuffle, and splits skewed keys. The check
+    keeps no more than limit + 1 rows, and a small table is computed only once.
     """
     limit = limit or broadcast_rows(dim.sparkSession)
     head = checkpointed(dim.limit(limit + 1))
-    return F.broadcast(head) if head.count() <= limit else dim
+    size = head.agg(F.count("*").alias("n"), F.sum(F.lit(1) if items is None else items).alias("items")).first()
+    return F.broadcast(head) if max(size["n"], size["items"] or 0) <= limit else dim

@@ -12,6 +12,7 @@ from axlewatch.operators.segments import (
     SegmentWindows, Timeline, global_rank, with_neighbours, with_ordinal, with_tail,
 )
 from axlewatch.schemas import TICK_SECONDS, WINDOW_ROWS, WINDOW_STRIDE
+from axlewatch.session import checkpointed
 
 BRAKE_DECAY = 0.88  # fixed value: share of the brake activity left after one step
 FIT_SHARE = 0.85    # fixed value: first part of a series that trains
@@ -65,6 +66,8 @@ def tick_windows(df: DataFrame, ts: str = "timestamp", length: str = "2 seconds"
 
 
 def last_tick_flag(ticks: DataFrame) -> DataFrame:
+    """Marks the last tick of a table with one row per tick (stored, as it is read twice)."""
+    ticks = checkpointed(ticks)
     last = ticks.agg(F.max("tick")).scalar()
     return ticks.withColumn("finished", F.col("tick") + 1 >= last + 1)
 
@@ -110,13 +113,11 @@ def brake_activity(line: Timeline, decay: float = BRAKE_DECAY) -> Timeline:
     """
     step = math.log(decay)
     use = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -F.col("acceleration") / X.BRAKE_MS2))
-    at = Window.partitionBy(*line.key, "seg").orderBy("seq")
-    upto = at.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = line.with_rows(
         line.rows.withColumn("brake_use", use)
-        .withColumn("_i", F.row_number().over(at))
+        .withColumn("_i", F.row_number().over(line.local()))
         .withColumn("_log", F.max(F.when(
-            F.col("brake_use") > 0, F.ln("brake_use") - F.col("_i") * step)).over(upto)))
+            F.col("brake_use") > 0, F.ln("brake_use") - F.col("_i") * step)).over(line.upto())))
     def derive(s: DataFrame, w: SegmentWindows) -> DataFrame:
         start = F.coalesce(F.sum("_rows").over(w.before()), F.lit(0))
         return (s.withColumn("_start", start)

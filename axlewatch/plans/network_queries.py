@@ -124,7 +124,7 @@ SELECT sample_id, axle_key, lev AS episode_level, CASE WHEN lev > 0.1 THEN kind
   {bucket('lev')} AS episode_severity FROM l""")
 def episode_label_join(spark, d):
     rows = with_ordinal(adapt.telemetry_timeline(spark, d)).rows.select("sample_id", "axle_key", "seq")
-    return J.episode_label_join(rows, episodes(spark, d)).drop("seq")
+    return J.episode_label_join(rows, episodes(spark, d), width=8).drop("seq")
 
 
 @query("axle_line_map", needs="tele", sql="""

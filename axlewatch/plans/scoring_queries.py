@@ -190,7 +190,7 @@ metrics AS (SELECT tr.tick, total AS evaluated, round(hits/CAST(total AS DOUBLE)
 
 @query("running_confusion", needs="scored", sql=f"SELECT tick, {_cells()} FROM scored GROUP BY tick")
 def running_confusion(spark, d):
-    return S.running_confusion(scored_ticks(spark, d), C)
+    return S.running_confusion(scored_ticks(spark, d), C).drop("evaluated", "severity_hits")
 
 
 @query("running_metrics", needs="scored", sql=_metrics_sql() + "SELECT * FROM metrics")

@@ -118,7 +118,7 @@ def minmax_series(spark, d):
 
 def motion(spark, d):
     base = with_ordinal(line(spark, d))
-    base = base.select("sample_id", "seq", "speed_kmh", "load_ton", "motor_current_a")
+    base = base.select("timestamp", "sample_id", "seq", "speed_kmh", "load_ton", "motor_current_a")
     return W.acceleration(base)
 
 

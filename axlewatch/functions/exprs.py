@@ -95,11 +95,21 @@ def argmax(values: Column) -> Column:
     return F.array_position(values, F.array_max(values)) - 1
 
 
-def normalized_entropy(probs: Column) -> Column:
-    """Shannon entropy over ln(k): 0 for a certain prediction, 1 for a uniform one."""
-    clipped = F.transform(probs, lambda p: F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)))
-    nats = F.aggregate(clipped, F.lit(0.0), lambda acc, p: acc - p * F.ln(p))
-    return nats / F.ln(F.size(probs).cast("double"))
+def normalized_entropy(probs: Column, classes: int | None = None) -> Column:
+    """Shannon entropy over ln(k): 0 for a certain prediction, 1 for a uniform one.
+
+    With the number of classes given, the sum is written out and compiles into the stage.
+    """
+    def add(total: Column, p: Column) -> Column:
+        p = F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))
+        return total - p * F.ln(p)
+
+    if classes is None:
+        return F.aggregate(probs, F.lit(0.0), add) / F.ln(F.size(probs).cast("double"))
+    nats = F.lit(0.0)
+    for i in range(classes):
+        nats = add(nats, F.get(probs, F.lit(i)))
+    return nats / math.log(classes)
 
 
 def is_uncertain(entropy: Column, limit: float = ENTROPY_LIMIT) -> Column:

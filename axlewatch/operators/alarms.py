@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
+from axlewatch.operators.joins import interval_lookup
 from axlewatch.operators.segments import (
     SegmentWindows, Timeline, sized_broadcast, with_neighbours,
 )
@@ -140,23 +141,28 @@ def alarm_events(states: DataFrame) -> DataFrame:
 def nearest_defect(rows: DataFrame, defects: DataFrame, slack_km: float = 0.8) -> DataFrame:
     """Defect nearest by |km| on the row's line (first listed on ties), then the distance test.
 
-    The defects of a line travel as one array, so each row meets one dimension row and the choice
-    is made inside the row. `defects` has line_id, defect_id, km, width_km, between_text, ord.
+    A defect farther than the widest tolerance R can never pass the test, so only defects within R
+    of a row compete: each is listed in the km buckets it can reach, and a row looks up one bucket.
+    `defects` has line_id, defect_id, km, width_km, between_text, ord.
     """
-    per_line = defects.groupBy("line_id").agg(
-        F.collect_list(F.struct("ord", "defect_id", "km", "width_km", "between_text")).alias("_defects"))
+    widest = defects.agg(F.max("width_km")).first()[0]
+    reach = slack_km + (widest or 0.0)
+    lookup = interval_lookup(
+        defects, "line_id", F.col("km") - reach, F.col("km") + reach, reach,
+        F.struct("ord", "defect_id", "km", "width_km", "between_text"), "_defects")
     distance = lambda d: F.abs(d["km"] - F.col("track_km"))
     ranked = F.transform("_defects", lambda d: F.struct(
         distance(d).alias("distance"), d["ord"].alias("ord"), d.alias("d")))
     return (
-        rows.join(sized_broadcast(per_line, F.size("_defects")), "line_id", "left")
+        rows.withColumn("_bucket", F.floor(F.col("track_km") / reach).cast("long"))
+        .join(sized_broadcast(lookup, F.size("_defects")), ["line_id", "_bucket"], "left")
         .withColumn("_near", F.array_min(ranked))
         .withColumn("_hit", F.when(
             F.col("_near.distance") <= F.col("_near.d.width_km") + slack_km, F.col("_near")))
         .withColumn("defect_id", F.col("_hit.d.defect_id"))
         .withColumn("defect_between", F.col("_hit.d.between_text"))
         .withColumn("defect_distance", F.col("_hit.distance"))
-        .drop("_defects", "_near", "_hit")
+        .drop("_defects", "_near", "_hit", "_bucket")
     )
 
 

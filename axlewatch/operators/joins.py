@@ -36,18 +36,21 @@ def defect_zone_join(rows: DataFrame, defects: DataFrame) -> DataFrame:
 
     The label becomes rail_crack only for an otherwise normal row.
     """
-    per_line = defects.groupBy("line_id").agg(F.sort_array(F.collect_list(
-        F.struct("ord", "defect_id", "km", "width_km", "kind"))).alias("_defects"))
+    reach = defects.agg(F.max("width_km")).first()[0] or 1.0
+    lookup = interval_lookup(
+        defects, "line_id", F.col("km") - F.col("width_km"), F.col("km") + F.col("width_km"), reach,
+        F.struct("ord", "defect_id", "km", "width_km", "kind"), "_defects")
     hit = first_match("_defects", lambda d: (
         F.abs(F.col("track_km") - d["km"]) <= d["width_km"]) & (F.col("speed_kmh") > SLOW_KMH))
     takes = F.col("_hit").isNotNull() & (F.col("fault_type") == "normal")
     return (
-        rows.join(sized_broadcast(per_line, F.size("_defects")), "line_id", "left")
+        rows.withColumn("_bucket", F.floor(F.col("track_km") / reach).cast("long"))
+        .join(sized_broadcast(lookup, F.size("_defects")), ["line_id", "_bucket"], "left")
         .withColumn("_hit", hit)
         .withColumn("zone_defect", F.col("_hit.defect_id"))
         .withColumn("zone_severity", X.defect_severity(F.col("_hit.kind"), F.col("speed_kmh")))
         .withColumn("zone_label", F.when(takes, "rail_crack").otherwise(F.col("fault_type")))
-        .drop("_defects", "_hit")
+        .drop("_defects", "_hit", "_bucket")
     )
 
 

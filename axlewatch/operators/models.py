@@ -95,6 +95,14 @@ def window_vectors(line: Timeline, scaler: Scaler, size: int = WINDOW_ROWS,
         "severity_code", X.severity_code(F.col("fault_severity"))).drop("window")
 
 
+def vectors_of(windows: DataFrame, model: FaultModel) -> DataFrame:
+    """Vectors of windows that a stream has already collected (and scaled)."""
+    full = F.size("window") == model.window
+    blank = F.array_repeat(F.lit(0.0), model.window * len(model.scaler.features))
+    return windows.withColumn("features", array_to_vector(
+        F.when(full, F.flatten("window")).otherwise(blank))).drop("window")
+
+
 def holdout_split(windows: DataFrame, percent: int = HOLDOUT_PERCENT) -> DataFrame:
     """Adds holdout. Whole axles go to one side, so overlapping windows never straddle."""
     return windows.withColumn("holdout", F.pmod(F.xxhash64("axle_key"), F.lit(100)) < percent)
@@ -168,7 +176,7 @@ def score_models(windows: DataFrame, model: FaultModel) -> DataFrame:
     """pred, conf, probs and severity, sev_conf, sev_probs of every window."""
     one = _named(model.fault.transform(windows), model.classes, "pred", "conf", "probs")
     two = _named(model.severity.transform(one), SEVERITIES, "severity", "sev_conf", "sev_probs")
-    return (two.withColumn("entropy", X.normalized_entropy(F.col("probs")))
+    return (two.withColumn("entropy", X.normalized_entropy(F.col("probs"), len(model.classes)))
             .withColumn("uncertain", X.is_uncertain(F.col("entropy"))))
 
 

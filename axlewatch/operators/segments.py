@@ -171,6 +171,10 @@ def with_neighbours(line: Timeline, value: str, seq: str, before: str, after: st
 def with_tail(line: Timeline, item: Column, size: int, seq: str, name: str) -> Timeline:
     """Array of the last `size` items (oldest first) up to and including each row."""
     keep = size - 1
+    frame = line.local().rowsBetween(-keep, 0)
+    if not line.segmented and not line.rows.select(item.alias("v")).schema["v"].nullable:
+        return line.with_rows(line.rows.withColumn(name, F.collect_list(item).over(frame)))
+    # inside a struct, so that collecting keeps missing items
     picked = line.rows.withColumn("_item", F.struct(F.col(seq).alias("_o"), item.alias("v")))
     ranked = (
         picked.where("hot")
@@ -185,7 +189,7 @@ def with_tail(line: Timeline, item: Column, size: int, seq: str, name: str) -> T
         lambda s, w: s.withColumn(
             "_past", F.flatten(F.collect_list("_tail").over(w.before(keep)))),
         {"_past": f"array<{kind}>"}, rows=ranked)
-    near = F.collect_list("_item").over(line.local().rowsBetween(-keep, 0))
+    near = F.collect_list("_item").over(frame)
     joined = F.when(
         F.col("_past").isNotNull() & (F.size("_near") < size), F.concat("_past", "_near")
     ).otherwise(F.col("_near"))

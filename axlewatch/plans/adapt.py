@@ -72,7 +72,7 @@ def prediction_columns(telemetry: DataFrame) -> DataFrame:
     return (
         telemetry.withColumn("axle_key", X.axle_key())
         .withColumn("probs", probs)
-        .withColumn("entropy", X.normalized_entropy(F.col("probs")))
+        .withColumn("entropy", X.normalized_entropy(F.col("probs"), len(CLASSES)))
         .withColumn("uncertain", X.is_uncertain(F.col("entropy")))
         .withColumn("severity", X.severity_bucket(F.least(F.col("level"), F.lit(1.0))))
         .withColumn("anomaly", F.col("anomaly_error") > ANOMALY_LIMIT)

@@ -19,11 +19,11 @@ from axlewatch.schemas import FEATURES
 
 
 @query("scaler_fit", needs="tele", sql=" UNION ALL ".join(
-    f"SELECT '{c}' AS feature, round(avg({c}), 8) AS mean, round(CASE WHEN stddev_pop({c})=0 THEN 1.0 "
+    f"SELECT '{c}' AS feature, round(avg({c}), 10) AS mean, round(CASE WHEN stddev_pop({c})=0 THEN 1.0 "
     f"ELSE stddev_pop({c}) END, 8) AS scale FROM tele" for c in FEATURES))
 def scaler_fit(spark, d):
     fitted = M.scaler_fit(adapt.telemetry(spark, d))
-    return fitted.select("feature", F.round("mean", 8).alias("mean"), F.round("scale", 8).alias("scale"))
+    return fitted.select("feature", F.round("mean", 10).alias("mean"), F.round("scale", 8).alias("scale"))
 
 
 @query("scale_features", needs="tele", sql="""
@@ -108,6 +108,13 @@ def score_anomalies(spark, d):
     return out.select("sample_id", "fault_type", "anomaly_error", "anomaly", "anomaly_score", "unknown_anomaly")
 
 
+@query("holdout_split")
+def holdout_split(spark, d):
+    """Windows of normal axles, whole axles held out."""
+    rows, _ = windows(spark, d)
+    return M.holdout_split(rows.where("fault_type = 'normal'")).select("sample_id", "axle_key", "holdout")
+
+
 # ---------------------------------------------------------------- data quality
 
 _FEATURE_NULL = " OR ".join(f"{c} IS NULL" for c in FEATURES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from axlewatch.session import checkpointed
+
 
 def _alarms(alarms: DataFrame) -> DataFrame:
     return alarms.where(F.col("kind") == "alarm")
@@ -72,7 +74,8 @@ def last_alarms(alarms: DataFrame, size: int = 50) -> DataFrame:
 
 
 def line_share(by_line: DataFrame) -> DataFrame:
-    """Alarm count relative to the busiest line. `by_line` has one row per line."""
+    """Alarm count relative to the busiest line. `by_line` has one row per line and is stored."""
+    by_line = checkpointed(by_line)
     top = by_line.agg(F.greatest(F.lit(1), F.max("alarm_count"))).scalar()
     return by_line.withColumn("share", F.col("alarm_count") / top)
 

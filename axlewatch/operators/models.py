@@ -20,6 +20,7 @@ from axlewatch.functions import exprs as X
 from axlewatch.operators.segments import Timeline, exact_percentile
 from axlewatch.operators.windows import fit_val_split, sliding_sequences
 from axlewatch.schemas import FEATURES, SEVERITIES, WINDOW_ROWS, WINDOW_STRIDE
+from axlewatch.session import checkpointed
 
 SMOOTHING = 0.5          # fixed value: exponent that softens inverse-frequency weights
 BOTTLENECK = 16          # fixed value: width of the anomaly bottleneck
@@ -66,7 +67,7 @@ def label_codes(df: DataFrame, label: str) -> DataFrame:
 def class_weights(df: DataFrame, label: str, classes: list | None = None,
                   power: float = SMOOTHING) -> DataFrame:
     """Softened inverse-frequency weights with mean 1; absent classes start from 1."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    counts = checkpointed(df.groupBy(label).agg(F.count("*").alias("n")))   # one row per class
     total = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("present"))
     raw = F.col("rows") / (F.col("present") * F.col("n"))
     if classes is not None:
@@ -220,7 +221,8 @@ def fit_anomaly_model(windows: DataFrame, width: int = BOTTLENECK,
     """Components of the normal windows; threshold from the held-out normal axles."""
     normal = holdout_split(windows.where(F.col("fault_type") == "normal"))
     fit = PCA(k=width, inputCol="features", outputCol="_coded").fit(normal.where("not holdout"))
-    errors = _with_error(normal.where("holdout"), fit).select("anomaly_error", "sample_id")
+    # two columns, stored, because the percentile reads them several times
+    errors = checkpointed(_with_error(normal.where("holdout"), fit).select("anomaly_error", "sample_id"))
     return AnomalyModel(fit, exact_percentile(errors, "anomaly_error", share, ["sample_id"]).first()[0])
 
 
@@ -242,8 +244,8 @@ def score_anomalies(windows: DataFrame, model: AnomalyModel | None) -> DataFrame
 def anomaly_rates(scored: DataFrame, label: str = "fault_type", normal: str = "normal",
                   digits: int = 4) -> DataFrame:
     """Windows and flagged share per class, with the false-alarm and mean catch rates."""
-    per_class = scored.groupBy(F.col(label).alias("class")).agg(
-        F.count("*").alias("windows"), F.round(F.avg(F.col("anomaly").cast("double")), digits).alias("rate"))
+    per_class = checkpointed(scored.groupBy(F.col(label).alias("class")).agg(
+        F.count("*").alias("windows"), F.round(F.avg(F.col("anomaly").cast("double")), digits).alias("rate")))
     false_alarm = per_class.agg(F.coalesce(
         F.max(F.when(F.col("class") == normal, F.col("rate"))), F.lit(0.0))).scalar()
     caught = per_class.agg(F.round(F.avg(F.when(F.col("class") != normal, F.col("rate"))), digits)).scalar()

@@ -192,6 +192,12 @@ def metric_snapshots(metrics: DataFrame, every: int = METRIC_EVERY) -> DataFrame
     return metrics.where(F.col("tick") % every == 0)
 
 
+def metric_rows(metrics: DataFrame, active: DataFrame) -> DataFrame:
+    """Snapshots in the stored shape: metrics with the active alarms of their tick."""
+    return metrics.join(active, "tick", "left").withColumn(
+        "active_alarms", F.coalesce("active_alarms", F.lit(0)))
+
+
 def blind_metrics(metrics: DataFrame, blind: bool) -> DataFrame:
     """In blind mode only the count is shown, until the last tick opens the aggregates.
 

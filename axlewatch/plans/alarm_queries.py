@@ -109,7 +109,7 @@ SELECT sample_id, defect_id, tick, axle,
   row_number() OVER (PARTITION BY defect_id ORDER BY tick, axle, sample_id) AS repeat_no
 FROM linked WHERE defect_id IS NOT NULL""")
 def defect_repeat_no(spark, d):
-    return A.defect_repeats(linked(spark, d)).select("sample_id", "defect_id", "tick", "axle", "repeat_no")
+    return A.defect_repeats(checkpointed(linked(spark, d))).select("sample_id", "defect_id", "tick", "axle", "repeat_no")
 
 
 @query("defect_detection_counts", needs="linked", sql="""
@@ -152,7 +152,8 @@ def active_alarm_count(spark, d):
 SELECT sample_id, axle, new, tick, (epoch_us(nxt) - epoch_us("timestamp"))/CAST(1e6 AS DOUBLE) AS alarm_s FROM (
   SELECT *, lead("timestamp") OVER (PARTITION BY axle ORDER BY tick) AS nxt FROM ev) WHERE kind='alarm'""")
 def alarm_duration(spark, d):
-    line = Timeline.of(events(spark, d), ["axle"], "timestamp", ["tick"])
+    # events are few and read twice (to find busy axles, and to pair them)
+    line = Timeline.of(checkpointed(events(spark, d)), ["axle"], "timestamp", ["tick"])
     return A.alarm_duration(line)
 
 

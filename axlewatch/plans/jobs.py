@@ -13,6 +13,7 @@ from axlewatch.operators import models as M
 from axlewatch.operators import scoring as S
 from axlewatch.operators.segments import Timeline
 from axlewatch.schemas import ENTROPY_LIMIT, HYSTERESIS
+from axlewatch.session import checkpointed
 from axlewatch.sources import files
 from axlewatch.streaming import live
 
@@ -51,6 +52,9 @@ def evaluate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     out = M.score_models(windows, model)
     scored = S.score_against_key(
         out.drop("fault_type", "fault_severity"), files.scan_answer_key(spark, f"{path}/key", "parquet"))
+    # the few columns every report reads, scored once
+    scored = checkpointed(scored.select(
+        "sample_id", "actual", "pred", "evaluated", "correct", "severity_correct"))
     reports = {
         "accuracy": S.accuracy(scored), "report": S.classification_report(scored, model.classes),
         "matrix": S.confusion_matrix(scored, model.classes)}

@@ -37,9 +37,19 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast("double") for c in columns})
 
 
-def write_topic(stream: DataFrame, servers: str, topic: str) -> None:
-    """Sends every row; the key keeps the rows of a train in one partition, in their order."""
-    (encode_messages(stream.sortWithinPartitions("timestamp")).write.format("kafka")
+def in_topic_order(stream: DataFrame) -> DataFrame:
+    """Rows of a train in one task, in time order, as the topic is to hold them."""
+    return stream.repartition("train_id").sortWithinPartitions("timestamp")
+
+
+def write_topic(stream: DataFrame, servers: str, topic: str, ordered: bool = True) -> None:
+    """Sends every row, keyed by train.
+
+    Readers put rows in event-time order themselves, so a large backfill may go unordered, and
+    then without a shuffle.
+    """
+    rows = in_topic_order(stream) if ordered else stream
+    (encode_messages(rows).write.format("kafka")
      .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
 
 

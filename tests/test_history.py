@@ -73,3 +73,15 @@ def test_store_is_idempotent_and_prunes_runs(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(run_id" in plan
     counts = H.runs_with_alarm_count(store["runs"], store["alarms"]).collect()
     assert [r["alarm_count"] for r in counts] == [1, 1]
+
+
+def test_metric_snapshots_are_stored(spark, tmp_path):
+    from axlewatch.operators import scoring as S
+    metrics = spark.range(60).select(
+        F.col("id").alias("tick"), F.col("id").alias("evaluated"), F.lit(0.9).alias("accuracy"),
+        F.when(F.col("id") > 0, 0.8).alias("severity_accuracy"), F.lit(0.7).alias("macro_f1"))
+    active = spark.createDataFrame([(25, 4)], "tick long, active_alarms long")
+    files.metric_writer(str(tmp_path), 3)(S.metric_rows(S.metric_snapshots(metrics), active), 0)
+    got = files.scan_history(spark, str(tmp_path))["metrics"].orderBy("tick").collect()
+    assert [(r["run_id"], r["tick"], r["active_alarms"]) for r in got] == [(3, 0, 0), (3, 25, 4), (3, 50, 0)]
+    assert got[0]["severity_accuracy"] is None

@@ -193,3 +193,14 @@ def test_unanswered_rows_are_not_evaluated(spark):
     key = spark.createDataFrame([(9, "normal", "none")], "sample_id long, fault_type string, fault_severity string")
     got = S.accuracy(S.score_against_key(df, key)).first()
     assert got["evaluated"] == 0 and got["accuracy"] is None
+
+
+def test_messages_of_a_train_keep_their_order(spark):
+    rows = [(i, f"T{i % 3}", (i * 7) % 50) for i in range(50)]
+    df = spark.createDataFrame(rows, "sample_id long, train_id string, s long").withColumn(
+        "timestamp", F.timestamp_seconds("s")).repartition(5)
+    placed = kafka.in_topic_order(df).withColumn("task", F.spark_partition_id()).collect()
+    assert all(len({r["task"] for r in placed if r["train_id"] == t}) == 1 for t in ("T0", "T1", "T2"))
+    for t in ("T0", "T1", "T2"):
+        seen = [r["s"] for r in placed if r["train_id"] == t]
+        assert seen == sorted(seen)

@@ -38,12 +38,13 @@ def linked(spark: SparkSession, d: str) -> DataFrame:
     return A.link_defects(events(spark, d), defects(spark, d))
 
 
-def alarm_table(spark: SparkSession, d: str) -> DataFrame:
-    """The events in the shape of the stored history."""
-    return linked(spark, d).select(
+def alarm_table(spark: SparkSession, d: str, with_defects: bool = False) -> DataFrame:
+    """The events in the shape of the stored history; defects are linked where a question needs them."""
+    rows = linked(spark, d) if with_defects else events(spark, d)
+    return rows.select(
         F.col("sample_id").alias("id"), F.substring("line_id", 2, 10).cast("long").alias("run_id"),
         F.col("timestamp").alias("recorded_at"), "tick", "axle", "line_id", "prior", "new", "severity",
-        "conf", "station", "kind", "prior_duration_s", "priority", "defect_id")
+        "conf", "station", "kind", "prior_duration_s", "priority", *(["defect_id"] if with_defects else []))
 
 
 @query("hysteresis", needs="h4", sql="""

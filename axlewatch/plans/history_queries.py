@@ -20,7 +20,7 @@ def runs(spark, d):
 
 @query("scan_history", needs="alarms", sql="SELECT * FROM alarms")
 def scan_history(spark, d):
-    return alarm_table(spark, d)
+    return alarm_table(spark, d, with_defects=True)
 
 
 @query("alarms_by_axle", needs="alarms", sql="""
@@ -51,7 +51,7 @@ SELECT defect_id, count(*) AS detections, count(DISTINCT axle) AS axle_count,
   min(recorded_at) AS first_seen, max(recorded_at) AS last_seen
 FROM alarms WHERE defect_id IS NOT NULL GROUP BY defect_id""")
 def recurring_defects(spark, d):
-    return H.recurring_defects(alarm_table(spark, d))
+    return H.recurring_defects(alarm_table(spark, d, with_defects=True))
 
 
 @query("history_totals", needs="alarms runs", sql="""

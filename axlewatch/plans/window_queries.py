@@ -151,13 +151,17 @@ def brake_activity(spark, d):
 @query("current_residual", needs="tele", sql=ACCEL + """
 , e AS (SELECT *, 40.0 + CAST(95 AS DOUBLE)*greatest(acceleration,0)*(load_ton/30) + CAST(0.55 AS DOUBLE)*speed_kmh
   - CAST(25 AS DOUBLE)*greatest(-acceleration,0) AS expected FROM a)
-SELECT sample_id, axle_key, round(expected, 6) AS expected, round(motor_current_a - expected, 6) AS residual FROM e""")
+SELECT sample_id, axle_key, round(expected, 6) AS expected, round(motor_current_a - expected, 6) AS residual,
+  CASE WHEN expected <> 0 THEN round((motor_current_a - expected)/expected, 6) END AS ratio FROM e""")
 def current_residual(spark, d):
     from axlewatch.functions import exprs as X
     expected = X.expected_current(F.col("speed_kmh"), F.col("load_ton"), F.col("acceleration"))
-    return motion(spark, d).rows.select(
-        "sample_id", "axle_key", F.round(expected, 6).alias("expected"),
-        F.round(F.col("motor_current_a") - expected, 6).alias("residual"))
+    rows = motion(spark, d).rows.withColumn("_expected", expected)
+    residual = F.col("motor_current_a") - F.col("_expected")
+    return rows.select(
+        "sample_id", "axle_key", F.round("_expected", 6).alias("expected"),
+        F.round(residual, 6).alias("residual"),
+        F.when(F.col("_expected") != 0, F.round(residual / F.col("_expected"), 6)).alias("ratio"))
 
 
 @query("tick_summary", needs="states", sql="""

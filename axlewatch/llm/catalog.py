@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axlewatch.llm import packing, personal_data, secret_scan
+from axlewatch.llm import packing, personal_data, secret_scan, toxicity
 from axlewatch.llm.base import table
 
 
@@ -22,6 +22,11 @@ def op9_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_skip_chain_crf, op3_secret_scan, op9_pattern_packing)}
+    f.__name__: f for f in (op1_skip_chain_crf, op3_secret_scan, op9_pattern_packing,
+                        op10_ngram_bayes_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axlewatch.llm import near_dedup, packing, personal_data, secret_scan, toxicity
+from axlewatch.llm import decontamination, near_dedup, packing, personal_data, secret_scan, toxicity
 from axlewatch.llm.base import table
 
 
@@ -18,6 +18,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,6 @@ def op10_ngram_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_skip_chain_crf, op3_secret_scan, op8_circulant_minhash, op9_pattern_packing,
-                        op10_ngram_bayes_toxicity)}
+    f.__name__: f for f in (op1_skip_chain_crf, op3_secret_scan, op6_pigeonhole_edit_matching, op8_circulant_minhash,
+                        op9_pattern_packing, op10_ngram_bayes_toxicity)}
 ORACLES: dict[str, str] = {}

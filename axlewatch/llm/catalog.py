@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axlewatch.llm import decontamination, near_dedup, packing, personal_data, secret_scan, toxicity
+from axlewatch.llm import decontamination, near_dedup, packing, personal_data, secret_scan, substring_dedup, toxicity
 from axlewatch.llm.base import table
 
 
@@ -14,6 +14,10 @@ def op1_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_ngram_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_skip_chain_crf, op3_secret_scan, op6_pigeonhole_edit_matching, op8_circulant_minhash,
-                        op9_pattern_packing, op10_ngram_bayes_toxicity)}
+    f.__name__: f for f in (
+        op1_skip_chain_crf, op2_recompression, op3_secret_scan, op6_pigeonhole_edit_matching, op8_circulant_minhash,
+        op9_pattern_packing, op10_ngram_bayes_toxicity)}
 ORACLES: dict[str, str] = {}

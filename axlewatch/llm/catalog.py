@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axlewatch.llm import decontamination, near_dedup, packing, personal_data, secret_scan, substring_dedup, toxicity
+from axlewatch.llm import decontamination, near_dedup, packing, page_text, personal_data, secret_scan, substring_dedup, toxicity
 from axlewatch.llm.base import table
 
 
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,6 @@ def op10_ngram_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_skip_chain_crf, op2_recompression, op3_secret_scan, op6_pigeonhole_edit_matching, op8_circulant_minhash,
-        op9_pattern_packing, op10_ngram_bayes_toxicity)}
+        op1_skip_chain_crf, op2_recompression, op3_secret_scan, op4_site_template_removal,
+        op6_pigeonhole_edit_matching, op8_circulant_minhash, op9_pattern_packing, op10_ngram_bayes_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axlewatch.llm import decontamination, near_dedup, packing, page_text, personal_data, secret_scan, substring_dedup, toxicity
+from axlewatch.llm import (
+    decontamination, graph_search, near_dedup, packing, page_text, personal_data, secret_scan, substring_dedup, toxicity,
+)
 from axlewatch.llm.base import table
 
 
@@ -30,6 +32,10 @@ def op6_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_search.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,5 +51,5 @@ def op10_ngram_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_skip_chain_crf, op2_recompression, op3_secret_scan, op4_site_template_removal,
-        op6_pigeonhole_edit_matching, op8_circulant_minhash, op9_pattern_packing, op10_ngram_bayes_toxicity)}
+        op6_pigeonhole_edit_matching, op7_robust_pruned_graph, op8_circulant_minhash, op9_pattern_packing, op10_ngram_bayes_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from axlewatch.llm import (
-    decontamination, graph_search, near_dedup, packing, page_text, personal_data, secret_scan, substring_dedup, toxicity,
+    decontamination, graph_search, lm_scoring, near_dedup, packing, page_text, personal_data, secret_scan,
+    substring_dedup, toxicity,
 )
 from axlewatch.llm.base import table
 
@@ -28,6 +29,12 @@ def op4_site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against those labelled as of good quality."""
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.score_language(table(spark, sf_dir, "documents"), good)
+
+
 def op6_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,5 +58,6 @@ def op10_ngram_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_skip_chain_crf, op2_recompression, op3_secret_scan, op4_site_template_removal,
-        op6_pigeonhole_edit_matching, op7_robust_pruned_graph, op8_circulant_minhash, op9_pattern_packing, op10_ngram_bayes_toxicity)}
+        op5_cross_entropy_difference, op6_pigeonhole_edit_matching, op7_robust_pruned_graph, op8_circulant_minhash,
+        op9_pattern_packing, op10_ngram_bayes_toxicity)}
 ORACLES: dict[str, str] = {}

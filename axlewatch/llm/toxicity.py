@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axlewatch.llm.base import arrow_rows
+from axlewatch.session import checkpointed
 
 LENGTHS = (4, 6, 8)
 BITS = 20
@@ -71,7 +72,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFr
     chosen = (labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
               .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").select("text", "toxic")
+    # the chosen labels are few by construction, so the texts stay where they are
+    return (docs.select("doc_id", F.col("text").cast("string").alias("text"))
+            .join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
 
 
 def feature_ratios(rows: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def logistic(design: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, strengt
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 20000, kept: int = 2048) -> Model:
-    rows = training_rows(docs, labels, train_docs).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    rows = checkpointed(training_rows(docs, labels, train_docs))
     total = rows.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
     toxic, clean = total["toxic"], total["clean"]
     none = Model(np.full(1 << BITS, -1, dtype=np.int32), np.zeros(0), -4.0 if not toxic else 0.0 if clean else 4.0)

@@ -1,7 +1,8 @@
 """From raw predictions to alarms: hysteresis, dwell time, change events, priority, defects.
 
-All functions work on a Timeline ordered by an integer `tick` per axle. An axle's state (candidate,
-count, settled class) crosses segment borders as carries, so one axle may be arbitrarily long.
+States follow each axle in the order of its Timeline; durations are differences of timestamps, and `tick`
+is the common clock of all axles (`windows.Clock`). An axle's state (candidate, count, settled class)
+crosses segment borders as carries, so one axle may be arbitrarily long.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from axlewatch.operators.joins import interval_lookup
 from axlewatch.operators.segments import (
     SegmentWindows, Timeline, sized_broadcast, with_neighbours,
 )
-from axlewatch.schemas import HYSTERESIS, TICK_SECONDS
+from axlewatch.operators.windows import Clock
+from axlewatch.schemas import HYSTERESIS
 
 NORMAL = "normal"
 
@@ -39,7 +41,7 @@ def settle(line: Timeline, hysteresis: int = HYSTERESIS) -> Timeline:
             certain & (F.col("_said") != F.col("_was")), F.col("_cc") - 1)).over(upto))
         .withColumn("_len", F.col("_cc") - F.coalesce("_base", F.lit(0)))
     )
-    tick = F.col("tick")
+    tick = F.struct(*line.order)    # the place in the series; a tick may hold several readings
     inner = F.col("_said").isNotNull() & F.col("_base").isNotNull() & (F.col("_len") >= hysteresis)
     aggregates = {
         "_first_class": F.min_by("_said", F.when(certain, tick)),
@@ -88,26 +90,36 @@ def settle(line: Timeline, hysteresis: int = HYSTERESIS) -> Timeline:
         "_said", "_cc", "_was", "_now", "_base", "_len", "_cand_in", "_count_in", "_settled_in"))
 
 
-def dwell(line: Timeline, tick_seconds: float = TICK_SECONDS) -> Timeline:
-    """Adds dwell_s (age of the settled state) and prior_duration_s (age of the one before)."""
-    mark = F.when(F.col("changed"), F.col("tick"))
+def seconds(micros):
+    """Seconds to one decimal, rounded half up on whole microseconds."""
+    return F.floor((micros + 50_000) / 100_000) / 10
+
+
+def dwell(line: Timeline, start_us: int | None = None) -> Timeline:
+    """Adds dwell_s (age of the settled state) and prior_duration_s (age of the one before).
+
+    Both are differences of timestamps; before anything has settled they count from the start of the
+    run (by default the first reading of all axles).
+    """
+    start_us = Clock.of(line.rows).start_us if start_us is None else start_us
+    now = F.unix_micros("timestamp")
+    mark = F.when(F.col("changed"), now)
     out = line.carry(
         {"_mark": F.max(mark)},
         lambda s, w: s.withColumn("_since_in", F.max("_mark").over(w.before())), {"_since_in": "long"})
-    since = lambda w: F.coalesce(F.max(mark).over(w), F.col("_since_in"), F.lit(0))
+    since = lambda w: F.coalesce(F.max(mark).over(w), F.col("_since_in"), F.lit(start_us))
     rows = (
         out.rows
-        .withColumn("dwell_s", F.round((F.col("tick") - since(line.upto())) * tick_seconds, 1))
-        .withColumn("prior_duration_s",
-                    F.round((F.col("tick") - since(line.before())) * tick_seconds, 1))
+        .withColumn("dwell_s", seconds(now - since(line.upto())))
+        .withColumn("prior_duration_s", seconds(now - since(line.before())))
     )
     return out.with_rows(rows.drop("_since_in"))
 
 
 def alarm_states(line: Timeline, hysteresis: int = HYSTERESIS,
-                 tick_seconds: float = TICK_SECONDS) -> Timeline:
+                 start_us: int | None = None) -> Timeline:
     """Settled state, dwell time and current priority of every row."""
-    out = dwell(settle(line, hysteresis), tick_seconds)
+    out = dwell(settle(line, hysteresis), start_us)
     score = F.when(
         is_faulty(), X.alarm_priority(F.col("severity"), F.col("dwell_s"), F.col("conf")))
     return out.with_rows(
@@ -205,10 +217,10 @@ def defect_detection_counts(linked: DataFrame, defects: DataFrame) -> DataFrame:
 
 def top_alarms_per_tick(states: DataFrame, size: int = 12) -> DataFrame:
     """The `size` most urgent faulty axles of each tick (ties in axle order)."""
-    place = Window.partitionBy("tick").orderBy(F.desc("priority"), "axle_key")
+    place = Window.partitionBy("tick").orderBy(F.desc("priority"), "axle_key", "sample_id")
     return (
         states.where(F.col("priority").isNotNull())
-        .select("tick", "axle_key", "line_id", "settled", "severity", F.round("conf", 4).alias("conf"),
+        .select("tick", "axle_key", "sample_id", "line_id", "settled", "severity", F.round("conf", 4).alias("conf"),
                 "priority", "priority_level", "dwell_s", F.col("next_station").alias("station"))
         # rank <= n right above the window lets Spark cut each tick before the shuffle
         .withColumn("place", F.row_number().over(place)).where(F.col("place") <= size)
@@ -228,9 +240,9 @@ def active_alarm_count(states: DataFrame) -> DataFrame:
 def alarm_duration(events: Timeline) -> DataFrame:
     """Seconds from each alarm to the next event of the same axle (NULL while it lasts).
 
-    `events` is a timeline of events; its `tick` orders them.
+    `events` is a timeline of events, in order of time.
     """
-    out = with_neighbours(events, "timestamp", "tick", "_before", "_after").rows
+    out = with_neighbours(events, "timestamp", "timestamp", "_before", "_after").rows
     seconds = (F.unix_micros("_after") - F.unix_micros("timestamp")) / 1e6
     return out.where("kind = 'alarm'").select(
         "sample_id", "axle", "new", "tick", seconds.alias("alarm_s"))
@@ -242,13 +254,13 @@ def train_status(states: DataFrame) -> DataFrame:
         states.where("lat is not null and lon is not null")
         .groupBy("tick", "train_id")
         .agg(F.count("*").alias("axles"), F.count_if(is_faulty()).alias("faulty"),
-             F.min_by("settled", F.when(is_faulty(), F.col("axle_key"))).alias("shown_class"))
+             F.min_by("settled", F.when(is_faulty(), F.struct("axle_key", "sample_id"))).alias("shown_class"))
     )
 
 
 def line_status(states: DataFrame) -> DataFrame:
     """Per tick and line (`?` when unknown): axles, faulty axles, position of the lead axle."""
-    lead = lambda c: F.min_by(c, "axle_key")
+    lead = lambda c: F.min_by(c, F.struct("axle_key", "sample_id"))
     return (
         states.withColumn("line", F.coalesce("line_id", F.lit("?")))
         .groupBy("tick", "line")

@@ -70,7 +70,8 @@ def history_totals(alarms: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def last_alarms(alarms: DataFrame, size: int = 50) -> DataFrame:
-    return _alarms(alarms).orderBy(F.desc("id")).limit(size)
+    """Newest alarms first: of the newest run, in the order of the run (ids repeat between runs)."""
+    return _alarms(alarms).orderBy(*map(F.desc, ("run_id", "tick", "axle", "id"))).limit(size)
 
 
 def line_share(by_line: DataFrame) -> DataFrame:

@@ -218,9 +218,15 @@ def _with_error(windows: DataFrame, components: PCAModel) -> DataFrame:
 
 def fit_anomaly_model(windows: DataFrame, width: int = BOTTLENECK,
                       share: float = THRESHOLD_SHARE) -> AnomalyModel:
-    """Components of the normal windows; threshold from the held-out normal axles."""
+    """Components of the normal windows; threshold from the held-out normal axles.
+
+    With so few axles that one side of the split is empty, both use all normal windows.
+    """
     normal = holdout_split(windows.where(F.col("fault_type") == "normal"))
-    fit = PCA(k=width, inputCol="features", outputCol="_coded").fit(normal.where("not holdout"))
+    sides = normal.select("holdout").distinct().count()
+    if sides < 2:
+        normal = normal.withColumn("holdout", F.lit(True))
+    fit = PCA(k=width, inputCol="features", outputCol="_coded").fit(normal.where("not holdout") if sides > 1 else normal)
     # two columns, stored, because the percentile reads them several times
     errors = checkpointed(_with_error(normal.where("holdout"), fit).select("anomaly_error", "sample_id"))
     return AnomalyModel(fit, exact_percentile(errors, "anomaly_error", share, ["sample_id"]).first()[0])

@@ -33,30 +33,45 @@ def predictions_to_rows(rows: DataFrame, predictions: DataFrame) -> DataFrame:
     return joined.withColumn("ready", F.col("pred").isNotNull())
 
 
-def confusion_cells(scored: DataFrame) -> DataFrame:
-    return scored.where("evaluated").groupBy("actual", "pred").agg(F.count("*").alias("n"))
+UNKNOWN = "unknown"     # the row and column of classes that are not listed
+
+
+def listed(column: str, classes: list[str]) -> Column:
+    return F.when(F.col(column).isin(classes), F.col(column)).otherwise(UNKNOWN)
+
+
+def confusion_cells(scored: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """Evaluated rows per actual and predicted class; with `classes`, all others count as unknown."""
+    rows = scored.where("evaluated")
+    if classes:
+        rows = rows.withColumns({
+            "hit": F.coalesce(F.col("actual") == F.col("pred"), F.lit(False)),
+            "actual": listed("actual", classes), "pred": listed("pred", classes)})
+        # two different unlisted classes do not hit each other
+        return rows.groupBy("actual", "pred").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
+    return rows.groupBy("actual", "pred").agg(F.count("*").alias("n"))
 
 
 def confusion_matrix(scored: DataFrame, classes: list[str]) -> DataFrame:
-    """Rows actual, columns predicted, zero-filled over `classes`."""
-    spark = scored.sparkSession
-    rows = spark.createDataFrame([(c,) for c in classes], "actual string")
+    """Rows actual, columns predicted, zero-filled over `classes` and unknown; the cells sum to `evaluated`."""
+    spark, names = scored.sparkSession, [*classes, UNKNOWN]
+    rows = spark.createDataFrame([(c,) for c in names], "actual string")
     wide = (
-        confusion_cells(scored).groupBy("actual").pivot("pred", classes).agg(F.sum("n")))
-    return rows.join(wide, "actual", "left").na.fill(0, subset=classes)
+        confusion_cells(scored, classes).groupBy("actual").pivot("pred", names).agg(F.sum("n")))
+    return rows.join(wide, "actual", "left").na.fill(0, subset=names)
 
 
 def class_counts(scored: DataFrame, classes: list[str]) -> DataFrame:
     """Per class true positives, actual rows and predicted rows, from one pass."""
     side = F.explode(F.array(
         F.struct(F.col("actual").alias("class"), F.col("n").alias("support"), F.lit(0).alias("called"),
-                 F.when(F.col("actual") == F.col("pred"), F.col("n")).otherwise(0).alias("tp")),
+                 F.col("hits").alias("tp")),
         F.struct(F.col("pred").alias("class"), F.lit(0).cast("long").alias("support"),
                  F.col("n").alias("called"), F.lit(0).cast("long").alias("tp")))).alias("s")
-    found = confusion_cells(scored).select(side).groupBy("s.class").agg(
+    found = confusion_cells(scored, classes).select(side).groupBy("s.class").agg(
         *[F.sum(f"s.{c}").alias(c) for c in ("tp", "support", "called")])
-    listed = scored.sparkSession.createDataFrame([(c,) for c in classes], "class string")
-    return listed.join(found, "class", "left").na.fill(0)
+    names = scored.sparkSession.createDataFrame([(c,) for c in [*classes, UNKNOWN]], "class string")
+    return names.join(found, "class", "left").na.fill(0)
 
 
 def _rates(counts: DataFrame) -> DataFrame:
@@ -154,16 +169,19 @@ def accuracy_trend(scored: DataFrame, keep: int = 120) -> DataFrame:
 
 
 def running_confusion(scored: DataFrame, classes: list[str]) -> DataFrame:
-    """Cumulative counts after each tick: severity hits and one column per confusion cell."""
-    cells = [(a, p) for a in classes for p in classes]
-    hit = lambda a, p: F.col("evaluated") & (F.col("actual") == a) & (F.col("pred") == p)
+    """Cumulative counts after each tick: hits, severity hits and one column per confusion cell."""
+    names = [*classes, UNKNOWN]
+    cells = [(a, p) for a in names for p in names]
+    hit = lambda a, p: (
+        F.col("evaluated") & (listed("actual", classes) == a) & (listed("pred", classes) == p))
     per_tick = scored.groupBy("tick").agg(
-        F.count_if("evaluated").alias("_n"), F.count_if("severity_correct").alias("_severity"),
+        F.count_if("evaluated").alias("_n"), F.count_if("correct").alias("_hits"),
+        F.count_if("severity_correct").alias("_severity"),
         *[F.count_if(hit(a, p)).alias(f"_n_{a}_{p}") for a, p in cells])
     return running_sums(per_tick, [], "tick", {
-        "evaluated": "_n", "severity_hits": "_severity",
+        "evaluated": "_n", "hits": "_hits", "severity_hits": "_severity",
         **{f"{a}__{p}": f"_n_{a}_{p}" for a, p in cells}}).select(
-        "tick", "evaluated", "severity_hits", *[f"{a}__{p}" for a, p in cells])
+        "tick", "evaluated", "hits", "severity_hits", *[f"{a}__{p}" for a, p in cells])
 
 
 def running_metrics(scored: DataFrame, classes: list[str], digits: int = 4) -> DataFrame:
@@ -172,17 +190,21 @@ def running_metrics(scored: DataFrame, classes: list[str], digits: int = 4) -> D
     cell = lambda a, p: F.col(f"{a}__{p}")
     add = lambda cs: sum(cs[1:], cs[0])
     f1s, present = [], []
-    for c in classes:
-        support = add([cell(c, p) for p in classes])
-        called = add([cell(a, c) for a in classes])
-        precision, recall = _zero_safe(cell(c, c), called), _zero_safe(cell(c, c), support)
+    names = [*classes, UNKNOWN]
+    # hits of unlisted classes are those of no listed one
+    hits = {c: cell(c, c) for c in classes}
+    hits[UNKNOWN] = F.col("hits") - add(list(hits.values()))
+    for c in names:
+        support = add([cell(c, p) for p in names])
+        called = add([cell(a, c) for a in names])
+        precision, recall = _zero_safe(hits[c], called), _zero_safe(hits[c], support)
         f1 = _zero_safe(2 * precision * recall, precision + recall)
         f1s.append(F.when(support > 0, f1).otherwise(0.0))
         present.append(F.when(support > 0, 1).otherwise(0))
     n = F.col("evaluated")
     shown = lambda c: F.when(n > 0, F.round(c, digits))
     return cm.select(
-        "tick", "evaluated", shown(add([cell(c, c) for c in classes]) / n).alias("accuracy"),
+        "tick", "evaluated", shown(F.col("hits") / n).alias("accuracy"),
         shown(F.col("severity_hits") / n).alias("severity_accuracy"),
         shown(_zero_safe(add(f1s), add(present))).alias("macro_f1"))
 

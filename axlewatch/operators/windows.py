@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,23 @@ BRAKE_DECAY = 0.88  # fixed value: share of the brake activity left after one st
 FIT_SHARE = 0.85    # fixed value: first part of a series that trains
 
 
+@dataclass(frozen=True)
+class Clock:
+    """The common tick of all axles: whole grid steps since the start of the run."""
+
+    start_us: int
+    grid_seconds: float = TICK_SECONDS
+
+    @staticmethod
+    def of(df: DataFrame, grid_seconds: float = TICK_SECONDS, ts: str = "timestamp") -> Clock:
+        """A clock that starts with the first reading (reads the time column once)."""
+        first = df.agg(F.min(F.unix_micros(ts))).first()[0]
+        return Clock(first or 0, grid_seconds)
+
+    def tick(self, ts: str = "timestamp"):
+        return F.floor((F.unix_micros(ts) - self.start_us) / (self.grid_seconds * 1e6)).cast("long")
+
+
 def rolling_window_state(line: Timeline, item, size: int = WINDOW_ROWS) -> Timeline:
     """Stride-1 buffer of the last `size` rows with its fill level; ready once it is full."""
     out = with_tail(with_ordinal(line), item, size, "seq", "window")
@@ -74,7 +92,7 @@ def last_tick_flag(ticks: DataFrame) -> DataFrame:
 
 def recent_series(df: DataFrame, size: int = 90) -> DataFrame:
     """Last `size` rows of each axle."""
-    newest = Window.partitionBy("axle_key").orderBy(F.desc("tick"), F.desc("sample_id"))
+    newest = Window.partitionBy("axle_key").orderBy(F.desc("timestamp"), F.desc("sample_id"))
     return (df.withColumn("age", F.row_number().over(newest)).where(F.col("age") <= size)
             .withColumn("age", F.col("age").cast("long")))
 

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
-from axlewatch.operators.segments import Timeline, with_ordinal
+from axlewatch.operators.segments import Timeline
+from axlewatch.operators.windows import Clock
 
 CLASSES = ["bearing_fault", "normal", "rail_crack"]
 ANOMALY_LIMIT = 0.9
+GRID_SECONDS = 3600.0      # `events` come about once an hour and axle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,14 +101,20 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prediction_columns(telemetry_columns(table(spark, sf_dir, "events")))
 
 
-def prediction_timeline(spark: SparkSession, sf_dir: str) -> Timeline:
-    """Predictions with `tick`, the position of each row in the series of its axle."""
-    line = Timeline.of(predictions(spark, sf_dir), ["axle_key"], "timestamp", ["timestamp", "sample_id"])
-    return with_ordinal(line, "tick")
+def prediction_timeline(spark: SparkSession, sf_dir: str, given: Clock | None = None) -> Timeline:
+    """Predictions with `tick`, the common clock of all axles."""
+    rows = ticked_predictions(spark, sf_dir, given)
+    return Timeline.of(rows, ["axle_key"], "timestamp", ["timestamp", "sample_id"])
 
 
-def ticked_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prediction_timeline(spark, sf_dir).rows
+def clock(spark: SparkSession, sf_dir: str) -> Clock:
+    """Starts with the first reading of the table."""
+    times = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("timestamp"))
+    return Clock.of(times, GRID_SECONDS)
+
+
+def ticked_predictions(spark: SparkSession, sf_dir: str, given: Clock | None = None) -> DataFrame:
+    return predictions(spark, sf_dir).withColumn("tick", (given or clock(spark, sf_dir)).tick())
 
 
 def answer_key(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ DEFECT_WIDTH_KM = 2.5
 
 
 def states(spark: SparkSession, d: str) -> DataFrame:
-    return A.alarm_states(adapt.prediction_timeline(spark, d)).rows
+    clock = adapt.clock(spark, d)
+    return A.alarm_states(adapt.prediction_timeline(spark, d, clock), start_us=clock.start_us).rows
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +130,8 @@ def defect_name_lookup(spark, d):
 
 
 @query("top_alarms_per_tick", needs="states", sql="""
-SELECT tick, axle_key, line_id, settled, severity, round(conf,4) AS conf, priority, priority_level, dwell_s,
-  next_station AS station, row_number() OVER (PARTITION BY tick ORDER BY priority DESC, axle_key) AS place
+SELECT tick, axle_key, sample_id, line_id, settled, severity, round(conf,4) AS conf, priority, priority_level, dwell_s,
+  next_station AS station, row_number() OVER (PARTITION BY tick ORDER BY priority DESC, axle_key, sample_id) AS place
 FROM states WHERE priority IS NOT NULL
 QUALIFY place <= 12""")
 def top_alarms_per_tick(spark, d):
@@ -151,16 +152,16 @@ def active_alarm_count(spark, d):
 
 @query("alarm_duration", needs="ev", sql="""
 SELECT sample_id, axle, new, tick, (epoch_us(nxt) - epoch_us("timestamp"))/CAST(1e6 AS DOUBLE) AS alarm_s FROM (
-  SELECT *, lead("timestamp") OVER (PARTITION BY axle ORDER BY tick) AS nxt FROM ev) WHERE kind='alarm'""")
+  SELECT *, lead("timestamp") OVER (PARTITION BY axle ORDER BY "timestamp", sample_id) AS nxt FROM ev) WHERE kind='alarm'""")
 def alarm_duration(spark, d):
     # events are few and read twice (to find busy axles, and to pair them)
-    line = Timeline.of(checkpointed(events(spark, d)), ["axle"], "timestamp", ["tick"])
+    line = Timeline.of(checkpointed(events(spark, d)), ["axle"], "timestamp", ["timestamp", "sample_id"])
     return A.alarm_duration(line)
 
 
 @query("train_status", needs="states", sql="""
 SELECT tick, train_id, count(*) AS axles, count(*) FILTER (WHERE settled <> 'normal') AS faulty,
-  min_by(settled, axle_key) FILTER (WHERE settled <> 'normal') AS shown_class
+  min_by(settled, (axle_key, sample_id)) FILTER (WHERE settled <> 'normal') AS shown_class
 FROM states WHERE lat IS NOT NULL AND lon IS NOT NULL GROUP BY tick, train_id""")
 def train_status(spark, d):
     return A.train_status(states(spark, d))
@@ -168,8 +169,8 @@ def train_status(spark, d):
 
 @query("line_status", needs="states", sql="""
 SELECT tick, coalesce(line_id,'?') AS line, count(*) AS axles, count(*) FILTER (WHERE settled <> 'normal') AS faulty,
-  min_by(train_id, axle_key) AS train_id, min_by(next_station, axle_key) AS station,
-  min_by(track_km, axle_key) AS km, min_by(at_station, axle_key) AS at_station
+  min_by(train_id, (axle_key, sample_id)) AS train_id, min_by(next_station, (axle_key, sample_id)) AS station,
+  min_by(track_km, (axle_key, sample_id)) AS km, min_by(at_station, (axle_key, sample_id)) AS at_station
 FROM states GROUP BY tick, coalesce(line_id,'?')""")
 def line_status(spark, d):
     return A.line_status(states(spark, d))

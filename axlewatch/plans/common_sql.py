@@ -76,7 +76,8 @@ SELECT *, {_p('bearing_fault')} AS p1, {_p('normal')} AS p2, {_p('rail_crack')}
   {bucket('least(level,1.0)')} AS severity, anomaly_error > 0.9 AS anomaly,
   greatest(0.0, least(1.0, anomaly_error/(2*{D(0.9)}))) AS anomaly_score,
   anomaly_error > 0.9 AND pred='normal' AS unknown_anomaly,
-  row_number() OVER (PARTITION BY axle_key ORDER BY "timestamp", sample_id) - 1 AS tick
+  (epoch_us("timestamp") - min(epoch_us("timestamp")) OVER ()) // 3600000000 AS tick,
+  min(epoch_us("timestamp")) OVER () AS start_us
 FROM tele"""),
     "pred": (["pred0"], f"""
 SELECT *, (0 - {_nats('p1')} - {_nats('p2')} - {_nats('p3')}) / ln({D(3)}) AS entropy,
@@ -86,27 +87,29 @@ FROM pred0"""),
 SELECT *, CASE WHEN NOT uncertain THEN pred END AS said,
   sum(CASE WHEN uncertain THEN 0 ELSE 1 END) OVER w AS cc,
   last_value(CASE WHEN NOT uncertain THEN pred END IGNORE NULLS) OVER
-    (PARTITION BY axle_key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lp
-FROM pred WINDOW w AS (PARTITION BY axle_key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    (PARTITION BY axle_key ORDER BY "timestamp", sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lp
+FROM pred WINDOW w AS (PARTITION BY axle_key ORDER BY "timestamp", sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
     "h2": (["h1"], """
 SELECT *, cc - coalesce(max(CASE WHEN said IS NOT NULL AND said IS DISTINCT FROM lp THEN cc-1 END) OVER
-  (PARTITION BY axle_key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS cnt,
+  (PARTITION BY axle_key ORDER BY "timestamp", sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS cnt,
   coalesce(said, lp) AS candidate
 FROM h1"""),
     "h3": (["h2"], f"""
 SELECT *, cnt >= {HYSTERESIS} AS stable,
   last_value(CASE WHEN said IS NOT NULL AND cnt >= {HYSTERESIS} THEN said END IGNORE NULLS) OVER
-    (PARTITION BY axle_key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS settled
+    (PARTITION BY axle_key ORDER BY "timestamp", sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS settled
 FROM h2"""),
     "h4": (["h3"], """
-SELECT *, lag(settled) OVER (PARTITION BY axle_key ORDER BY tick) AS prior_settled,
-  settled IS DISTINCT FROM lag(settled) OVER (PARTITION BY axle_key ORDER BY tick) AS changed
+SELECT *, lag(settled) OVER (PARTITION BY axle_key ORDER BY "timestamp", sample_id) AS prior_settled,
+  settled IS DISTINCT FROM lag(settled) OVER (PARTITION BY axle_key ORDER BY "timestamp", sample_id) AS changed
 FROM h3"""),
-    "h5": (["h4"], f"""
-SELECT *, round((tick - coalesce(max(CASE WHEN changed THEN tick END) OVER
-    (PARTITION BY axle_key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0))*{D(2)}, 1) AS dwell_s,
-  round((tick - coalesce(max(CASE WHEN changed THEN tick END) OVER
-    (PARTITION BY axle_key ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))*{D(2)}, 1) AS prior_duration_s
+    "h5": (["h4"], """
+SELECT *, (epoch_us("timestamp") - coalesce(max(CASE WHEN changed THEN epoch_us("timestamp") END) OVER
+    (PARTITION BY axle_key ORDER BY "timestamp", sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), start_us)
+    + 50000) // 100000 / CAST(10 AS DOUBLE) AS dwell_s,
+  (epoch_us("timestamp") - coalesce(max(CASE WHEN changed THEN epoch_us("timestamp") END) OVER
+    (PARTITION BY axle_key ORDER BY "timestamp", sample_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start_us)
+    + 50000) // 100000 / CAST(10 AS DOUBLE) AS prior_duration_s
 FROM h4"""),
     "states0": (["h5"], f"""
 SELECT *, CASE WHEN settled <> 'normal' THEN {priority('severity', 'dwell_s', 'conf')} END AS priority FROM h5"""),
@@ -167,8 +170,13 @@ FROM linked"""),
 SELECT CAST(substr(line_id, 2) AS BIGINT) AS id, min("timestamp") AS started,
   count(DISTINCT axle_key) AS axle_count FROM tele GROUP BY line_id"""),
     "scored": (["pred"], """
-SELECT *, fault_type AS actual, fault_severity AS actual_severity, fault_type=pred AS correct,
-  fault_severity=severity AS severity_correct FROM pred"""),
+SELECT p.* EXCLUDE (pred), CASE WHEN sample_id % 50 = 7 THEN 'unknown' ELSE pred END AS pred,
+  CASE WHEN sample_id % 60 = 11 THEN 'unknown' ELSE fault_type END AS actual, fault_severity AS actual_severity,
+  sample_id % 50 <> 7 AND sample_id % 60 <> 11 AND fault_type = p.pred AS correct,
+  fault_severity = severity AS severity_correct FROM pred p"""),
+    "answered": (["pred"], """
+SELECT *, fault_type AS actual, fault_severity AS actual_severity, fault_severity = severity AS severity_correct
+FROM pred"""),
     "rings": ([], f"""
 SELECT c_name AS name, {D(28)} + (c_custkey*131%1500)/{D(1000)} AS x, {D(40.5)} + (c_custkey*89%900)/{D(1000)} AS y,
   {D(0.002)} + (c_custkey%5)/{D(500)} AS s, CASE WHEN c_custkey%5=0 THEN 0 ELSE 2 END AS h2,

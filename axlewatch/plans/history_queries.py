@@ -69,7 +69,8 @@ def runs_with_alarm_count(spark, d):
 
 
 @query("last_alarms", needs="alarms", sql="""
-SELECT id, recorded_at, axle, line_id, new, severity FROM alarms WHERE kind='alarm' ORDER BY id DESC LIMIT 50""")
+SELECT id, recorded_at, axle, line_id, new, severity FROM alarms WHERE kind='alarm'
+ORDER BY run_id DESC, tick DESC, axle DESC, id DESC LIMIT 50""")
 def last_alarms(spark, d):
     return H.last_alarms(alarm_table(spark, d)).select(
         "id", "recorded_at", "axle", "line_id", "new", "severity")

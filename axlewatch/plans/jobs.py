@@ -12,6 +12,7 @@ from axlewatch.operators import labels as L
 from axlewatch.operators import models as M
 from axlewatch.operators import scoring as S
 from axlewatch.operators.segments import Timeline
+from axlewatch.operators.windows import Clock
 from axlewatch.schemas import ENTROPY_LIMIT, HYSTERESIS
 from axlewatch.session import checkpointed
 from axlewatch.sources import files
@@ -45,13 +46,18 @@ def train(spark: SparkSession, path: str, max_iter: int = 50) -> tuple[M.FaultMo
     return fault, anomaly
 
 
+def answer_key(spark: SparkSession, path: str) -> DataFrame:
+    """The stored key with one row per sample."""
+    key = files.scan_answer_key(spark, f"{path}/key", "parquet")
+    return files.last_per_id(key, F.struct("timestamp", "fault_type", "fault_severity"))
+
+
 def evaluate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Reports on the test part with the saved models."""
     model = M.FaultModel.load(spark, f"{path}/model/fault")
     windows = M.window_vectors(timeline(spark.read.parquet(f"{path}/split/part=test")), model.scaler)
     out = M.score_models(windows, model)
-    scored = S.score_against_key(
-        out.drop("fault_type", "fault_severity"), files.scan_answer_key(spark, f"{path}/key", "parquet"))
+    scored = S.score_against_key(out.drop("fault_type", "fault_severity"), answer_key(spark, path))
     # the few columns every report reads, scored once
     scored = checkpointed(scored.select(
         "sample_id", "actual", "pred", "evaluated", "correct", "severity_correct"))
@@ -62,27 +68,60 @@ def evaluate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return reports
 
 
-def score_stream(spark: SparkSession, path: str, delay: str = "10 seconds") -> None:
-    """Unlabelled stream -> windows -> predictions, into the table `predictions`."""
+def score_stream(spark: SparkSession, path: str, delay: str = "10 seconds", batch_bytes: int = 512 << 20) -> None:
+    """Unlabelled stream -> windows -> predictions and anomaly columns, into the table `predictions`.
+
+    Without a saved anomaly model the anomaly columns are NULL.
+    """
     model = M.FaultModel.load(spark, f"{path}/model/fault")
-    rows = live.scan_stream(spark, f"{path}/stream").withColumn("axle_key", X.axle_key())
-    windows = live.stream_windows(
-        rows, model.scaler.item(), model.window, delay, ["line_id", "train_id", "next_station", "track_km"])
-    scored = M.score_models(M.vectors_of(windows.where("ready"), model), model).drop("features")
-    live.start(scored, live.append_to(f"{path}/predictions"), f"{path}/state/score",
-               bounded=True).awaitTermination()
+    place = f"{path}/model/anomaly"
+    anomaly = M.AnomalyModel.load(spark, place) if files.exists(spark, place) else None
+    rows = live.scan_stream(spark, f"{path}/stream", bytes_per_batch=batch_bytes).withColumn("axle_key", X.axle_key())
+
+    def scored(rows: DataFrame) -> DataFrame:
+        windows = live.stream_windows(
+            rows, model.scaler.item(), model.window, delay, ["line_id", "train_id", "next_station", "track_km"])
+        out = M.score_models(M.vectors_of(windows.where("ready"), model), model)
+        return M.score_anomalies(out, anomaly).drop("features")
+
+    live.replay(rows, scored, live.append_to(f"{path}/predictions"), f"{path}/state/score")
 
 
 def replay_alarms(spark: SparkSession, path: str, hysteresis: int = HYSTERESIS,
-                  limit: float = ENTROPY_LIMIT, delay: str = "10 seconds") -> live.Run:
-    """Predictions -> alarm events, into the alarm store under a new run."""
+                  limit: float = ENTROPY_LIMIT, delay: str = "10 seconds", blind: bool = False,
+                  defects: DataFrame | None = None, batch_bytes: int = 512 << 20) -> live.Run:
+    """Predictions -> alarm events and metric snapshots, into the history under a new run.
+
+    Events near a defect are linked to it and, unless the run is blind, carry the actual class. The
+    run's clock starts with the first reading of the stream, not with the first full window.
+    """
     table = spark.read.parquet(f"{path}/predictions/batch=*")
-    run = live.open_run(spark, f"{path}/history", "parquet", hysteresis=hysteresis)
-    rows = spark.readStream.schema(table.schema).parquet(f"{path}/predictions/batch=*").withColumn(
-        "uncertain", X.is_uncertain(F.col("entropy"), limit))
-    events = A.alarm_events(live.stream_alarm_states(rows, hysteresis, delay))
-    live.start(events, files.alarm_writer(run.store, run.run_id), run.checkpoint,
-               bounded=True).awaitTermination()
+    stream = spark.read.parquet(f"{path}/stream")
+    clock = Clock.of(stream)
+    sizes = stream.agg(F.countDistinct(X.axle_key()).alias("axles"), F.countDistinct("line_id").alias("lines")).first()
+    run = live.open_run(spark, f"{path}/history", "parquet", blind, hysteresis, sizes["axles"], sizes["lines"])
+    key = answer_key(spark, path)
+    sure = X.is_uncertain(F.col("entropy"), limit)
+
+    def events(rows: DataFrame) -> DataFrame:
+        states = live.stream_alarm_states(rows.withColumn("uncertain", sure), hysteresis, delay, clock)
+        out = A.alarm_events(states)
+        if defects is not None:
+            out = live.stream_defects(out, defects)
+        if not blind:
+            out = out.join(key.select("sample_id", F.col("fault_type").alias("actual")), "sample_id", "left")
+        return out
+
+    source = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", batch_bytes).parquet(
+        f"{path}/predictions/batch=*")
+    live.replay(source, events, files.alarm_writer(run.store, run.run_id), run.checkpoint)
+    # snapshots of the running metrics, from the stored predictions
+    rows = table.withColumns({"uncertain": sure, "tick": clock.tick()})
+    line = Timeline.of(rows, ["axle_key"], "timestamp", ["timestamp", "sample_id"])
+    active = A.active_alarm_count(A.alarm_states(line, hysteresis, clock.start_us).rows)
+    model = M.FaultModel.load(spark, f"{path}/model/fault")
+    metrics = S.blind_metrics(S.running_metrics(S.score_against_key(rows, key), model.classes), blind)
+    files.metric_writer(run.store, run.run_id)(S.metric_rows(S.metric_snapshots(metrics), active), 0)
     return run
 
 

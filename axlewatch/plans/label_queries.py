@@ -137,8 +137,8 @@ def distinct_counts(spark, d):
         adapt.predictions(spark, d), ticks="timestamp", axles="axle_key", lines="line_id")
 
 
-@query("label_union", needs="scored", sql="""
-SELECT actual AS label FROM scored UNION SELECT pred FROM scored""")
+@query("label_union", needs="answered", sql="""
+SELECT actual AS label FROM answered UNION SELECT pred FROM answered""")
 def label_union(spark, d):
     return L.label_union(adapt.predictions(spark, d), "fault_type", "pred")
 
@@ -196,9 +196,9 @@ def order_telemetry(spark, d):
     return adapt.telemetry(spark, d).select("sample_id", *order).orderBy(*order)
 
 
-@query("first_n_predictions", needs="scored", sql="""
+@query("first_n_predictions", needs="answered", sql="""
 SELECT sample_id, actual, pred, actual_severity, severity, CASE WHEN actual=pred THEN 'OK' ELSE 'X' END AS mark
-FROM scored ORDER BY axle_key, tick LIMIT 20""")
+FROM answered ORDER BY axle_key, "timestamp", sample_id LIMIT 20""")
 def first_n_predictions(spark, d):
     """The first sequences in series order, with a mark for right and wrong."""
     rows = adapt.predictions(spark, d)

@@ -9,23 +9,32 @@ from axlewatch.plans import adapt
 from axlewatch.plans.registry import query
 
 C = adapt.CLASSES
+ALL = [*C, S.UNKNOWN]
+
+
+def odd_key(spark, d):
+    """The answer key with some answers of a class that no model lists."""
+    odd = F.when(F.col("sample_id") % 60 == 11, "door_open").otherwise(F.col("fault_type"))
+    return adapt.answer_key(spark, d).withColumn("fault_type", odd)
+
+
+def odd_predictions(predictions):
+    odd = F.when(F.col("sample_id") % 50 == 7, "door_fault").otherwise(F.col("pred"))
+    return predictions.drop("fault_type", "fault_severity").withColumn("pred", odd)
 
 
 def scored(spark, d):
-    return S.score_against_key(adapt.predictions(spark, d).drop("fault_type", "fault_severity"),
-                               adapt.answer_key(spark, d))
+    return S.score_against_key(odd_predictions(adapt.predictions(spark, d)), odd_key(spark, d))
 
 
 def scored_ticks(spark, d):
-    return S.score_against_key(
-        adapt.ticked_predictions(spark, d).drop("fault_type", "fault_severity"),
-        adapt.answer_key(spark, d))
+    return S.score_against_key(odd_predictions(adapt.ticked_predictions(spark, d)), odd_key(spark, d))
 
 
 # per class: tp, support, called and the three rates, in SQL
 CLASS_SQL = """
-WITH cls AS (SELECT unnest(['bearing_fault','normal','rail_crack']) AS class),
-cnt AS (SELECT class, (SELECT count(*) FILTER (WHERE actual=class AND pred=class) FROM scored) AS tp,
+WITH cls AS (SELECT unnest(['bearing_fault','normal','rail_crack','unknown']) AS class),
+cnt AS (SELECT class, (SELECT count(*) FILTER (WHERE actual=class AND pred=class AND correct) FROM scored) AS tp,
   (SELECT count(*) FILTER (WHERE actual=class) FROM scored) AS support,
   (SELECT count(*) FILTER (WHERE pred=class) FROM scored) AS called FROM cls),
 pr AS (SELECT *, CASE WHEN called=0 THEN 0.0 ELSE tp/CAST(called AS DOUBLE) END AS pre,
@@ -61,8 +70,9 @@ def predictions_to_rows(spark, d):
 
 @query("confusion_matrix", needs="scored", sql="""
 SELECT c.actual, count(*) FILTER (WHERE s.pred='bearing_fault') AS bearing_fault,
-  count(*) FILTER (WHERE s.pred='normal') AS "normal", count(*) FILTER (WHERE s.pred='rail_crack') AS rail_crack
-FROM (SELECT unnest(['bearing_fault','normal','rail_crack']) AS actual) c LEFT JOIN scored s ON s.actual=c.actual
+  count(*) FILTER (WHERE s.pred='normal') AS "normal", count(*) FILTER (WHERE s.pred='rail_crack') AS rail_crack,
+  count(*) FILTER (WHERE s.pred='unknown') AS unknown
+FROM (SELECT unnest(['bearing_fault','normal','rail_crack','unknown']) AS actual) c LEFT JOIN scored s ON s.actual=c.actual
 GROUP BY c.actual""")
 def confusion_matrix(spark, d):
     return S.confusion_matrix(scored(spark, d), C)
@@ -93,7 +103,7 @@ def classification_report(spark, d):
 
 
 @query("severity_report", needs="scored", sql="""
-WITH cls AS (SELECT unnest(['none','mild','moderate','severe']) AS class),
+WITH cls AS (SELECT unnest(['none','mild','moderate','severe','unknown']) AS class),
 cnt AS (SELECT class, (SELECT count(*) FILTER (WHERE actual_severity=class AND severity=class) FROM scored) AS tp,
   (SELECT count(*) FILTER (WHERE actual_severity=class) FROM scored) AS support,
   (SELECT count(*) FILTER (WHERE severity=class) FROM scored) AS called FROM cls),
@@ -155,7 +165,7 @@ TREND = """SELECT tick, CAST(sum(n) OVER o AS BIGINT) AS total, CAST(sum(h) OVER
 
 @query("accuracy_trend", needs="scored", sql=f"""
 SELECT tick, total, hits, hits/CAST(total AS DOUBLE) AS acc, severity_hits/CAST(total AS DOUBLE) AS severity_acc
-FROM ({TREND}) WHERE tick > (SELECT max(tick) FROM scored) - 120""")
+FROM ({TREND}) ORDER BY tick DESC LIMIT 120""")
 def accuracy_trend(spark, d):
     return S.accuracy_trend(scored_ticks(spark, d))
 
@@ -163,23 +173,25 @@ def accuracy_trend(spark, d):
 def _cells() -> str:
     return ", ".join(
         f"CAST(sum(count(*) FILTER (WHERE actual='{a}' AND pred='{p}')) OVER (ORDER BY tick) AS BIGINT) AS {a}__{p}"
-        for a in C for p in C)
+        for a in ALL for p in ALL)
 
 
 def _metrics_sql() -> str:
     rates = []
-    for c in C:
-        called = "+".join(f"{a}__{c}" for a in C)
-        support = "+".join(f"{c}__{p}" for p in C)
+    for c in ALL:
+        right = f"(hits-{'-'.join(f'{x}__{x}' for x in C)})" if c == "unknown" else f"{c}__{c}"
+        called = "+".join(f"{a}__{c}" for a in ALL)
+        support = "+".join(f"{c}__{p}" for p in ALL)
         rates.append(
             f"({called}) AS called_{c}, ({support}) AS support_{c}, "
-            f"CASE WHEN ({called})=0 THEN 0.0 ELSE {c}__{c}/CAST(({called}) AS DOUBLE) END AS p_{c}, "
-            f"CASE WHEN ({support})=0 THEN 0.0 ELSE {c}__{c}/CAST(({support}) AS DOUBLE) END AS r_{c}")
+            f"CASE WHEN ({called})=0 THEN 0.0 ELSE {right}/CAST(({called}) AS DOUBLE) END AS p_{c}, "
+            f"CASE WHEN ({support})=0 THEN 0.0 ELSE {right}/CAST(({support}) AS DOUBLE) END AS r_{c}")
     f1 = "+".join(
-        f"CASE WHEN support_{c}>0 AND p_{c}+r_{c}>0 THEN 2*p_{c}*r_{c}/(p_{c}+r_{c}) ELSE 0.0 END" for c in C)
-    present = "+".join(f"CASE WHEN support_{c}>0 THEN 1 ELSE 0 END" for c in C)
+        f"CASE WHEN support_{c}>0 AND p_{c}+r_{c}>0 THEN 2*p_{c}*r_{c}/(p_{c}+r_{c}) ELSE 0.0 END" for c in ALL)
+    present = "+".join(f"CASE WHEN support_{c}>0 THEN 1 ELSE 0 END" for c in ALL)
     return f"""
-WITH rc AS (SELECT tick, {_cells()} FROM scored GROUP BY tick),
+WITH rc AS (SELECT tick, CAST(sum(count(*) FILTER (WHERE correct)) OVER (ORDER BY tick) AS BIGINT) AS hits,
+  {_cells()} FROM scored GROUP BY tick),
 rt AS (SELECT tick, {", ".join(rates)} FROM rc),
 mt AS (SELECT tick, round(({f1})/CAST(({present}) AS DOUBLE), 6) AS macro_f1 FROM rt),
 tr AS ({TREND}),
@@ -190,7 +202,7 @@ metrics AS (SELECT tr.tick, total AS evaluated, round(hits/CAST(total AS DOUBLE)
 
 @query("running_confusion", needs="scored", sql=f"SELECT tick, {_cells()} FROM scored GROUP BY tick")
 def running_confusion(spark, d):
-    return S.running_confusion(scored_ticks(spark, d), C).drop("evaluated", "severity_hits")
+    return S.running_confusion(scored_ticks(spark, d), C).drop("evaluated", "hits", "severity_hits")
 
 
 @query("running_metrics", needs="scored", sql=_metrics_sql() + "SELECT * FROM metrics")

@@ -91,19 +91,19 @@ def last_tick_flag(spark, d):
 
 
 @query("recent_series", needs="pred", sql="""
-SELECT axle_key, tick, track_km, speed_kmh, pred,
-  row_number() OVER (PARTITION BY axle_key ORDER BY tick DESC, sample_id DESC) AS age
+SELECT sample_id, axle_key, tick, track_km, speed_kmh, pred,
+  row_number() OVER (PARTITION BY axle_key ORDER BY "timestamp" DESC, sample_id DESC) AS age
 FROM pred QUALIFY age <= 90""")
 def recent_series(spark, d):
     rows = adapt.ticked_predictions(spark, d).select(
-        "sample_id", "axle_key", "tick", "track_km", "speed_kmh", "pred")
-    return W.recent_series(rows).drop("sample_id")
+        "sample_id", "timestamp", "axle_key", "tick", "track_km", "speed_kmh", "pred")
+    return W.recent_series(rows).drop("timestamp")
 
 
 @query("minmax_series", needs="pred", sql="""
-WITH r AS (SELECT axle_key, tick, track_km, speed_kmh,
-  row_number() OVER (PARTITION BY axle_key ORDER BY tick DESC, sample_id DESC) AS age FROM pred QUALIFY age <= 90)
-SELECT axle_key, tick,
+WITH r AS (SELECT sample_id, axle_key, tick, track_km, speed_kmh,
+  row_number() OVER (PARTITION BY axle_key ORDER BY "timestamp" DESC, sample_id DESC) AS age FROM pred QUALIFY age <= 90)
+SELECT sample_id, axle_key, tick,
   (track_km - min(track_km) OVER a)/(CASE WHEN max(track_km) OVER a = min(track_km) OVER a THEN 1.0
     ELSE max(track_km) OVER a - min(track_km) OVER a END) AS track_km_scaled,
   (speed_kmh - min(speed_kmh) OVER a)/(CASE WHEN max(speed_kmh) OVER a = min(speed_kmh) OVER a THEN 1.0
@@ -111,9 +111,9 @@ SELECT axle_key, tick,
 FROM r WINDOW a AS (PARTITION BY axle_key)""")
 def minmax_series(spark, d):
     rows = adapt.ticked_predictions(spark, d).select(
-        "sample_id", "axle_key", "tick", "track_km", "speed_kmh")
+        "sample_id", "timestamp", "axle_key", "tick", "track_km", "speed_kmh")
     out = W.minmax_series(W.recent_series(rows), ["track_km", "speed_kmh"])
-    return out.select("axle_key", "tick", "track_km_scaled", "speed_kmh_scaled")
+    return out.select("sample_id", "axle_key", "tick", "track_km_scaled", "speed_kmh_scaled")
 
 
 def motion(spark, d):

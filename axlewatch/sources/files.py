@@ -43,12 +43,23 @@ def scan_answer_key(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
     return _read(spark, path, schemas.ANSWER_KEY, fmt)
 
 
-def last_per_id(key: DataFrame, order: str, name: str = "sample_id") -> DataFrame:
+def last_per_id(key: DataFrame, order: str | Column, name: str = "sample_id") -> DataFrame:
     """Answer key with one row per id; of duplicates the one latest in `order` wins."""
     rest = [c for c in key.columns if c != name]
     return key.groupBy(name).agg(F.max_by(F.struct(*rest), order).alias("r")).select(name, "r.*")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file; false if another has created it before."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(place)
+
+
 def scan_defects(spark: SparkSession, path: str) -> DataFrame:
     """The defect list (a JSON array), or an empty table when there is no file."""
     raw = _or_empty(spark, schemas.DEFECTS, lambda r: r.option("multiLine", True).json(path))

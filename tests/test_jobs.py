@@ -1,12 +1,13 @@
 """The chain from labelled telemetry to the alarm history."""
 
+import shutil
+
 from pyspark.sql import functions as F
 
 from axlewatch import schemas
 from axlewatch.operators import alarms as A
-from axlewatch.operators.segments import with_ordinal
+from axlewatch.operators.segments import Timeline
 from axlewatch.plans import jobs
-from axlewatch.streaming import live
 
 TICKS = 240
 
@@ -31,7 +32,6 @@ def labelled(spark):
 
 
 def test_from_telemetry_to_history(spark, tmp_path):
-    live.use_rocksdb(spark)
     path = str(tmp_path)
     jobs.prepare(labelled(spark), path)
     jobs.train(spark, path, max_iter=15)
@@ -39,22 +39,53 @@ def test_from_telemetry_to_history(spark, tmp_path):
     got = reports["accuracy"].first()
     assert got["accuracy"] >= 0.9 and got["severity_accuracy"] >= 0.85
     assert got["evaluated"] == 4 * 20     # 48 test rows per axle give 20 windows
-    jobs.score_stream(spark, path, "0 seconds")
+    # a repeated answer changes no count
+    again = spark.read.parquet(f"{path}/key").limit(1)
+    again.coalesce(1).write.mode("append").parquet(f"{path}/key")
+    assert jobs.evaluate(spark, path)["accuracy"].first()["evaluated"] == 4 * 20
+    jobs.score_stream(spark, path)
     table = spark.read.parquet(f"{path}/predictions/batch=*")
-    assert table.count() == 4 * 39        # every row from the tenth on
-    first = jobs.replay_alarms(spark, path, delay="0 seconds")
-    second = jobs.replay_alarms(spark, path, hysteresis=6, delay="0 seconds")
-    silent = jobs.replay_alarms(spark, path, limit=0.0, delay="0 seconds")
+    assert table.count() == 4 * 39        # every row from the tenth on, the last ones too
+    assert table.where("anomaly is null").count() == 0
+    place = spark.createDataFrame(
+        [("M4", "M4@21.00", 21.0, 3.0, "A – B", 0), ("M4", "M4@22.00", 22.0, 3.0, "B – C", 1)],
+        "line_id string, defect_id string, km double, width_km double, between_text string, ord long")
+    first = jobs.replay_alarms(spark, path, defects=place)
+    second = jobs.replay_alarms(spark, path, hysteresis=6, blind=True)
+    silent = jobs.replay_alarms(spark, path, limit=0.0)
     assert (first.run_id, second.run_id, silent.run_id) == (1, 2, 3)
-    store = jobs.files.scan_history(spark, f"{path}/history")["alarms"]
+    history = jobs.files.scan_history(spark, f"{path}/history")
+    store = history["alarms"]
     per_run = {r["run_id"]: r["count"] for r in store.groupBy("run_id").count().collect()}
     assert per_run[1] >= 2 and per_run.get(2, 0) <= per_run[1]
     assert 3 not in per_run               # with limit 0 everything is uncertain and nothing settles
-    whole = table.withColumn("wagon_id", F.lit("V1")).withColumn(
-        "axle_id", F.regexp_extract("axle_key", "A[0-9]", 0))
-    line = with_ordinal(jobs.timeline(whole), "tick")
+    line = Timeline.of(table.withColumn("tick", F.lit(0)), ["axle_key"], "timestamp", ["timestamp", "sample_id"])
     want = A.alarm_events(A.alarm_states(line).rows).count()
     assert per_run[1] == want
+    runs = {r["id"]: r for r in history["runs"].collect()}
+    assert runs[1]["axle_count"] == 4 and runs[1]["line_count"] == 1 and runs[2]["blind"]
+    assert store.where("run_id = 1 and actual is null").count() == 0
+    assert store.where("run_id = 2 and actual is not null").count() == 0
+    metrics = {(r["run_id"], r["tick"]): r for r in history["metrics"].collect()}
+    assert metrics[1, 25]["accuracy"] > 0.8 and metrics[2, 25]["accuracy"] is None
     summary = jobs.ask_history(spark, path)
     assert summary["totals"].first()["run_count"] == 3
     assert {r["class"] for r in summary["classes"].collect()} == {"bearing_fault"}
+    order = [(r["run_id"], r["tick"]) for r in summary["last_alarms"].collect()]
+    assert order == sorted(order, reverse=True)
+
+
+def test_the_chain_runs_without_an_anomaly_model_and_links_defects(spark, tmp_path):
+    path = str(tmp_path)
+    cracked = labelled(spark).replace("bearing_fault", "rail_crack", "fault_type")
+    jobs.prepare(cracked, path)
+    jobs.train(spark, path, max_iter=15)
+    shutil.rmtree(f"{path}/model/anomaly")
+    jobs.score_stream(spark, path)
+    assert spark.read.parquet(f"{path}/predictions/batch=*").where("anomaly is not null").count() == 0
+    place = spark.createDataFrame(
+        [("M4", "M4@21.00", 21.0, 9.0, "A – B", 0)],
+        "line_id string, defect_id string, km double, width_km double, between_text string, ord long")
+    jobs.replay_alarms(spark, path, defects=place)
+    found = jobs.ask_history(spark, path)["defects"].collect()
+    assert [r["defect_id"] for r in found] == ["M4@21.00"]

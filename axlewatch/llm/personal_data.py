@@ -134,7 +134,7 @@ def shape(piece: str) -> np.ndarray:
 
 
 HIDDEN = (7, 11, 12)
-AGREEMENT = 2.0
+AGREEMENT = 6.0
 
 
 def skip_links(keys: list[str]) -> list[tuple[int, int]]:

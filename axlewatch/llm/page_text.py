@@ -7,7 +7,7 @@ reader comments, known by tag, role, class or id. Prose inside an article is exe
 rule, so an article that quotes a line of its neighbours keeps it; containers inside it are not.
 
 A host's templates number at most elements-per-page / `share`, so their list per host is bounded by
-the size of a page. Spark decides by its size whether the list table is broadcast.
+the size of a page. The list table is broadcast only if a check finds it small.
 
 Defined results: a null or empty page has an empty text; a page without an article or main element is
 taken whole, less what is deleted; equal rows give equal rows and count as one page; a null or odd url
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axlewatch.llm.base import arrow_rows
+from axlewatch.operators.segments import sized_broadcast
 from axlewatch.session import checkpointed
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
@@ -38,7 +39,7 @@ RAW = frozenset("script style title textarea noscript template iframe svg math".
 INLINE = frozenset(
     "a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var wbr".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split()) | INLINE
+PROSE = frozenset("header hgroup p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th figcaption caption".split()) | INLINE
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre section table ul".split())
@@ -250,7 +251,8 @@ def extract_text(pages: DataFrame, min_pages: int = 5, share: float = 0.2) -> Da
     templates = checkpointed(site_templates(pages, min_pages, share))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
-    rows = rows.join(templates, "host", "left").select("page_id", "url", "html", "templates")
+    # a checked broadcast: beyond its limit the pages are shuffled by host
+    rows = rows.join(sized_broadcast(templates, F.size("templates")), "host", "left").select("page_id", "url", "html", "templates")
 
     def work(columns):
         out = []

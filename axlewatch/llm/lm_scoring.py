@@ -18,6 +18,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from axlewatch.session import checkpointed
 
 ORDER = 5
-BLOCK = 1 << 20
+BLOCK = 1 << 20     # n-grams handled at a time
 COUNTED = "chunk int, gram long, n_all long, n_target long"
 SCORED = "doc_id long, n_tokens long, ce_target double, ce_background double, score double"
 
@@ -59,19 +61,41 @@ def chunk_of(chunks: int):
     return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(chunks)).cast("int")
 
 
+def stretches(texts: list) -> Iterator[tuple[int, list]]:
+    """(number of the first text, texts) for stretches of about BLOCK characters."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= BLOCK or i + 1 == len(texts):
+            yield first, texts[first:i + 1]
+            first, size = i + 1, 0
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names with their summed counts."""
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    names, at = np.unique(np.concatenate([n for n, _ in parts]), return_inverse=True)
+    return names, np.bincount(at, np.concatenate([c for _, c in parts]), len(names)).astype(np.int64)
+
+
 def count_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
     """Distinct n-grams of a chunk with their counts in all documents and in the target's."""
     good = set(right.column("doc_id").to_pylist())
-    ids, texts = left.column("doc_id").to_pylist(), left.column("text").to_pylist()
-    gram, bounds = grams_of(texts)
-    inside = np.repeat(np.array([i in good for i in ids], dtype=bool), np.diff(bounds))
-    names, n_all = np.unique(gram, return_counts=True)
-    some, n_some = np.unique(gram[inside], return_counts=True)
+    ids, every, target = left.column("doc_id").to_pylist(), [], []
+    for first, texts in stretches(left.column("text").to_pylist()):
+        gram, bounds = grams_of(texts)
+        inside = np.repeat([i in good for i in ids[first:first + len(texts)]], np.diff(bounds))
+        every.append(np.unique(gram, return_counts=True))
+        target.append(np.unique(gram[inside.astype(bool)], return_counts=True))
+        if len(every) > 8:
+            every, target = [summed(every)], [summed(target)]
+    (names, n_all), (some, n_some) = summed(every), summed(target)
     n_target = np.zeros(len(names), np.int64)
     n_target[np.searchsorted(names, some)] = n_some
     chunk = left.column("chunk")[0].as_py() if left.num_rows else 0
     return pa.table({"chunk": pa.array(np.full(len(names), chunk, np.int32)), "gram": pa.array(names.view(np.int64)),
-                     "n_all": pa.array(n_all.astype(np.int64)), "n_target": pa.array(n_target)})
+                     "n_all": pa.array(n_all), "n_target": pa.array(n_target)})
 
 
 def gram_losses(counts: DataFrame, lean: float) -> DataFrame:
@@ -99,28 +123,28 @@ def gram_losses(counts: DataFrame, lean: float) -> DataFrame:
 
 def score_chunk(left: pa.Table, right: pa.Table) -> pa.Table:
     """Mean losses of the documents of a chunk, by the losses of its n-grams."""
-    gram, bounds = grams_of(left.column("text").to_pylist())
     names = right.column("gram").to_numpy()
     by = np.argsort(names)
     names = names[by]
-    totals = []
-    for model in ("target", "background"):
-        totals.append(np.zeros(len(bounds) - 1))
     losses = [right.column(m).to_numpy()[by] for m in ("target", "background")]
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    for start in range(0, len(gram), BLOCK):
-        part = gram[start:start + BLOCK]
-        # sorted needles are found several times as fast
-        key = np.sort(part << np.uint64(20) | np.arange(len(part), dtype=np.uint64))
-        at = np.searchsorted(names, (key >> np.uint64(20)).view(np.int64))
-        owner = doc[start + (key & np.uint64(BLOCK - 1)).view(np.int64)]
-        for total, loss in zip(totals, losses):
-            total += np.bincount(owner, loss[at], len(total))
-    sizes = np.diff(bounds)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        target, background = (pa.array(t / sizes, mask=sizes == 0) for t in totals)
-        score = pa.array((totals[0] - totals[1]) / sizes, mask=sizes == 0)
-    return pa.table({"doc_id": left.column("doc_id").combine_chunks(), "n_tokens": pa.array(sizes.astype(np.int64)),
+    sizes = np.zeros(left.num_rows, np.int64)
+    totals = [np.zeros(left.num_rows) for _ in losses]
+    for first, texts in stretches(left.column("text").to_pylist()):
+        gram, bounds = grams_of(texts)
+        sizes[first:first + len(texts)] = np.diff(bounds)
+        doc = first + np.repeat(np.arange(len(texts)), np.diff(bounds))
+        for start in range(0, len(gram), BLOCK):
+            part = gram[start:start + BLOCK]
+            # sorted needles are found several times as fast
+            key = np.sort(part << np.uint64(20) | np.arange(len(part), dtype=np.uint64))
+            at = np.searchsorted(names, (key >> np.uint64(20)).view(np.int64))
+            owner = doc[start + (key & np.uint64(BLOCK - 1)).view(np.int64)]
+            for total, loss in zip(totals, losses):
+                total += np.bincount(owner, loss[at], len(total))
+    none, n = sizes == 0, np.maximum(sizes, 1)
+    target, background, score = (
+        pa.array(t / n, mask=none) for t in (totals[0], totals[1], totals[0] - totals[1]))
+    return pa.table({"doc_id": left.column("doc_id").combine_chunks(), "n_tokens": pa.array(sizes),
                      "ce_target": target, "ce_background": background, "score": score})
 
 

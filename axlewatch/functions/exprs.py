@@ -47,9 +47,14 @@ def defect_id(line: Column, km: Column) -> Column:
     return F.concat(line, F.lit("@"), F.call_function("format_number", km, F.lit("0.00")))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def line_code(project: Column) -> Column:
     """Leading code of a project name (`M4 …` -> `M4`), MARMARAY, or NULL."""
-    first = F.upper(F.split(F.trim(project), r"\s+")[0])
+    first = F.upper(F.split(strip(project), r"(?U)\s+")[0])
     return (
         F.when(first.rlike(r"^[MTF]") & first.rlike(r"[0-9]"), first)
         .when(F.upper(project).contains("MARMARAY"), "MARMARAY")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
 from axlewatch.operators.segments import global_rank
-from axlewatch.schemas import ID_COLUMNS, LABELS
+from axlewatch.schemas import ID_COLUMNS, LABELS, TICK_SECONDS
 
 SPLIT_SHARE = 0.8  # fixed value: share of the time span that trains
 
@@ -38,10 +38,15 @@ def stream_and_key(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return require_unlabelled(drop_labels(df)), answer_key(df)
 
 
-def chronological_split(df: DataFrame, ts: str = "timestamp", share: float = SPLIT_SHARE) -> DataFrame:
-    """Adds part = train (before start + share of the span) or test."""
+def chronological_split(df: DataFrame, ts: str = "timestamp", share: float = SPLIT_SHARE,
+                        step_seconds: float = TICK_SECONDS) -> DataFrame:
+    """Adds part = train (before start + share of the duration) or test.
+
+    The duration counts every step, the last one included, so it is one step longer than the span.
+    """
     us = F.unix_micros(ts)
-    cut = df.agg((F.min(us) + (F.max(us) - F.min(us)) * share).alias("cut")).scalar()
+    step = int(step_seconds * 1_000_000)
+    cut = df.agg((F.min(us) + (F.max(us) - F.min(us) + step) * share).alias("cut")).scalar()
     return df.withColumn("part", F.when(us < cut, "train").otherwise("test"))
 
 

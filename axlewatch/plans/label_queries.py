@@ -56,7 +56,7 @@ def assign_sample_id(spark, d):
 
 
 @query("chronological_split", sql="""
-WITH b AS (SELECT min(epoch_us(l_shipdate)) + (max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate)))*CAST(0.8 AS DOUBLE) AS cut
+WITH b AS (SELECT min(epoch_us(l_shipdate)) + (max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate)) + 2000000)*CAST(0.8 AS DOUBLE) AS cut
   FROM lineitem)
 SELECT CASE WHEN epoch_us(l_shipdate) < cut THEN 'train' ELSE 'test' END AS part, count(*) AS readings,
   min(l_shipdate) AS first_time, max(l_shipdate) AS last_time FROM lineitem, b GROUP BY 1""")
@@ -104,7 +104,7 @@ def _split(spark, d):
 
 # s: telemetry with its chronological part
 SPLIT = """
-WITH b AS (SELECT min(epoch_us("timestamp")) + (max(epoch_us("timestamp")) - min(epoch_us("timestamp")))*CAST(0.8 AS DOUBLE) AS cut FROM tele),
+WITH b AS (SELECT min(epoch_us("timestamp")) + (max(epoch_us("timestamp")) - min(epoch_us("timestamp")) + 2000000)*CAST(0.8 AS DOUBLE) AS cut FROM tele),
 s AS (SELECT tele.*, CASE WHEN epoch_us("timestamp") < cut THEN 'train' ELSE 'test' END AS part FROM tele, b)
 """
 
@@ -144,13 +144,11 @@ def label_union(spark, d):
 
 
 @query("set_difference", sql="""
-SELECT DISTINCT s_nationkey AS nationkey FROM supplier WHERE s_nationkey NOT IN (
-  SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)""")
+SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def set_difference(spark, d):
-    have = adapt.table(spark, d, "supplier").select(F.col("s_nationkey").alias("nationkey"))
-    lack = adapt.table(spark, d, "customer").where("c_acctbal > 9900").select(
-        F.col("c_nationkey").alias("nationkey"))
-    return L.set_difference(have, lack)
+    """Documents without a label."""
+    return L.set_difference(adapt.table(spark, d, "documents").select("doc_id"),
+                            adapt.table(spark, d, "labels").select("doc_id"))
 
 
 @query("lines_without_trains", needs="tele stations0", sql="""
@@ -161,7 +159,7 @@ def lines_without_trains(spark, d):
 
 
 @query("missing_classes", sql="""
-WITH b AS (SELECT min(epoch_us(l_shipdate)) + (max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate)))*CAST(0.8 AS DOUBLE) AS cut FROM lineitem),
+WITH b AS (SELECT min(epoch_us(l_shipdate)) + (max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate)) + 2000000)*CAST(0.8 AS DOUBLE) AS cut FROM lineitem),
 s AS (SELECT 'M'||CAST(date_trunc('month', l_shipdate) AS DATE) AS fault_type,
   CASE WHEN epoch_us(l_shipdate) < cut THEN 'train' ELSE 'test' END AS part FROM lineitem, b)
 SELECT DISTINCT fault_type, p AS missing_in FROM s, (SELECT unnest(['train','test']) AS p)

@@ -135,7 +135,7 @@ UNION ALL SELECT 'DQ12 context not null', count(*), count(*) FILTER (WHERE line_
 
 
 @query("dq_report", needs="tele pred0 stations defects lines", sql=f"""
-WITH b AS (SELECT min(epoch_us("timestamp")) + (max(epoch_us("timestamp")) - min(epoch_us("timestamp")))*CAST(0.8 AS DOUBLE) AS cut FROM tele),
+WITH b AS (SELECT min(epoch_us("timestamp")) + (max(epoch_us("timestamp")) - min(epoch_us("timestamp")) + 2000000)*CAST(0.8 AS DOUBLE) AS cut FROM tele),
 s AS (SELECT tele.*, CASE WHEN epoch_us("timestamp") < cut THEN 'train' ELSE 'test' END AS part FROM tele, b),
 pc AS (SELECT fault_type, count(*) FILTER (WHERE part='train') AS a, count(*) FILTER (WHERE part='test') AS z FROM s GROUP BY 1),
 mo AS (SELECT train_id, "timestamp", min(track_km)<>max(track_km) OR min(speed_kmh)<>max(speed_kmh) AS bad FROM tele GROUP BY 1,2),

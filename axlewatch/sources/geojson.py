@@ -36,7 +36,7 @@ def scan_stations(spark: SparkSession, path: str) -> DataFrame:
     p, xy = "f.properties", F.col("f.geometry.coordinates")
     return _features(spark, path, schemas.STATIONS_GEOJSON).select(
         "ord", X.line_code(F.col(f"{p}.PROJE_ADI")).alias("line_id"),
-        F.trim(F.coalesce(f"{p}.ISTASYON", F.lit(""))).alias("name"),
+        X.strip(F.coalesce(f"{p}.ISTASYON", F.lit(""))).alias("name"),
         X.round_even(F.get(xy, F.lit(0)), 6).alias("lon"), X.round_even(F.get(xy, F.lit(1)), 6).alias("lat"),
         F.col(f"{p}.PROJE_ADI").alias("project"), F.col(f"{p}.HAT_TURU").alias("kind"),
         F.col(f"{p}.PROJE_ASAMA").alias("stage"), F.col(f"{p}.MUDURLUK").alias("directorate"))

@@ -108,7 +108,10 @@ def score_anomalies(spark, d):
     return out.select("sample_id", "fault_type", "anomaly_error", "anomaly", "anomaly_score", "unknown_anomaly")
 
 
-@query("holdout_split")
+@query("holdout_split", needs="tele", sql="""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY axle_key ORDER BY "timestamp", sample_id) AS rn FROM tele)
+SELECT sample_id, axle_key, CAST('0x' || substr(md5(axle_key), 1, 8) AS BIGINT) % 100 < 15 AS holdout
+FROM r WHERE rn >= 10 AND (rn - 10) % 2 = 0 AND fault_type = 'normal'""")
 def holdout_split(spark, d):
     """Windows of normal axles, whole axles held out."""
     rows, _ = windows(spark, d)

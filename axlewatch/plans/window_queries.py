@@ -175,7 +175,21 @@ def tick_summary(spark, d):
     return build(states(spark, d))
 
 
-@query("tick_payload")
+@query("tick_payload", needs="states", sql="""
+SELECT tick, line_id, train_id, count(*) AS axles, min(axle_key) AS first_axle,
+  count(*) FILTER (WHERE settled <> 'normal') AS faulty, count(*) FILTER (WHERE uncertain) AS uncertain,
+  round(sum(round(conf, 4)), 4) AS conf, round(sum(track_km), 4) AS km, count(lat) AS located
+FROM states GROUP BY tick, line_id, train_id""")
 def tick_payload(spark, d):
+    """The documents, read back from their JSON text."""
     from axlewatch.operators.payload import train_documents
-    return train_documents(states(spark, d))
+    position = "struct<lat: double, km: double, station: string, at_station: boolean>"
+    axle = f"struct<axle: string, settled: string, uncertain: boolean, conf: double, position: {position}>"
+    read = F.from_json("document", f"tick long, line_id string, train_id string, axles array<{axle}>")
+    one = train_documents(states(spark, d)).select(read.alias("d")).select(
+        "d.tick", "d.line_id", "d.train_id", F.explode("d.axles").alias("a"))
+    return one.groupBy("tick", "line_id", "train_id").agg(
+        F.count("*").alias("axles"), F.min("a.axle").alias("first_axle"),
+        F.count_if(F.coalesce(F.col("a.settled") != "normal", F.lit(False))).alias("faulty"),
+        F.count_if("a.uncertain").alias("uncertain"), F.round(F.sum("a.conf"), 4).alias("conf"),
+        F.round(F.sum("a.position.km"), 4).alias("km"), F.count("a.position.lat").alias("located"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axlewatch.session import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,6 +39,14 @@ def arrow_rows(df: DataFrame, work: Callable[[list], Iterator[tuple] | list[tupl
     return df.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table in the shared folder: compressed, and read column by column."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def same(a: Column, b: Column) -> Column:
     """Equality that holds between two nulls."""
     return a.eqNullSafe(b)

@@ -8,8 +8,8 @@ give the groups.
 Equal sets become one class first, so copies never meet each other. In a bucket of a band every class
 is compared with two centres, which is linear however large the bucket; confirmed links then form
 components. Buckets that still hold several components are finished exactly: classes outside a
-bucket's largest component are compared with all others if they are few, else the bucket's classes go
-through a prefix filter on their rarest shingles, which loses no pair over the threshold.
+bucket's largest component are compared with all others, as pairs if they are few, else block by block
+inside tasks that see two blocks of bounded size and pass on only links that join components.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; fewer than five words are one
 shingle; a null or empty text has no shingles, is its own component and is kept; equal rows share a
@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axlewatch.llm.base import row_key
+from axlewatch.llm.base import row_key, stored
 from axlewatch.llm.components import connected_components
-from axlewatch.session import checkpointed
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
-FEW = 32            # classes outside the largest component that are compared directly
+FEW = 4             # so many classes outside the largest component meet all others as pairs
+BLOCK_ITEMS = 500_000   # shingles of a block of classes that a task compares with another block
 FILTER_BITS = 23    # size of the key filter; full filters only stop saving work
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                     0xA0761D6478BD642F], dtype=np.uint64)
@@ -41,7 +41,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -117,7 +117,7 @@ def described(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sets of the classes in question
 
 def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size that holds every key of the one-column frame."""
+    """A bitmap (as bytes) of fixed size that holds every key of the one-column frame."""
 
     def run(batches):
         seen = np.zeros(1 << bits, dtype=bool)
@@ -131,7 +131,13 @@ def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     packed = np.zeros((1 << bits) // 64, dtype=np.int64)
     for row in words.toLocalIterator():
         packed[row["at"]] = row["bits"]
-    return np.unpackbits(packed.view(np.uint8)).astype(bool)
+    return packed.view(np.uint8)
+
+
+def in_filter(seen: np.ndarray, keys: pa.Array, bits: int = FILTER_BITS) -> np.ndarray:
+    """Whether each key may be in the filter; never false for one that is."""
+    at = filter_slots(keys, bits)
+    return ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def filter_slots(keys: pa.Array, bits: int) -> np.ndarray:
@@ -145,7 +151,7 @@ def class_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
 
     def likely(batches):
         for batch in batches:
-            yield batch.filter(pa.array(seen.value[filter_slots(batch.column(0), FILTER_BITS)]))
+            yield batch.filter(pa.array(in_filter(seen.value, batch.column(0))))
 
     def run(batches):
         import xxhash
@@ -203,69 +209,116 @@ def star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
             .select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct())
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Pairs that the centres have not settled: of one bucket, of different components, of similar size."""
+def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Links that the centres have not settled: of one bucket, of different components, of similar size."""
     named = (members.join(labels, "node", "left")
              .select("key", "node", "n", F.coalesce("label", "node").alias("label")))
-    parts = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-    buckets = (parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("total"),
-                                        F.max(F.struct("size", "label")).alias("main"))
-               .where((F.col("parts") > 1) & (F.col("total") > 2))
-               .select("key", F.col("main.label").alias("main"), (F.col("total") - F.col("main.size")).alias("rest")))
-    rows = checkpointed(named.join(buckets, "key"))
+    parts = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
+    buckets = (parts.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("size").alias("total"), F.sum("items").alias("items"),
+        F.max(F.struct("size", "label", "items")).alias("main"))
+        .where((F.col("parts") > 1) & (F.col("total") > 2))
+        .select("key", F.col("main.label").alias("main"), (F.col("total") - F.col("main.size")).alias("rest"), "items",
+                (F.col("items") - F.col("main.items")).alias("rest_items")))
+    rows = stored(named.join(buckets, "key"))
     few = rows.where(F.col("rest") <= FEW)
     outside = few.where(F.col("label") != F.col("main")).select(
         "key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     direct = (few.join(outside, "key").where((F.col("label") != F.col("label2")) & similar_size("n", "n2", percent))
-              .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")))
-    many = rows.where(F.col("rest") > FEW).groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("label").alias("label"))
-    return direct.unionByName(prefix_pairs(many, sets, percent)).distinct()
+              .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
+    return confirmed(direct, sets, percent).unionByName(block_links(rows.where(F.col("rest") > FEW), sets, percent))
 
 
-def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Pairs of different components that share one of their rarest shingles.
+def block_links(rows: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
+    """Links between the classes outside a bucket's largest component and all others of the bucket.
 
-    Two sets over the threshold must meet in the first n - ceil(n * percent / 100) + 1 of any common
-    order, so nothing is lost; with the rarest first, a passage that many share proposes nothing.
+    Both sides come in blocks of about BLOCK_ITEMS shingles, and a task compares one block with one
+    block. Of the links it finds, it passes on those that join components not yet joined by it.
     """
-    items = nodes.join(sets, "node").select("node", "n", "label", F.explode("items").alias("item"))
-    counts = items.groupBy("item").agg(F.count("*").alias("df"))
-    rare = (items.join(counts.where("df > 1"), "item")
-            .groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("order")))
-    # shingles of one document only come first and meet nobody
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    posts = (rare.withColumn("keep", first - (F.col("n") - F.size("order"))).where("keep > 0")
-             .select("node", "n", "label", F.explode(F.slice("order", F.lit(1), F.col("keep").cast("int"))).alias("o"))
-             .select("node", "n", "label", F.col("o.item").alias("item")))
-    other = posts.select("item", *[F.col(c).alias(c + "2") for c in ("node", "n", "label")])
-    return (posts.join(other, "item").where((F.col("label") < F.col("label2")) & similar_size("n", "n2", percent))
-            .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")))
+    def blocks(total: str):
+        return F.ceil(F.col(total) / BLOCK_ITEMS).cast("int")
+
+    def place(total: str, salt: int):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), blocks(total)).cast("int")
+
+    held = rows.join(sets.withColumnRenamed("items", "items_of"), "node").withColumns({"i": place("items", 1), "j": place("rest_items", 2)})
+    left = held.select("key", "node", "label", "items_of", "i", F.explode(
+        F.sequence(F.lit(0), blocks("rest_items") - 1)).alias("j"))
+    right = held.where(F.col("label") != F.col("main")).select("key", "node", "label", "items_of", "j", F.explode(
+        F.sequence(F.lit(0), blocks("items") - 1)).alias("i")).toDF("key2", "node2", "label2", "items2", "j2", "i2")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        found = compare_blocks(*(t.column(c).to_pylist() for t, c in ((a, "node"), (a, "label"), (b, "node2"), (b, "label2"))),
+                               a.column("items_of").combine_chunks(), b.column("items2").combine_chunks(), percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    return left.groupBy("key", "i", "j").cogroup(right.groupBy("key2", "i2", "j2")).applyInArrow(compare, "a binary, b binary")
+
+
+def compare_blocks(nodes: list, labels: list, nodes2: list, labels2: list, items, items2, percent: int) -> list[tuple]:
+    if not nodes or not nodes2:
+        return []
+    sizes, sizes2 = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (items, items2))
+    owner, owner2 = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes2)), sizes2)
+    flat, flat2 = items.flatten().to_numpy(), items2.flatten().to_numpy()
+    both = np.intersect1d(flat, flat2)      # only these can be common
+    common = np.zeros((len(sizes2), len(sizes)), dtype=np.float32)
+    for start in range(0, len(both), 2048):
+        part = both[start:start + 2048]
+        pair = []
+        for values, who, n in ((flat, owner, len(sizes)), (flat2, owner2, len(sizes2))):
+            at = np.minimum(np.searchsorted(part, values), len(part) - 1)
+            hit = part[at] == values
+            grid = np.zeros((n, len(part)), dtype=np.float32)
+            grid[who[hit], at[hit]] = 1
+            pair.append(grid)
+        common += pair[1] @ pair[0].T
+    common = common.astype(np.int64)
+    near = 100 * common >= percent * (sizes2[:, None] + sizes[None, :] - common)
+    top: dict = {}
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    links = []
+    for i, j in np.argwhere(near):
+        x, y = root(labels2[i]), root(labels[j])
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            links.append((min(nodes2[i], nodes[j]), max(nodes2[i], nodes[j])))
+    return links
 
 
 def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row of (doc_id, text): row key, set size, group (the component's smallest class) and component_id."""
-    rows = checkpointed(described(docs))
+    rows = stored(described(docs))
     classes = rows.where("n_shingles > 0").dropDuplicates(["node"])
     bands = classes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     one = F.struct("node", "n")
     centres = (bands.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high"))
                .where(F.col("low") != F.col("high")))
-    members = checkpointed(bands.join(centres, "key").select("key", "node", "n", "low", "high"))
-    pairs = checkpointed(star_pairs(members.select("key", "node", "n"), members.select("key", "low", "high").distinct()))
+    members = stored(bands.join(centres.select("key"), "key"))
+    pairs = stored(star_pairs(members, members.groupBy("key").agg(F.min(one).alias("low"), F.max(one).alias("high"))))
     need = (pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             .join(classes.select("node", "row"), "node"))
-    sets = checkpointed(class_sets(docs, need))
-    links = checkpointed(confirmed(pairs, sets, percent))
+    sets = stored(class_sets(docs, need))
+    links = stored(confirmed(pairs, sets, percent))
     labels = connected_components(links)
-    more = confirmed(open_pairs(members.select("key", "node", "n"), labels, sets, percent), sets, percent)
-    more = checkpointed(more)
-    if not more.isEmpty():
-        labels = connected_components(links.unionByName(more))
+    more = open_links(members, labels, sets, percent)
+    # these few links join whole components
+    of_a, of_b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
+    joins = connected_components(stored(
+        more.join(of_a, "a", "left").join(of_b, "b", "left")
+        .select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).distinct()))
+    joins = joins.select(F.col("node").alias("part"), F.col("label").alias("whole"))
     # ids of a component, first per class and then per group, so that no step sees all copies at once
     lone = F.coalesce("node", F.unhex(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     classes = rows.groupBy(lone.alias("class")).agg(F.min("doc_id").alias("low"))
-    classes = checkpointed(classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
-                           .select("class", "low", F.coalesce("label", "class").alias("group")))
+    classes = (classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
+               .select("class", "low", F.coalesce("label", "class").alias("part")))
+    classes = stored(classes.join(joins, "part", "left").select("class", "low", F.coalesce("whole", "part").alias("group")))
     lows = classes.groupBy("group").agg(F.min("low").alias("component_id"))
     classes = classes.join(lows, "group").select("class", "group", "component_id")
     return (rows.select("doc_id", "row", "n_shingles", lone.alias("class")).join(classes, "class", "left")
@@ -282,7 +335,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each group, with all its columns: that of the smallest id (any, if none has one)."""
     found = grouped(docs, percent)
     # at most the copies of one id are left of a group here
-    first = checkpointed(found.where("component_id is null or doc_id = component_id").groupBy("group")
+    first = stored(found.where("component_id is null or doc_id = component_id").groupBy("group")
                          .agg(F.min("row").alias("row_kept"), F.count("*").alias("rows")).select("row_kept", "rows"))
     # no column of the documents is renamed: the key is computed in the join condition
     key = row_key(docs["doc_id"].cast("long"), docs["text"].cast("string"))

@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from axlewatch.session import checkpointed
+from axlewatch.llm.base import stored
+
 
 ORDER = 5
 BLOCK = 1 << 20     # n-grams handled at a time
@@ -155,6 +156,6 @@ def score_language(docs: DataFrame, target_ids: DataFrame, chunk_bytes: int = 16
     rows = chunked(docs, chunks)
     good = (target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
             .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int")))
-    counts = checkpointed(rows.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(count_chunk, COUNTED))
+    counts = stored(rows.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(count_chunk, COUNTED))
     losses = counts.select("chunk", "gram").join(gram_losses(counts, lean), "gram")
     return rows.groupBy("chunk").cogroup(losses.groupBy("chunk")).applyInArrow(score_chunk, SCORED)

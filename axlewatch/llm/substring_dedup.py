@@ -10,7 +10,8 @@ on both sides in every round. So equal windows keep equal interior symbols, wher
 Each window is anchored at the longest interior symbol of the last round that left it any. Spark
 counts anchors: a window whose anchor occurs once is unique. If all occurrences of an anchor have the
 same surroundings (its span: every word of every window it anchors), all its windows are repeated.
-Otherwise its windows are hashed whole and counted one by one. Nothing is sampled, capped or missed.
+Otherwise spans that recur are repeated, and the windows of each distinct span are hashed whole and
+counted one by one. Nothing is sampled, capped or missed.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a null or empty text has no words; equal rows repeat
 each other; the empty table gives no rows; other columns are ignored.
@@ -26,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axlewatch.llm.base import row_key
-from axlewatch.llm.near_dedup import FACTORS, FILTER_BITS, WordHashes, filter_slots, key_filter, mixed
-from axlewatch.session import checkpointed
+from axlewatch.llm.base import row_key, stored
+from axlewatch.llm.near_dedup import FACTORS, FILTER_BITS, WordHashes, in_filter, key_filter, mixed
 
 ROUNDS = ("run", "pair", "pair", "run", "pair", "pair", "pair")
-CHUNK_WORDS = 200_000
+CHUNK_WORDS = 100_000
 BASE = 0x5851F42D4C957F2D      # odd, so it has an inverse modulo 2^64
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
@@ -162,6 +162,13 @@ def chunks(texts: list, hashes: WordHashes) -> Iterator[tuple[int, np.ndarray, n
             parts, first, size = [], i + 1, 0
 
 
+def slices(batches, rows: int = 1000):
+    """The batches in smaller ones, so that little of them is held as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 # ---------------------------------------------------------------- rounds over all documents
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -169,17 +176,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return rows.select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
 
 
-def anchor_table(rows: DataFrame, window: int) -> DataFrame:
+def anchor_table(rows: DataFrame, window: int, names: DataFrame | None = None) -> DataFrame:
+    """One row per anchor; with `names`, of all others only those that slip through a bitmap of fixed size."""
+    bits = FILTER_BITS + 3
+    seen = None if names is None else rows.sparkSession.sparkContext.broadcast(key_filter(names, bits))
+
     def run(batches):
         hashes, powers = WordHashes(), Powers()
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for base, words, opens in chunks(batch.column(1).to_pylist(), hashes):
                 doc, name, span, first, last = anchor_rows(words, opens, window, powers)
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [pa.array(keys[base + doc]), pa.array(name), pa.array(span),
                      pa.array(first, pa.int32()), pa.array(last, pa.int32())],
                     names=["row", "name", "span", "first", "last"])
+                yield out if seen is None else out.filter(pa.array(in_filter(seen.value, out.column(1), bits)))
 
     return rows.select("row", "text").mapInArrow(run, "row long, name long, span long, first int, last int")
 
@@ -191,8 +203,7 @@ def only_keys(rows: DataFrame, keys: DataFrame, inside: bool = True) -> DataFram
 
     def run(batches):
         for batch in batches:
-            hit = seen.value[filter_slots(batch.column(at), FILTER_BITS)]
-            yield batch.filter(pa.array(hit == inside))
+            yield batch.filter(pa.array(in_filter(seen.value, batch.column(at)) == inside))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -202,21 +213,21 @@ def window_table(rows: DataFrame, unsure: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         hashes, powers = WordHashes(), Powers()
-        for batch in batches:
+        for batch in slices(batches):
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            spots = batch.column(2).to_pylist()
+            ends = batch.column(2).offsets.to_numpy()
+            name, first, last = (f.to_numpy() for f in batch.column(2).flatten().flatten())
+            ends = ends - ends[0]
             for base, words, opens in chunks(batch.column(1).to_pylist(), hashes):
-                whole = stretch_hashes(words, powers)
-                out = []
-                for d in range(len(opens) - 1):
-                    for spot in spots[base + d]:
-                        at = np.arange(spot["first"], spot["last"] + 1) + opens[d]
-                        out.append((np.full(len(at), spot["name"]), at, np.full(len(at), base + d), at - opens[d]))
-                if out:
-                    name, at, doc, first = (np.concatenate(c) for c in zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(name), pa.array(whole(at, at + window).view(np.int64)), pa.array(keys[doc]),
-                         pa.array(first, pa.int32())], names=["name", "whole", "row", "first"])
+                some = slice(ends[base], ends[base + len(opens) - 1])
+                counts = last[some].astype(np.int64) - first[some] + 1
+                spot = np.repeat(np.arange(len(counts)), counts)
+                at = first[some][spot] + np.arange(len(spot)) - (np.cumsum(counts) - counts)[spot]
+                doc = np.repeat(np.arange(len(opens) - 1), np.diff(ends[base:base + len(opens)]))[spot]
+                whole = stretch_hashes(words, powers)(opens[doc] + at, opens[doc] + at + window)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name[some][spot]), pa.array(whole.view(np.int64)), pa.array(keys[base + doc]),
+                     pa.array(at, pa.int32())], names=["name", "whole", "row", "first"])
 
     spots = (unsure.select("row", F.struct("name", "first", "last").alias("spot")).distinct()
              .groupBy("row").agg(F.collect_list("spot").alias("spots")))
@@ -225,18 +236,28 @@ def window_table(rows: DataFrame, unsure: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(row, spans): per document the runs of windows (first, last) that also start elsewhere."""
-    table = anchor_table(rows, window)
-    shared = (table.groupBy("name").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
-              .where("n > 1").select("name", (F.col("low") != F.col("high")).alias("unsure")))
-    found = checkpointed(table.select("name", "row", "first", "last").join(shared, "name"))
-    sure = found.where("not unsure").select("row", "first", "last")
-    windows = window_table(rows, found.where("unsure").select("row", "name", "first", "last"), window)
-    windows = checkpointed(windows)
-    again = windows.groupBy("name", "whole").agg(F.count("*").alias("n")).where("n > 1").select("name", "whole")
-    more = windows.join(again, ["name", "whole"]).select("row", "first", F.col("first").alias("last"))
-    return (sure.unionByName(more).distinct().groupBy("row")
-            .agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
+    """(row, spans): per document the runs of windows (first, last) that also start elsewhere.
+
+    Of an anchor with several spans, a span that recurs is repeated as a whole. One occurrence of
+    each distinct span has its windows hashed: a window under two spans is repeated, too.
+    """
+    shared = stored(
+        anchor_table(rows, window).groupBy("name")
+        .agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
+        .where("n > 1").select("name", (F.col("low") != F.col("high")).alias("unsure")))
+    table = anchor_table(rows, window, shared.select("name"))
+    found = stored(table.join(shared, "name").select(
+        "row", "first", "last", *[F.when(F.col("unsure"), F.col(c)).alias(c) for c in ("name", "span")]))
+    sure, unsure = found.where("name is null").select("row", "first", "last"), found.where("name is not null")
+    place = F.struct("row", "first")
+    spans = unsure.groupBy("name", "span").agg(F.count("*").alias("n"), F.min(place).alias("shown"))
+    marked = stored(unsure.join(spans, ["name", "span"]).select(
+        "row", "name", "first", "last", (F.col("n") > 1).alias("again"), (place == F.col("shown")).alias("shown")))
+    windows = stored(window_table(rows, marked.where("shown").select("row", "name", "first", "last"), window))
+    twice = windows.groupBy("name", "whole").agg(F.count("*").alias("n")).where("n > 1").select("name", "whole")
+    more = windows.join(twice, ["name", "whole"]).select("row", "first", F.col("first").alias("last"))
+    return (sure.unionByName(marked.where("again").select("row", "first", "last")).unionByName(more).distinct()
+            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")))
 
 
 def without(words: list[bytes], spans: list[tuple[int, int]], window: int) -> list[bytes]:
@@ -250,10 +271,10 @@ def without(words: list[bytes], spans: list[tuple[int, int]], window: int) -> li
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     """Per row of (doc_id, text): doc_id, words, words removed, and the text of the kept words."""
     rows = keyed(docs)
-    spans = checkpointed(repeated_windows(rows, window))
+    spans = stored(repeated_windows(rows, window))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, removed, kept = [], [], []
             marks = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
             for text, spots in zip(batch.column(1).to_pylist(), marks, strict=True):

@@ -209,8 +209,12 @@ def star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
             .select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct())
 
 
-def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """Links that the centres have not settled: of one bucket, of different components, of similar size."""
+def open_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: DataFrame, sets: DataFrame,
+               percent: int = 75) -> DataFrame:
+    """Links that the centres have not settled: of one bucket, of different components, of similar size.
+
+    Classes that met no centre of similar size are not in `sets` yet; theirs are fetched here.
+    """
     named = (members.join(labels, "node", "left")
              .select("key", "node", "n", F.coalesce("label", "node").alias("label")))
     parts = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.sum("n").alias("items"))
@@ -226,7 +230,11 @@ def open_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent:
         "key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     direct = (few.join(outside, "key").where((F.col("label") != F.col("label2")) & similar_size("n", "n2", percent))
               .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct())
-    return confirmed(direct, sets, percent).unionByName(block_links(rows.where(F.col("rest") > FEW), sets, percent))
+    direct, many = stored(direct), rows.where(F.col("rest") > FEW)
+    need = (direct.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
+            .join(sets.select("node"), "node", "left_anti").join(classes.select("node", "row"), "node"))
+    sets = sets.unionByName(stored(class_sets(docs, stored(need))))
+    return confirmed(direct, sets, percent).unionByName(block_links(many, sets, percent))
 
 
 def block_links(rows: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -306,7 +314,7 @@ def grouped(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = stored(class_sets(docs, need))
     links = stored(confirmed(pairs, sets, percent))
     labels = connected_components(links)
-    more = open_links(members, labels, sets, percent)
+    more = open_links(docs, classes, members, labels, sets, percent)
     # these few links join whole components
     of_a, of_b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b"))
     joins = connected_components(stored(

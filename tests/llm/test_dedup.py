@@ -117,6 +117,30 @@ def test_near_duplicates(spark, monkeypatch, seed, few):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, w in want.items() if w[2])
 
 
+@pytest.mark.parametrize("few", [4, 10**6])
+def test_near_duplicates_among_documents_of_other_sizes(spark, monkeypatch, few):
+    """Two similar texts meet although both centres of every bucket of theirs are of dissimilar size."""
+    monkeypatch.setattr(N, "FEW", few)
+    # one key for all: a bucket full of classes of other sizes
+    monkeypatch.setattr(N, "band_keys", lambda low: np.arange(3, dtype=np.int64))
+    words = [f"a{i}" for i in range(100)]
+    texts = [" ".join(words), " ".join([*words[:-2], "b1", "b2"])]
+    texts += [" ".join(words + [f"own{k}x{i}" for i in range(60 + 50 * k)]) for k in range(12)]
+    want = groups(texts)
+    assert want[1][2] == 0
+    # the centres are the classes of the smallest and the largest hash; neither may be one of the two
+    ends = {sorted((hashed(t), i) for i, t in enumerate(texts))[k][1] for k in (0, -1)}
+    assert not ends & {0, 1}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(docs).collect()} == {
+        i: (n, c) for i, n, c in want}
+
+
+def hashed(text):
+    import xxhash
+    return xxhash.xxh3_128_digest(N.shingles(text, N.WordHashes()).tobytes())
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(0)
     common, own = rng.integers(0, 2**63, 600).astype(np.uint64), rng.integers(0, 2**63, 400).astype(np.uint64)

@@ -1,10 +1,14 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed n-grams (4, 6 and 8 bytes of the text, A-Z in lower case), by presence. The log-count
+Features are n-grams (4, 6 and 8 bytes of the text, A-Z in lower case), by presence. They are held
+exactly, as 64-bit integers, so a text never seems to have a kept feature that it lacks. The log-count
 ratio of a feature compares the share of toxic and of clean training documents that have it. The
 features with the clearest ratios are kept, scaled by it, and weighted by a logistic regression.
 Training sees at most `train_docs` labelled documents (those with the smallest hash of their id).
-Scoring hashes every whole text and looks up the kept features; the model has a fixed size.
+Scoring looks up the kept features in every whole text; the model has a fixed size. Presence grows with
+length, so a text longer than nine of ten training documents is scored in windows of that length that
+overlap by half, and has the score of its most toxic window: neither does a long clean text fill up with features, nor does a long
+text hide a toxic part.
 
 Defined results: a null or empty text has no features and gets the bias; equal rows get equal scores;
 an empty table gives no rows; without both classes in the labels every score is the prior; other
@@ -13,6 +17,7 @@ columns are ignored. Ids, languages and sources are never inputs.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,43 +29,66 @@ from axlewatch.llm.base import arrow_rows
 from axlewatch.session import checkpointed
 
 LENGTHS = (4, 6, 8)
-BITS = 20
-CHUNK = 1 << 19     # bytes hashed at a time
+LONGEST = 0.9       # share of the training documents that one window covers whole
+CHUNK = 1 << 19     # bytes looked up at a time
+FILTER_BITS = 18    # size of the filter before the exact lookup
+SPREADER = np.uint64(0x9E3779B97F4A7C15)
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 
 @dataclass
 class Model:
-    slots: np.ndarray       # bucket -> feature number, or -1
+    kept: np.ndarray        # the kept n-grams, sorted
     weights: np.ndarray     # per feature, ratio and regression weight in one
     bias: float
+    window: int             # bytes scored together, an even number
 
 
-def buckets(data: np.ndarray) -> list[np.ndarray]:
-    """Per n-gram length, the bucket of the n-gram at each position."""
-    wide = data.astype(np.uint32)
-    out, h = [], wide
-    for n in range(2, LENGTHS[-1] + 1):
-        if len(wide) < n:
-            break
-        h = h[:len(wide) - n + 1] * np.uint32(0x01000193) + wide[n - 1:]
-        if n in LENGTHS:
-            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
-            out.append(mixed >> np.uint32(32 - BITS))
-    return out
-
-
-def features(text: str, slots: np.ndarray | None = None) -> np.ndarray:
-    """Distinct buckets of a text, or its distinct kept features."""
-    data = np.frombuffer(f" {text} ".encode().lower(), dtype=np.uint8)
-    seen = []
+def grams(data: np.ndarray) -> list[np.ndarray]:
+    """Per n-gram length, the n-gram at each position as an integer.
+
+    No byte of UTF-8 is 255, so the high bytes that mark the shorter lengths never occur in a longer one.
+    """
+    one = data.astype(np.uint64)
+    two = one[:-1] << np.uint64(8) | one[1:]
+    four = two[:-2] << np.uint64(16) | two[2:]
+    six = four[:-2] << np.uint64(16) | two[4:]
+    eight = four[:-4] << np.uint64(32) | four[4:]
+    return [four | np.uint64(0xFFFFFFFF00000000), six | np.uint64(0xFFFF000000000000), eight]
+
+
+def folded(text: str) -> np.ndarray:
+    return np.frombuffer(f" {text} ".encode().lower(), dtype=np.uint8)
+
+
+def chunks(data: np.ndarray):
+    """(start, n-grams that begin there or later) of each chunk."""
     for start in range(0, max(1, len(data)), CHUNK):
-        for found in buckets(data[start:start + CHUNK + LENGTHS[-1] - 1]):
-            if slots is not None:
-                found = slots[found]
-                found = found[found >= 0]
-            seen.append(np.unique(found))
-    return np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint32)
+        for found in grams(data[start:start + CHUNK + LENGTHS[-1] - 1]):
+            yield start, found[:CHUNK]
+
+
+def features(text: str) -> np.ndarray:
+    """The distinct n-grams of a text."""
+    return np.unique(np.concatenate([np.unique(found) for _, found in chunks(folded(text))]))
+
+
+def filter_of(kept: np.ndarray) -> np.ndarray:
+    seen = np.zeros(1 << FILTER_BITS, dtype=bool)
+    seen[kept * SPREADER >> np.uint64(64 - FILTER_BITS)] = True
+    return seen
+
+
+def kept_features(text: str, kept: np.ndarray, likely: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position, number of the kept feature there) of a text."""
+    places, numbers = [], []
+    for start, found in chunks(folded(text)):
+        at = np.flatnonzero(likely[found * SPREADER >> np.uint64(64 - FILTER_BITS)])
+        number = np.minimum(np.searchsorted(kept, found[at]), len(kept) - 1)
+        same = kept[number] == found[at]
+        places.append(at[same] + start)
+        numbers.append(number[same])
+    return np.concatenate(places), np.concatenate(numbers)
 
 
 def held_out() -> F.Column:
@@ -78,17 +106,36 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_docs: int) -> DataFr
 
 
 def feature_ratios(rows: DataFrame) -> DataFrame:
-    """Per bucket: number of toxic and of clean documents that have it."""
+    """Per n-gram: number of toxic and of clean documents that have it."""
 
-    def work(columns):
-        counts = np.zeros((2, 1 << BITS), dtype=np.int32)
-        for text, toxic in zip(*columns, strict=True):
-            counts[int(toxic > 0), features(text or "")] += 1
-        at = np.flatnonzero(counts.any(axis=0))
-        return list(zip(at.tolist(), counts[1, at].tolist(), counts[0, at].tolist()))
+    def merged(parts: list[tuple]) -> tuple:
+        values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return (values, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(values)).astype(np.int64)
+                          for k in (1, 2)))
 
-    return (arrow_rows(rows, work, "bucket int, toxic long, clean long")
-            .groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    def run(batches):
+        total, open_, size = [], [], 0
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = features(text or "")
+                hit = np.full(len(found), int(toxic > 0))
+                open_.append((found, hit, 1 - hit))
+                size += len(found)
+                if size > 1 << 21:
+                    total, open_, size = [merged(total + open_)], [], 0
+                    # a task's table is bounded: what it has counted so far goes on to the shuffle
+                    if len(total[0][0]) > 1 << 23:
+                        yield counted(total[0])
+                        total = []
+        if total or open_:
+            yield counted(merged(total + open_))
+
+    def counted(part: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2])],
+                                          names=["gram", "toxic", "clean"])
+
+    return (rows.mapInArrow(run, "gram long, toxic long, clean long")
+            .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
 def logistic(design: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, strength: float = 0.3,
@@ -123,30 +170,49 @@ def logistic(design: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, strengt
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 20000, kept: int = 2048) -> Model:
     rows = checkpointed(training_rows(docs, labels, train_docs))
-    total = rows.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
+    length = F.octet_length(F.coalesce("text", F.lit("")))
+    total = rows.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean"),
+                     F.percentile(length, LONGEST).alias("length")).first()
     toxic, clean = total["toxic"], total["clean"]
-    none = Model(np.full(1 << BITS, -1, dtype=np.int32), np.zeros(0), -4.0 if not toxic else 0.0 if clean else 4.0)
+    none = Model(np.empty(0, np.uint64), np.zeros(0), -4.0 if not toxic else 0.0 if clean else 4.0, 2)
     if not toxic or not clean:
         return none
     ratio = (F.log((F.col("toxic") + 1) / F.lit(toxic + 2)) - F.log((F.col("clean") + 1) / F.lit(clean + 2)))
     spread = F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     best = (feature_ratios(rows).withColumn("ratio", ratio).withColumn("clear", F.abs(F.col("ratio")) / spread)
-            .orderBy(F.desc("clear"), "bucket").limit(kept).select("bucket", "ratio").collect())
-    slots = np.full(1 << BITS, -1, dtype=np.int32)
-    slots[[r["bucket"] for r in best]] = np.arange(len(best))
-    ratios = np.array([r["ratio"] for r in best])
+            .orderBy(F.desc("clear"), "gram").limit(kept).select("gram", "ratio").collect())
+    grams_ = np.array([r["gram"] for r in best], dtype=np.int64).view(np.uint64)
+    order = np.argsort(grams_)
+    grams_, ratios = grams_[order], np.array([r["ratio"] for r in best])[order]
+    likely = filter_of(grams_)
 
     def work(columns):
-        return [(features(text or "", slots).tolist(), int(toxic > 0)) for text, toxic in zip(*columns, strict=True)]
+        return [(np.unique(kept_features(text or "", grams_, likely)[1]).tolist(), int(toxic > 0))
+                for text, toxic in zip(*columns, strict=True)]
 
     seen = sorted((tuple(r["found"]), r["toxic"]) for r in
                   arrow_rows(rows, work, "found array<int>, toxic int").collect())
     w, bias = logistic([np.array(f, dtype=np.int64) for f, _ in seen], np.array([t for _, t in seen], float), ratios)
-    return Model(slots, w * ratios, bias)
-
-
-def score(text: str, model: Model) -> float:
-    total = model.bias + float(model.weights[features(text, model.slots)].sum()) if len(model.weights) else model.bias
+    return Model(grams_, w * ratios, bias, 2 * max(1, math.ceil(total["length"] / 2 + 1)))
+
+
+def score(text: str, model: Model, likely: np.ndarray | None = None) -> float:
+    """The score of a text, or of its most toxic window."""
+    total = model.bias
+    if len(model.weights):
+        place, number = kept_features(text, model.kept, filter_of(model.kept) if likely is None else likely)
+        half = model.window // 2
+        last = int(len(text.encode()) + 1) // half     # the half window of the last byte, spaces around included
+        if last < 2:
+            total += float(model.weights[np.unique(number)].sum())
+        else:
+            # each feature once in each of the windows (block - 1, block) and (block, block + 1)
+            pair = np.concatenate([place // half, place // half - 1])
+            twice = np.concatenate([number, number])
+            inside = (pair >= 0) & (pair < last)
+            seen = np.unique(pair[inside] * len(model.kept) + twice[inside])
+            sums = np.bincount(seen // len(model.kept), model.weights[seen % len(model.kept)], last)
+            total += float(sums.max())
     return float(1 / (1 + np.exp(-np.clip(total, -50, 50))))
 
 
@@ -155,9 +221,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_docs))
 
     def work(columns):
-        out = []
+        out, likely = [], filter_of(model.value.kept)
         for doc, held, text in zip(*columns, strict=True):
-            s = score(text or "", model.value)
+            s = score(text or "", model.value, likely)
             out.append((doc, held, s, int(s >= threshold)))
         return out
 
@@ -171,8 +237,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train
     column = docs.columns.index("text")
 
     def run(batches):
+        likely = filter_of(model.value.kept)
         for batch in batches:
-            keep = [score(t or "", model.value) < threshold for t in batch.column(column).to_pylist()]
+            keep = [score(t or "", model.value, likely) < threshold for t in batch.column(column).to_pylist()]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

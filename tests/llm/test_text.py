@@ -114,6 +114,34 @@ def test_held_out_accuracy(spark):
     assert kept.schema == docs.schema and 450 < kept.count() < 540
 
 
+def test_length_does_not_decide(spark):
+    """Long clean texts stay clean, random letters too, and a toxic part counts however long the rest is."""
+    docs, labels = labelled(spark)
+    model = T.train(docs, labels)
+    toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rng = random.Random(8)
+    clean = [t for i, t in texts.items() if i not in toxic]
+    long = " ".join(rng.choice(clean) for _ in range(3000))
+    part = next(t for i, t in texts.items() if i in toxic)
+    assert len(long) > 500_000 and T.score(long, model) < 0.5
+    assert T.score("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100_000)), model) < 0.5
+    for at in (0, 300_007, len(long)):
+        assert T.score(f"{long[:at]} {part} {long[at:]}", model) > 0.7
+
+
+def test_features_are_exact():
+    """A text has just the n-grams that are in it, across chunks and beside NUL bytes."""
+    text = "\0\0\0\0abcd Abé" * 3
+    data = f" {text} ".encode().lower()
+    want = {data[i:i + n] for n in T.LENGTHS for i in range(len(data) - n + 1)}
+    assert len(T.features(text)) == len(want) and len(T.features("")) == 0
+    long = "x" * (T.CHUNK - 3) + "needle" + "y" * 100
+    kept = np.sort(T.features("needle"))
+    assert {"needle"[i:i + 4] for i in range(3)} <= {
+        f" {long} "[p:p + 4] for p in T.kept_features(long, kept, T.filter_of(kept))[0].tolist()}
+
+
 def test_odd_rows_are_scored(spark, odd_documents):
     _, labels = labelled(spark, 60)
     out = T.score_documents(odd_documents, labels).collect()

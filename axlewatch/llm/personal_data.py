@@ -4,7 +4,7 @@ The base patterns (email, ip, card, phone) give spans that always stay. A random
 looser candidates (number groups, spelled-out addresses, names of known mailboxes). Each candidate
 has a potential from its shape; neighbours in the text share a chain potential; candidates with the
 same normalised key anywhere in the document (last seven digits, mailbox name) share a skip
-potential. Loopy message passing over both kinds of links labels all candidates of a document
+potential: each with the first one that a base pattern labels, else with the next one. Loopy message passing over both kinds of links labels all candidates of a document
 together, so a bare number that ends like a known phone number becomes a phone number too.
 
 Weights are fitted by pseudo-likelihood on the base spans of at most `train_docs` documents (those
@@ -135,16 +135,25 @@ def shape(piece: str) -> np.ndarray:
 
 HIDDEN = (7, 11, 12)
 AGREEMENT = 6.0
+FIRM = 1e6
 
 
-def skip_links(keys: list[str]) -> list[tuple[int, int]]:
-    """Links each candidate to the next one of its key (a chain per key, however often it recurs)."""
+def skip_links(keys: list[str], fixed: list[int]) -> list[tuple[int, int]]:
+    """Links each candidate to its key's hub, the first mention that a base pattern labels.
+
+    A key without one has a chain instead: each candidate is linked to the next one.
+    """
+    hub: dict[str, int] = {}
+    for i, (key, kind) in enumerate(zip(keys, fixed, strict=True)):
+        if kind < STATES - 1:
+            hub.setdefault(key, i)
     last: dict[str, int] = {}
     links = []
     for i, key in enumerate(keys):
         if len(key) >= 7 or key.startswith("@") and len(key) > 3:
-            if key in last:
-                links.append((last[key], i))
+            near = hub.get(key, last.get(key, i))
+            if near != i:
+                links.append((near, i))
             last[key] = i
     return links
 
@@ -158,7 +167,7 @@ def fit_field(rows: list[tuple[list[list[float]], list[int], list[str]]], steps:
         for i in range(n - 1):
             around[i, labels[i + 1]] += 1
             around[i + 1, labels[i]] += 1
-        for i, j in skip_links(keys):
+        for i, j in skip_links(keys, labels):
             around[i, STATES + labels[j]] += 1
             around[j, STATES + labels[i]] += 1
         plain = np.array(feats)
@@ -183,15 +192,19 @@ def fit_field(rows: list[tuple[list[list[float]], list[int], list[str]]], steps:
 
 
 def label(field: dict[str, np.ndarray], feats: np.ndarray, fixed: list[int], keys: list[str],
-          rounds: int = 12) -> np.ndarray:
-    """Marginals by loopy message passing; candidates of the base patterns keep their label."""
+          rounds: int | None = None) -> np.ndarray:
+    """Marginals by loopy message passing; candidates of the base patterns keep their label.
+
+    Messages pass until they settle, within a bound in proportion to the number of candidates.
+    """
     n = len(fixed)
     node = feats @ field["node"]
     for i, k in enumerate(fixed):
         if k < STATES - 1:
-            node[i] = -50.0
-            node[i, k] = 50.0
-    links = [(i, i + 1, "chain") for i in range(n - 1)] + [(i, j, "skip") for i, j in skip_links(keys)]
+            # no number of links moves it
+            node[i] = -FIRM
+            node[i, k] = FIRM
+    links = [(i, i + 1, "chain") for i in range(n - 1)] + [(i, j, "skip") for i, j in skip_links(keys, fixed)]
     if not links:
         return np.exp(node - np.logaddexp.reduce(node, axis=1, keepdims=True))
     source = np.array([e for i, j, _ in links for e in (i, j)])
@@ -199,7 +212,7 @@ def label(field: dict[str, np.ndarray], feats: np.ndarray, fixed: list[int], key
     pair = np.array([field[kind] for *_, kind in links for _ in (0, 1)])
     back = np.arange(len(source)) ^ 1
     message = np.zeros((len(source), STATES))
-    for _ in range(rounds):
+    for _ in range(100 + 4 * n if rounds is None else rounds):
         belief = node.copy()
         np.add.at(belief, target, message)
         out = (belief[source] - message[back])[:, :, None] + pair

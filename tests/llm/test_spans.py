@@ -82,6 +82,15 @@ def test_linked_mentions_agree():
     assert P.added_spans(linked, P.base_spans(linked), f) == [(5, 3, 12)]
 
 
+def test_every_mention_hears_of_the_label():
+    """Forty mentions agree with the one that a base pattern labels, wherever it stands."""
+    f = field()
+    for text in ("+1 (232) 555-0132" + " or 5550132" * 40, "5550132 or " * 40 + "+1 (232) 555-0132",
+                 "5550132 x " * 20 + "+1 (232) 555-0132" + " or 5550132" * 20):
+        added = P.added_spans(text, P.base_spans(text), f)
+        assert len(added) == 40 and all(k == 3 and text[a:b] == "5550132" for a, k, b in added)
+
+
 def test_messages_give_exact_marginals_on_a_chain():
     """Without cycles the message passing is exact; compared with summing over all labellings."""
     import itertools

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from axlewatch.llm import (
-    decontamination, graph_search, lm_scoring, near_dedup, packing, page_text, personal_data, secret_scan,
-    substring_dedup, toxicity,
+    clustering, decontamination, graph_search, lm_scoring, near_dedup, packing, page_text, personal_data, secret_scan,
+    sharding, substring_dedup, toxicity, whitening,
 )
 from axlewatch.llm.base import table
 
@@ -55,9 +55,21 @@ def op10_ngram_bayes_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spectrum_slicing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_skip_chain_crf, op2_recompression, op3_secret_scan, op4_site_template_removal,
         op5_cross_entropy_difference, op6_pigeonhole_edit_matching, op7_robust_pruned_graph, op8_circulant_minhash,
-        op9_pattern_packing, op10_ngram_bayes_toxicity)}
+        op9_pattern_packing, op10_ngram_bayes_toxicity, op11_spectrum_slicing, op12_histogram_sort, op13_va_file)}
 ORACLES: dict[str, str] = {}

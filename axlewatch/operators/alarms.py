@@ -7,18 +7,17 @@ crosses segment borders as carries, so one axle may be arbitrarily long.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
-from axlewatch.operators.joins import interval_lookup
-from axlewatch.operators.segments import (
-    SegmentWindows, Timeline, sized_broadcast, with_neighbours,
-)
+from axlewatch.operators.joins import HAIR_KM, IntervalIndex, first_match
+from axlewatch.operators.segments import SegmentWindows, Timeline, with_neighbours
 from axlewatch.operators.windows import Clock
 from axlewatch.schemas import HYSTERESIS
 
 NORMAL = "normal"
+REACH_BLOCK_KM = 16.0    # a line with very many defects is cut into such stretches to find neighbours
 
 
 def settle(line: Timeline, hysteresis: int = HYSTERESIS) -> Timeline:
@@ -150,31 +149,52 @@ def alarm_events(states: DataFrame) -> DataFrame:
     )
 
 
+def defect_reaches(defects: DataFrame, slack_km: float, block: int = 4096) -> DataFrame:
+    """The stretch of its line on which a defect is the nearest one and within tolerance: low, high, item.
+
+    The item holds the neighbours on either side, so that the nearest can be told exactly.
+    """
+    # of defects at one place only the first listed can be the nearest
+    first = (
+        defects.groupBy("line_id", "km").agg(F.min(F.struct("ord", "defect_id", "width_km", "between_text")).alias("_d"))
+        .select("line_id", "km", "_d.*").withColumn("_here", F.struct("km", "ord")))
+    most = first.groupBy("line_id").count().agg(F.max("count")).first()[0] or 0
+    cut = most >= block
+    span = F.floor(F.col("km") / REACH_BLOCK_KM).cast("long") if cut else F.lit(0).cast("long")
+    line = Timeline(first.withColumn("seg", span).withColumn("hot", F.lit(cut)), ("line_id",), ("km",), segmented=cut)
+    out = with_neighbours(line, "_here", "km", "_before", "_after").rows
+    tolerance = F.col("width_km") + slack_km
+    return out.select(
+        "line_id",
+        (F.greatest(F.col("km") - tolerance, (F.col("km") + F.col("_before.km")) / 2) - HAIR_KM).alias("low"),
+        (F.least(F.col("km") + tolerance, (F.col("km") + F.col("_after.km")) / 2) + HAIR_KM).alias("high"),
+        F.struct("ord", "defect_id", "km", "width_km", "between_text", "_before", "_after").alias("item"))
+
+
 def nearest_defect(rows: DataFrame, defects: DataFrame, slack_km: float = 0.8) -> DataFrame:
     """Defect nearest by |km| on the row's line (first listed on ties), then the distance test.
 
-    A defect farther than the widest tolerance R can never pass the test, so only defects within R
-    of a row compete: each is listed in the km buckets it can reach, and a row looks up one bucket.
+    Each defect is looked up only on the stretch where it is the nearest, so a row meets one defect, at a border two,
+    however many a line has and however wide they are.
     `defects` has line_id, defect_id, km, width_km, between_text, ord.
     """
-    widest = defects.agg(F.max("width_km")).first()[0]
-    reach = slack_km + (widest or 0.0)
-    lookup = interval_lookup(
-        defects, "line_id", F.col("km") - reach, F.col("km") + reach, reach,
-        F.struct("ord", "defect_id", "km", "width_km", "between_text"), "_defects")
-    distance = lambda d: F.abs(d["km"] - F.col("track_km"))
-    ranked = F.transform("_defects", lambda d: F.struct(
-        distance(d).alias("distance"), d["ord"].alias("ord"), d.alias("d")))
+    reaches = IntervalIndex(
+        defect_reaches(defects, slack_km), "line_id", F.col("low"), F.col("high"), F.col("item"))
+    away = lambda km: F.abs(km - F.col("track_km"))
+
+    def wins(d: Column, other: Column) -> Column:
+        mine, theirs = away(d["km"]), away(other["km"])
+        return other.isNull() | (mine < theirs) | ((mine == theirs) & (d["ord"] < other["ord"]))
+
+    hit = first_match("_defects", lambda d: (
+        (away(d["km"]) <= d["width_km"] + slack_km) & wins(d, d["_before"]) & wins(d, d["_after"])))
     return (
-        rows.withColumn("_bucket", F.floor(F.col("track_km") / reach).cast("long"))
-        .join(sized_broadcast(lookup, F.size("_defects")), ["line_id", "_bucket"], "left")
-        .withColumn("_near", F.array_min(ranked))
-        .withColumn("_hit", F.when(
-            F.col("_near.distance") <= F.col("_near.d.width_km") + slack_km, F.col("_near")))
-        .withColumn("defect_id", F.col("_hit.d.defect_id"))
-        .withColumn("defect_between", F.col("_hit.d.between_text"))
-        .withColumn("defect_distance", F.col("_hit.distance"))
-        .drop("_defects", "_near", "_hit", "_bucket")
+        reaches.attach(rows, F.col("track_km"), "_defects")
+        .withColumn("_hit", hit)
+        .withColumn("defect_id", F.col("_hit.defect_id"))
+        .withColumn("defect_between", F.col("_hit.between_text"))
+        .withColumn("defect_distance", away(F.col("_hit.km")))
+        .drop("_defects", "_hit")
     )
 
 

@@ -6,29 +6,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
-from axlewatch.operators.segments import sized_broadcast
+from axlewatch.operators.segments import sized
+from axlewatch.session import checkpointed
 
 SLOW_KMH = 5.0        # fixed value: slower passes do not trigger a defect
+HAIR_KM = 1e-6        # widens what is looked up against rounding
 LABEL_LEVEL = 0.1     # fixed value: an episode labels a row above this severity
 
 
 def first_match(items: str | Column, test) -> Column:
-    """First array element that passes `test`, NULL when none does."""
-    return F.get(F.filter(items, test), F.lit(0))
+    """The least array element that passes `test` (items begin with their place in the list), NULL when none does."""
+    return F.array_min(F.filter(items, test))
 
 
-def interval_lookup(intervals: DataFrame, key: str, low: Column, high: Column, width: float,
-                    item: Column, name: str) -> DataFrame:
-    """Intervals spread over buckets of `width`: one row per (key, `_bucket`), with their array.
+class IntervalIndex:
+    """Closed intervals by key, each listed at the power-of-two level of its length in at most two buckets.
 
-    Probing on (key, bucket) spreads a hot key over its buckets and never multiplies rows.
+    A point looks up one bucket per level that occurs, so neither a long interval nor a hot key makes a row
+    read more than the intervals around it, and no row is multiplied. Levels are few (a factor of a million
+    between the shortest and the longest makes 21), their numbers are collected; lengths below 2^-10 share one.
     """
-    buckets = F.explode(F.sequence(
-        F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))).alias("_bucket")
-    return (
-        intervals.select(key, buckets, item.alias("_item"))
-        .groupBy(key, "_bucket").agg(F.sort_array(F.collect_list("_item")).alias(name))
-    )
+
+    SHORTEST = -10
+
+    def __init__(self, intervals: DataFrame, key: str, low: Column, high: Column, item: Column) -> None:
+        self.key = key
+        length = F.greatest(high.cast("double") - low.cast("double"), F.lit(2.0 ** self.SHORTEST))
+        width = F.pow(F.lit(2.0), F.col("_level"))
+        buckets = F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))
+        listed = (
+            intervals.where(low <= high)
+            .select(key, low.cast("double").alias("_low"), high.cast("double").alias("_high"), item.alias("_item"),
+                    F.ceil(F.log2(length)).cast("int").alias("_level"))
+            .select(key, "_level", F.explode(buckets).alias("_bucket"), "_item")
+            .groupBy(key, "_level", "_bucket").agg(F.collect_list("_item").alias("_items")))
+        self.table, self.small = sized(listed, F.size("_items"))
+        if not self.small:
+            self.table = checkpointed(self.table)       # read once per level
+        self.levels = sorted(r["_level"] for r in self.table.select("_level").distinct().collect())
+        self.kind = self.table.schema["_items"].dataType
+
+    def attach(self, rows: DataFrame, at: Column, name: str) -> DataFrame:
+        """Adds `name`: the items of the buckets that hold the point `at`, in no order."""
+        parts, helpers = [], []
+        for n, level in enumerate(self.levels):
+            bucket, items = f"_bucket{n}", f"_items{n}"
+            part = self.table.where(F.col("_level") == level).select(
+                self.key, F.col("_bucket").alias(bucket), F.col("_items").alias(items))
+            rows = rows.withColumn(bucket, F.floor(at.cast("double") / F.lit(2.0 ** level))).join(
+                F.broadcast(part) if self.small else part, [self.key, bucket], "left")
+            parts.append(F.coalesce(F.col(items), F.array().cast(self.kind)))
+            helpers += [bucket, items]
+        return rows.withColumn(name, F.concat(*parts) if parts else F.array().cast(self.kind)).drop(*helpers)
 
 
 def defect_zone_join(rows: DataFrame, defects: DataFrame) -> DataFrame:
@@ -36,46 +65,44 @@ def defect_zone_join(rows: DataFrame, defects: DataFrame) -> DataFrame:
 
     The label becomes rail_crack only for an otherwise normal row.
     """
-    reach = defects.agg(F.max("width_km")).first()[0] or 1.0
-    lookup = interval_lookup(
-        defects, "line_id", F.col("km") - F.col("width_km"), F.col("km") + F.col("width_km"), reach,
-        F.struct("ord", "defect_id", "km", "width_km", "kind"), "_defects")
+    # a hair wider than the zone; the test itself is exact
+    reach = F.col("width_km") + HAIR_KM
+    zones = IntervalIndex(defects, "line_id", F.col("km") - reach, F.col("km") + reach,
+                          F.struct("ord", "defect_id", "km", "width_km", "kind"))
     hit = first_match("_defects", lambda d: (
         F.abs(F.col("track_km") - d["km"]) <= d["width_km"]) & (F.col("speed_kmh") > SLOW_KMH))
     takes = F.col("_hit").isNotNull() & (F.col("fault_type") == "normal")
     return (
-        rows.withColumn("_bucket", F.floor(F.col("track_km") / reach).cast("long"))
-        .join(sized_broadcast(lookup, F.size("_defects")), ["line_id", "_bucket"], "left")
+        zones.attach(rows, F.col("track_km"), "_defects")
         .withColumn("_hit", hit)
         .withColumn("zone_defect", F.col("_hit.defect_id"))
         .withColumn("zone_severity", X.defect_severity(F.col("_hit.kind"), F.col("speed_kmh")))
         .withColumn("zone_label", F.when(takes, "rail_crack").otherwise(F.col("fault_type")))
-        .drop("_defects", "_hit", "_bucket")
+        .drop("_defects", "_hit")
     )
 
 
-def episode_label_join(rows: DataFrame, episodes: DataFrame, step: str = "seq",
-                       width: int = 32) -> DataFrame:
+def episode_label_join(rows: DataFrame, episodes: DataFrame, step: str = "seq", keep: bool = False) -> DataFrame:
     """Labels each row with the first listed episode of its axle that covers its step.
 
-    `episodes` has axle_key, ord, start_step, len_steps, fault_type.
+    `episodes` has axle_key, ord, start_step, len_steps, fault_type; `keep` adds the episode's start and length.
     """
-    end = F.col("start_step") + F.col("len_steps") - 1
-    lookup = interval_lookup(
-        episodes.where("len_steps > 0"), "axle_key", F.col("start_step"), end, width,
-        F.struct("ord", "start_step", "len_steps", "fault_type"), "_episodes")
+    index = IntervalIndex(
+        episodes, "axle_key", F.col("start_step"), F.col("start_step") + F.col("len_steps") - 1,
+        F.struct("ord", "start_step", "len_steps", "fault_type"))
     at = F.col(step)
     covers = lambda e: (e["start_step"] <= at) & (at < e["start_step"] + e["len_steps"])
     level = X.severity_profile(at, F.col("_e.start_step"), F.col("_e.len_steps"))
+    kept = {c: F.col(f"_e.{c}") for c in ("start_step", "len_steps")} if keep else {}
     return (
-        rows.withColumn("_bucket", F.floor(at / width).cast("long"))
-        .join(sized_broadcast(lookup, F.size("_episodes")), ["axle_key", "_bucket"], "left")
+        index.attach(rows, at, "_episodes")
         .withColumn("_e", first_match("_episodes", covers))
         .withColumn("episode_level", F.coalesce(level, F.lit(0.0)))
         .withColumn("episode_label", F.when(
             F.col("episode_level") > LABEL_LEVEL, F.col("_e.fault_type")).otherwise("normal"))
         .withColumn("episode_severity", X.severity_bucket(F.col("episode_level")))
-        .drop("_bucket", "_episodes", "_e")
+        .withColumns(kept)
+        .drop("_episodes", "_e")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
-from axlewatch.operators.joins import first_match, interval_lookup
+from axlewatch.operators.joins import IntervalIndex, first_match
 from axlewatch.operators.segments import Timeline, running_sums, sized_broadcast, with_neighbours
 
 # Fixed values of the network model.
@@ -118,16 +118,14 @@ def line_totals(stations: DataFrame) -> DataFrame:
         X.between_text(F.min_by("name", last), F.max_by("name", last)).alias("short_name"))
 
 
-def locate_on_line(rows: DataFrame, stations: DataFrame, km: str = "track_km",
-                   width_km: float = 2.0) -> DataFrame:
+def locate_on_line(rows: DataFrame, stations: DataFrame, km: str = "track_km") -> DataFrame:
     """Adds the enclosing stations a, b and the interpolated position of a km along a line.
 
     The first enclosing segment counts; before the first or after the last station the position
     is that station's.
     """
     legs = segments(stations)
-    lookup = interval_lookup(
-        legs, "line_id", F.col("a.km"), F.col("b.km"), width_km, F.struct("seq", "a", "b"), "_legs")
+    index = IntervalIndex(legs, "line_id", F.col("a.km"), F.col("b.km"), F.struct("seq", "a", "b"))
     ends = stations.groupBy("line_id").agg(*[
         fn(F.struct("name", "lat", "lon", "km"), "seq").alias(n)
         for fn, n in ((F.min_by, "_start"), (F.max_by, "_end"))])
@@ -139,8 +137,7 @@ def locate_on_line(rows: DataFrame, stations: DataFrame, km: str = "track_km",
         F.col("_leg").isNull(), F.col("_end"))
     position = lambda c: F.when(outside.isNotNull(), outside[c]).otherwise(between(c))
     return (
-        rows.withColumn("_bucket", F.floor(at / width_km).cast("long"))
-        .join(sized_broadcast(lookup, F.size("_legs")), ["line_id", "_bucket"], "left")
+        index.attach(rows, at, "_legs")
         .join(sized_broadcast(ends), "line_id", "left")
         .withColumn("_leg", first_match(
             "_legs", lambda g: (g["a"]["km"] <= at) & (at <= g["b"]["km"])))
@@ -148,7 +145,7 @@ def locate_on_line(rows: DataFrame, stations: DataFrame, km: str = "track_km",
         .withColumn("station_b", F.coalesce("_leg.b.name", "_end.name"))
         .withColumn("located_lat", position("lat"))
         .withColumn("located_lon", position("lon"))
-        .drop("_bucket", "_legs", "_leg", "_start", "_end")
+        .drop("_legs", "_leg", "_start", "_end")
     )
 
 

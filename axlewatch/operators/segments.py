@@ -278,14 +278,23 @@ def exact_percentile(df: DataFrame, value: str, share: float, tie: list[str],
 
 # ---------------------------------------------------------------- small tables
 
-def sized_broadcast(dim: DataFrame, items: Column | None = None, limit: int | None = None) -> DataFrame:
-    """Broadcast `dim` if it is small enough, else leave the join to Spark.
+def sized(dim: DataFrame, items: Column | None = None, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """`dim` stored, and whether it is small.
 
     Small means at most `limit` rows, and at most `limit` array elements in all where `items`
-    counts those of a row. Beyond that Spark joins by shuffle, and splits skewed keys. The check
-    keeps no more than limit + 1 rows, and a small table is computed only once.
+    counts those of a row. The check keeps no more than limit + 1 rows.
     """
     limit = limit or broadcast_rows(dim.sparkSession)
     head = checkpointed(dim.limit(limit + 1))
     size = head.agg(F.count("*").alias("n"), F.sum(F.lit(1) if items is None else items).alias("items")).first()
-    return F.broadcast(head) if max(size["n"], size["items"] or 0) <= limit else dim
+    small = max(size["n"], size["items"] or 0) <= limit
+    return (head if small else dim), small
+
+
+def sized_broadcast(dim: DataFrame, items: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Broadcast `dim` if it is small enough, else leave the join to Spark.
+
+    Beyond the limit Spark joins by shuffle, and splits skewed keys. A small table is computed only once.
+    """
+    table, small = sized(dim, items, limit)
+    return F.broadcast(table) if small else table
\ No newline at end of file

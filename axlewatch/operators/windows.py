@@ -32,6 +32,10 @@ class Clock:
         first = df.agg(F.min(F.unix_micros(ts))).first()[0]
         return Clock(first or 0, grid_seconds)
 
+    @property
+    def step_us(self) -> int:
+        return round(self.grid_seconds * 1e6)
+
     def tick(self, ts: str = "timestamp"):
         return F.floor((F.unix_micros(ts) - self.start_us) / (self.grid_seconds * 1e6)).cast("long")
 

@@ -144,3 +144,13 @@ def districts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(corner(0, 0), corner(1, 0), corner(1, F.when(flat, 0).otherwise(2)),
                 corner(0, F.when(flat, 0).otherwise(1)), corner(0, 0)).alias("ring"),
     )
+
+
+def track_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many defects per line: one per part, on a grid so that places repeat, from a metre to sixteen km wide."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("L"), (key % 5).cast("string")).alias("line_id"), F.concat(F.lit("P"), key.cast("string")).alias("defect_id"),
+        (key * 37 % 400 / 4.0).alias("km"), (F.pow(F.lit(2.0), (key * 13 % 15).cast("double")) / 1024).alias("width_km"),
+        F.when(key % 3 == 0, "severe").otherwise("mild").alias("kind"), F.col("p_name").alias("between_text"),
+        (key * 7919 % 100_003).alias("ord"))

@@ -100,6 +100,29 @@ def nearest_defect(spark, d):
         "sample_id", "line_id", "track_km", "defect_id", "defect_between", "defect_distance")
 
 
+@query("nearest_of_many", needs="tele track_defects", sql="""
+WITH near AS (SELECT t.sample_id, min((abs(d.km - t.track_km), d.ord)) AS best FROM tele t JOIN track_defects d USING (line_id) GROUP BY t.sample_id)
+SELECT t.sample_id, t.line_id, t.track_km, d.defect_id, d.between_text AS defect_between, abs(d.km - t.track_km) AS defect_distance
+FROM tele t LEFT JOIN near n ON n.sample_id=t.sample_id LEFT JOIN track_defects d ON d.line_id=t.line_id
+  AND d.ord = n.best[2] AND abs(d.km - t.track_km) = n.best[1] AND abs(d.km - t.track_km) <= d.width_km + 0.8""")
+def nearest_of_many(spark, d):
+    """Overlapping defects of all widths, several at one place."""
+    rows = adapt.telemetry(spark, d).select("sample_id", "line_id", "track_km")
+    return A.nearest_defect(rows, adapt.track_defects(spark, d)).select(
+        "sample_id", "line_id", "track_km", "defect_id", "defect_between", "defect_distance")
+
+
+@query("repeats_of_many", needs="ev track_defects", sql="""
+WITH near AS (SELECT e.sample_id, min((abs(d.km - e.track_km), d.ord)) AS best FROM ev e JOIN track_defects d USING (line_id) GROUP BY e.sample_id)
+SELECT e.sample_id, e.tick, e.axle, d.defect_id, row_number() OVER (PARTITION BY d.defect_id ORDER BY e.tick, e.axle, e.sample_id) AS repeat_no
+FROM ev e JOIN near n ON n.sample_id=e.sample_id JOIN track_defects d ON d.line_id=e.line_id
+  AND d.ord = n.best[2] AND abs(d.km - e.track_km) = n.best[1] AND abs(d.km - e.track_km) <= d.width_km + 0.8
+WHERE e.new = 'rail_crack'""")
+def repeats_of_many(spark, d):
+    found = checkpointed(A.link_defects(events(spark, d), adapt.track_defects(spark, d)))
+    return A.defect_repeats(found).select("sample_id", "tick", "axle", "defect_id", "repeat_no")
+
+
 @query("defect_linked_events", needs="linked", sql="""
 SELECT sample_id, axle, tick, new, defect_id, defect_between FROM linked""")
 def defect_linked_events(spark, d):

@@ -158,6 +158,11 @@ SELECT d.line_id, d.km, d.line_id||'@'||printf('%.2f', d.km) AS defect_id, {D(2.
   round(CASE WHEN d.km <= d.first_km THEN d.first_lon WHEN s.seq IS NULL THEN d.last_lon
     WHEN s.b_km > s.a_km THEN s.a_lon + (s.b_lon-s.a_lon)*((d.km-s.a_km)/(s.b_km-s.a_km)) ELSE s.a_lon END, 6) AS lon
 FROM defects1 d LEFT JOIN segs s ON s.line_id=d.line_id AND s.seq=d.sseq"""),
+    "track_defects": ([], f"""
+SELECT 'L'||(p_partkey%5) AS line_id, 'P'||p_partkey AS defect_id, (p_partkey*37%400)/{D(4)} AS km,
+  power({D(2)}, p_partkey*13%15)/1024 AS width_km, CASE WHEN p_partkey%3=0 THEN 'severe' ELSE 'mild' END AS kind,
+  p_name AS between_text, p_partkey*7919%100003 AS ord
+FROM part"""),
     "linked": (["ev", "defects"], """
 SELECT e.*, d.defect_id, d.between_text AS defect_between
 FROM ev e LEFT JOIN defects d ON e.line_id=d.line_id AND e.new='rail_crack'

@@ -98,6 +98,19 @@ def defect_zone_join(spark, d):
         "sample_id", "zone_defect", "zone_severity", "zone_label")
 
 
+@query("zone_of_many", needs="tele track_defects", sql="""
+WITH hit AS (SELECT t.sample_id, min(d.ord) AS ord FROM tele t JOIN track_defects d ON t.line_id=d.line_id
+  AND abs(t.track_km-d.km) <= d.width_km AND t.speed_kmh > 5 GROUP BY t.sample_id)
+SELECT t.sample_id, d.defect_id AS zone_defect, CASE kind WHEN 'mild' THEN 0.3 WHEN 'severe' THEN 1.0 END * least(speed_kmh/50, 1.0) AS zone_severity,
+  CASE WHEN d.defect_id IS NOT NULL AND fault_type='normal' THEN 'rail_crack' ELSE fault_type END AS zone_label
+FROM tele t LEFT JOIN hit h ON h.sample_id=t.sample_id LEFT JOIN track_defects d ON d.line_id=t.line_id AND d.ord=h.ord""")
+def zone_of_many(spark, d):
+    """Overlapping zones: the first listed one counts."""
+    rows = adapt.telemetry(spark, d).select("sample_id", "line_id", "track_km", "speed_kmh", "fault_type")
+    return J.defect_zone_join(rows, adapt.track_defects(spark, d)).select(
+        "sample_id", "zone_defect", "zone_severity", "zone_label")
+
+
 def episodes(spark, d):
     """Fault episodes of axles: one per order."""
     user = F.floor(F.col("o_custkey") / 10)
@@ -124,7 +137,21 @@ SELECT sample_id, axle_key, lev AS episode_level, CASE WHEN lev > 0.1 THEN kind
   {bucket('lev')} AS episode_severity FROM l""")
 def episode_label_join(spark, d):
     rows = with_ordinal(adapt.telemetry_timeline(spark, d)).rows.select("sample_id", "axle_key", "seq")
-    return J.episode_label_join(rows, episodes(spark, d), width=8).drop("seq")
+    return J.episode_label_join(rows, episodes(spark, d)).drop("seq")
+
+
+@query("episodes_of_any_length", needs="tele", sql="""
+WITH p AS (SELECT sample_id, axle_key, row_number() OVER (PARTITION BY axle_key ORDER BY "timestamp", sample_id) - 1 AS seq FROM tele),
+ep AS (SELECT 'T'||(o_custkey//10//4)||'/V'||((o_custkey//10%4)//2+1)||'-A'||(o_custkey//10%2+1) AS axle_key, o_orderkey*31%1000003 AS ord,
+  o_orderkey*7%60 AS s, CAST(power(2, o_orderkey%21) AS BIGINT) AS n FROM orders)
+SELECT p.sample_id, p.axle_key, min_by(ep.s, ord) AS start_step, min_by(ep.n, ord) AS len_steps
+FROM p LEFT JOIN ep ON p.axle_key=ep.axle_key AND s <= seq AND seq < s+n GROUP BY ALL""")
+def episodes_of_any_length(spark, d):
+    """Overlapping episodes of one to a million steps; the first listed one covers a row."""
+    rows = with_ordinal(adapt.telemetry_timeline(spark, d)).rows.select("sample_id", "axle_key", "seq")
+    long = episodes(spark, d).withColumns({
+        "ord": F.col("ord") * 31 % 1_000_003, "len_steps": F.pow(F.lit(2.0), F.col("ord") % 21).cast("long")})
+    return J.episode_label_join(rows, long, keep=True).select("sample_id", "axle_key", "start_step", "len_steps")
 
 
 @query("axle_line_map", needs="tele", sql="""

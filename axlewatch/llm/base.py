@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +23,13 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def texts_in_turn(column: pa.Array, step: int = 256) -> Iterator[str]:
+    """The texts of a column (a missing one is empty), of which few are held as Python strings at a time."""
+    for start in range(0, len(column), step):
+        for text in column.slice(start, step).to_pylist():
+            yield text or ""
+
+
 def arrow_rows(df: DataFrame, work: Callable[[list], Iterator[tuple] | list[tuple]], schema: str) -> DataFrame:
     """Runs `work` on the rows (as lists of columns) of every Arrow batch; it gives tuples of `schema`."""
     columns = df.columns
@@ -39,6 +48,22 @@ def arrow_rows(df: DataFrame, work: Callable[[list], Iterator[tuple] | list[tupl
     return df.mapInArrow(run, schema)
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, after which freed memory goes back to the system.
+
+    Python workers outlive their tasks, and what idle ones hold counts against the executor.
+    """
+    def outer(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # only some C libraries have it
+        if trim is not None:
+            trim(0)
+
+    return outer
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a table in the shared folder: compressed, and read column by column."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ as often as they occur; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -22,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axlewatch.llm.base import lean
 from axlewatch.session import checkpointed
 
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 SPECIAL = "<|endoftext|>"
+BLANK = re.compile(r"\s{100000}")      # the fast encoder's pattern backtracks on such runs until its stack is full
 
 
 def vocabulary_files() -> tuple[str, str]:
@@ -39,7 +42,8 @@ def vocabulary_files() -> tuple[str, str]:
 def encoder(files: tuple[str, str] | None = None):
     """text -> ids (uint32). The ranks give the ids of the `tokenizers` file about four times as fast.
 
-    A text that spells the special token goes through `tokenizers` itself, which gives it its id.
+    A text that spells the special token goes through `tokenizers` itself, which gives it its id, and so does
+    one with a very long run of white space, which the fast encoder cannot read.
     """
     import public_tokenizers
     import tiktoken
@@ -51,7 +55,7 @@ def encoder(files: tuple[str, str] | None = None):
     plain: list = []
 
     def encode(text: str) -> np.ndarray:
-        if SPECIAL not in text:
+        if SPECIAL not in text and not BLANK.search(text):
             return np.asarray(fast.encode_ordinary(text), dtype="<u4")
         if not plain:
             plain.append(Tokenizer.from_file(spec))
@@ -78,7 +82,7 @@ def token_pieces(docs: DataFrame, max_length: int = 2048, files: tuple[str, str]
                 [pa.array(c, type=t) for c, t in zip(columns, [pa.int64(), pa.int32(), *[pa.int64()] * 3])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), PIECES)
 
 
 # ---------------------------------------------------------------- the plan, on the histogram alone
@@ -254,4 +258,4 @@ def pack_sequences(docs: DataFrame, max_length: int = 2048, files: tuple[str, st
                 [*kept, pa.array(sequence), pa.array(offset)],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PACKED)
+    return ranked.mapInArrow(lean(place), PACKED)

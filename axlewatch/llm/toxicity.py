@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axlewatch.llm.base import arrow_rows
+from axlewatch.llm.base import arrow_rows, lean, texts_in_turn
 from axlewatch.session import checkpointed
 
 LENGTHS = (4, 6, 8)
 LONGEST = 0.9       # share of the training documents that one window covers whole
 CHUNK = 1 << 19     # bytes looked up at a time
 FILTER_BITS = 18    # size of the filter before the exact lookup
+OPEN_GRAMS, HELD_GRAMS = 1 << 19, 1 << 20       # n-grams a training task holds: unmerged, and merged
 SPREADER = np.uint64(0x9E3779B97F4A7C15)
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -109,32 +110,35 @@ def feature_ratios(rows: DataFrame) -> DataFrame:
     """Per n-gram: number of toxic and of clean documents that have it."""
 
     def merged(parts: list[tuple]) -> tuple:
-        values, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return (values, *(np.bincount(at, np.concatenate([p[k] for p in parts]), len(values)).astype(np.int64)
-                          for k in (1, 2)))
+        grams_ = np.concatenate([p[0] for p in parts])
+        order = np.argsort(grams_)
+        grams_ = grams_[order]
+        first = np.flatnonzero(np.concatenate([[True], grams_[1:] != grams_[:-1]])[:len(grams_)])
+        return (grams_[first], *(np.add.reduceat(np.concatenate([p[k] for p in parts])[order], first) if len(first)
+                                 else np.empty(0, np.int32) for k in (1, 2)))
 
     def run(batches):
         total, open_, size = [], [], 0
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = features(text or "")
-                hit = np.full(len(found), int(toxic > 0))
+            for text, toxic in zip(texts_in_turn(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                found = features(text)
+                hit = np.full(len(found), int(toxic > 0), np.int32)
                 open_.append((found, hit, 1 - hit))
                 size += len(found)
-                if size > 1 << 21:
+                if size > OPEN_GRAMS:
                     total, open_, size = [merged(total + open_)], [], 0
                     # a task's table is bounded: what it has counted so far goes on to the shuffle
-                    if len(total[0][0]) > 1 << 23:
+                    if len(total[0][0]) > HELD_GRAMS:
                         yield counted(total[0])
                         total = []
         if total or open_:
             yield counted(merged(total + open_))
 
     def counted(part: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2])],
+        return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())],
                                           names=["gram", "toxic", "clean"])
 
-    return (rows.mapInArrow(run, "gram long, toxic long, clean long")
+    return (rows.mapInArrow(lean(run), "gram long, toxic long, clean long")
             .groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
@@ -239,7 +243,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train
     def run(batches):
         likely = filter_of(model.value.kept)
         for batch in batches:
-            keep = [score(t or "", model.value, likely) < threshold for t in batch.column(column).to_pylist()]
+            keep = [score(t, model.value, likely) < threshold for t in texts_in_turn(batch.column(column))]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

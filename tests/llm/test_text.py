@@ -332,3 +332,28 @@ def test_pipeline_stages_take_effect(spark):
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES)
     assert numbers == list(range(1, 11)) and not set(catalog.ORACLES) - set(catalog.QUERIES)
+
+
+def test_texts_of_white_space_alone_are_packed(spark):
+    """Runs that the fast encoder's pattern cannot read."""
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + "\t " * 600_000 + "b", " " * 99_999 + "x"]
+    found = K.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(K.vocabulary_files()[0])
+    for i, text in enumerate(texts):
+        assert found[found["doc_id"] == i]["length"].sum() == len(plain.encode(text, add_special_tokens=False).ids) + 1
+
+
+def test_merged_counts_equal_plain_ones(spark, monkeypatch):
+    """Tables that are merged and flushed often give the counts of one pass."""
+    monkeypatch.setattr(T, "OPEN_GRAMS", 50)
+    monkeypatch.setattr(T, "HELD_GRAMS", 120)
+    texts = [("the bad words", 1), ("the good words", 0), (None, 1), ("", 0), ("bad bad bad", 1), ("the the", 0)] * 5
+    found = {r["gram"]: (r["toxic"], r["clean"]) for r in
+             T.feature_ratios(spark.createDataFrame(texts, "text string, toxic int").coalesce(1)).collect()}
+    wanted = {}
+    for text, toxic in texts:
+        for gram in T.features(text or "").view("int64").tolist():
+            a, b = wanted.get(gram, (0, 0))
+            wanted[gram] = (a + toxic, b + 1 - toxic)
+    assert found == wanted

@@ -68,10 +68,11 @@ def evaluate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return reports
 
 
-def score_stream(spark: SparkSession, path: str, delay: str = "10 seconds", batch_bytes: int = 512 << 20) -> None:
+def score_stream(spark: SparkSession, path: str, delay: str = "10 seconds", batch_bytes: int = 512 << 20) -> int:
     """Unlabelled stream -> windows -> predictions and anomaly columns, into the table `predictions`.
 
-    Without a saved anomaly model the anomaly columns are NULL.
+    May be run again when files have come: it goes on where it was. Without a saved anomaly model the anomaly
+    columns are NULL. Gives the number of rows that came too late.
     """
     model = M.FaultModel.load(spark, f"{path}/model/fault")
     place = f"{path}/model/anomaly"
@@ -84,7 +85,7 @@ def score_stream(spark: SparkSession, path: str, delay: str = "10 seconds", batc
         out = M.score_models(M.vectors_of(windows.where("ready"), model), model)
         return M.score_anomalies(out, anomaly).drop("features")
 
-    live.replay(rows, scored, live.append_to(f"{path}/predictions"), f"{path}/state/score")
+    return live.replay(rows, scored, live.append_to(f"{path}/predictions"), f"{path}/state/score")
 
 
 def replay_alarms(spark: SparkSession, path: str, hysteresis: int = HYSTERESIS,
@@ -92,8 +93,9 @@ def replay_alarms(spark: SparkSession, path: str, hysteresis: int = HYSTERESIS,
                   defects: DataFrame | None = None, batch_bytes: int = 512 << 20) -> live.Run:
     """Predictions -> alarm events and metric snapshots, into the history under a new run.
 
-    Events near a defect are linked to it and, unless the run is blind, carry the actual class. The
-    run's clock starts with the first reading of the stream, not with the first full window.
+    Events near a defect are linked to it and numbered and, unless the run is blind, carry the actual class. The
+    run's clock starts with the first reading of the stream, not with the first full window. The number of rows
+    that came too late is stored with the run.
     """
     table = spark.read.parquet(f"{path}/predictions/batch=*")
     stream = spark.read.parquet(f"{path}/stream")
@@ -107,14 +109,15 @@ def replay_alarms(spark: SparkSession, path: str, hysteresis: int = HYSTERESIS,
         states = live.stream_alarm_states(rows.withColumn("uncertain", sure), hysteresis, delay, clock)
         out = A.alarm_events(states)
         if defects is not None:
-            out = live.stream_defects(out, defects)
+            out = live.stream_repeats(live.stream_defects(out, defects), clock, delay)
         if not blind:
             out = out.join(key.select("sample_id", F.col("fault_type").alias("actual")), "sample_id", "left")
         return out
 
     source = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", batch_bytes).parquet(
         f"{path}/predictions/batch=*")
-    live.replay(source, events, files.alarm_writer(run.store, run.run_id), run.checkpoint)
+    late = live.replay(source, events, files.alarm_writer(run.store, run.run_id), run.checkpoint)
+    files.append_late(spark, run.store, run.run_id, late)
     # snapshots of the running metrics, from the stored predictions
     rows = table.withColumns({"uncertain": sure, "tick": clock.tick()})
     line = Timeline.of(rows, ["axle_key"], "timestamp", ["timestamp", "sample_id"])

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from axlewatch import schemas
 from axlewatch.operators.labels import stream_and_key
 
+LATE = T.StructType([T.StructField("run_id", T.LongType()), T.StructField("late_rows", T.LongType())])
+
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     reader = spark.read.schema(schema).format(fmt)
@@ -75,9 +77,13 @@ def scan_defects(spark: SparkSession, path: str) -> DataFrame:
 def scan_history(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The stored alarms, runs and metrics. A filter on run_id reads only that run's folder."""
     tables = (("alarms", schemas.ALARMS), ("runs", schemas.RUNS), ("metrics", schemas.METRICS))
-    return {
+    out = {
         name: _or_empty(spark, schema, lambda r, n=name: r.parquet(f"{path}/{n}")).select(*schema.names)
         for name, schema in tables}
+    late = _or_empty(spark, LATE, lambda r: r.parquet(f"{path}/late")).groupBy(F.col("run_id").alias("id")).agg(
+        F.sum("late_rows").alias("late_rows"))
+    out["runs"] = out["runs"].join(late, "id", "left")
+    return out
 
 
 def scan_network(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -107,6 +113,11 @@ def append_run(spark: SparkSession, path: str, run_id: int, source: str, blind:
     row.withColumn("started", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/runs")
 
 
+def append_late(spark: SparkSession, path: str, run_id: int, rows: int) -> None:
+    """The rows of a replay that came behind the watermark; `scan_history` adds them up per run."""
+    spark.createDataFrame([(run_id, rows)], LATE).coalesce(1).write.mode("append").parquet(f"{path}/late")
+
+
 def alarm_rows(events: DataFrame, run_id: int) -> DataFrame:
     """Events in the stored shape, with the run and the wall-clock time."""
     given = set(events.columns)

@@ -47,6 +47,11 @@ def test_from_telemetry_to_history(spark, tmp_path):
     table = spark.read.parquet(f"{path}/predictions/batch=*")
     assert table.count() == 4 * 39        # every row from the tenth on, the last ones too
     assert table.where("anomaly is null").count() == 0
+    # again without new files
+    ids = sorted(r["sample_id"] for r in table.select("sample_id").collect())
+    assert jobs.score_stream(spark, path) == 0
+    table = spark.read.parquet(f"{path}/predictions/batch=*")
+    assert sorted(r["sample_id"] for r in table.select("sample_id").collect()) == ids
     place = spark.createDataFrame(
         [("M4", "M4@21.00", 21.0, 3.0, "A – B", 0), ("M4", "M4@22.00", 22.0, 3.0, "B – C", 1)],
         "line_id string, defect_id string, km double, width_km double, between_text string, ord long")
@@ -63,6 +68,7 @@ def test_from_telemetry_to_history(spark, tmp_path):
     want = A.alarm_events(A.alarm_states(line).rows).count()
     assert per_run[1] == want
     runs = {r["id"]: r for r in history["runs"].collect()}
+    assert {r["late_rows"] for r in runs.values()} == {0}
     assert runs[1]["axle_count"] == 4 and runs[1]["line_count"] == 1 and runs[2]["blind"]
     assert store.where("run_id = 1 and actual is null").count() == 0
     assert store.where("run_id = 2 and actual is not null").count() == 0
@@ -75,6 +81,22 @@ def test_from_telemetry_to_history(spark, tmp_path):
     assert order == sorted(order, reverse=True)
 
 
+def test_a_nightly_stream_is_scored_in_parts(spark, tmp_path):
+    """Files that come between two runs: the predictions are those of one run over all of them."""
+    path = str(tmp_path)
+    jobs.prepare(labelled(spark), path)
+    jobs.train(spark, path, max_iter=5)
+    shutil.copytree(f"{path}/stream", f"{path}/whole")
+    whole = spark.read.parquet(f"{path}/whole")
+    middle = whole.agg(F.percentile(F.unix_micros("timestamp"), 0.5)).first()[0]
+    shutil.rmtree(f"{path}/stream")
+    for part in (F.unix_micros("timestamp") <= middle, F.unix_micros("timestamp") > middle):
+        whole.where(part).coalesce(1).write.mode("append").parquet(f"{path}/stream")
+        jobs.score_stream(spark, path)
+    rows = spark.read.parquet(f"{path}/predictions/batch=*")
+    assert rows.count() == rows.select("sample_id").distinct().count() == 4 * 39
+
+
 def test_the_chain_runs_without_an_anomaly_model_and_links_defects(spark, tmp_path):
     path = str(tmp_path)
     cracked = labelled(spark).replace("bearing_fault", "rail_crack", "fault_type")

@@ -220,6 +220,36 @@ def ring_bbox(points: Column) -> Column:
     return F.when(F.size(points) > 0, box)
 
 
+def shape_points(geometry: Column, levels: int = 16) -> Column:
+    """All [lon, lat] points of a GeoJSON geometry (a VARIANT), whatever its nesting.
+
+    Each step goes one level down: into arrays, `coordinates` and `geometries`. A geometry nested deeper than
+    `levels` is an error.
+    """
+    x = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    lon, lat = lambda v: x(v, "$[0]", "double"), lambda v: x(v, "$[1]", "double")
+    none = F.array().cast("array<variant>")
+    below = lambda v: F.when(lon(v).isNull(), F.coalesce(
+        x(v, "$", "array<variant>"), x(v, "$.coordinates", "array<variant>"), x(v, "$.geometries", "array<variant>"), none))
+    # a point geometry's own coordinates are the point
+    point = lambda v: F.coalesce(
+        F.when(lon(v).isNotNull(), F.array(lon(v), lat(v))),
+        F.when(x(v, "$.coordinates[0]", "double").isNotNull(),
+               F.array(x(v, "$.coordinates[0]", "double"), x(v, "$.coordinates[1]", "double"))))
+    start = F.struct(F.array(geometry).cast("array<variant>").alias("level"), F.array().cast("array<array<double>>").alias("points"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), start, lambda acc, _: F.struct(
+        F.flatten(F.transform(F.filter(acc["level"], lambda v: point(v).isNull()), below)).alias("level"),
+        F.concat(acc["points"], F.filter(F.transform(acc["level"], point), lambda p: p.isNotNull())).alias("points")))
+    deep = F.raise_error(F.lit("geometry nests too deep")).cast("array<array<double>>")
+    return F.when(F.size(F.filter(walked["level"], lambda v: x(v, "$", "array<variant>").isNotNull())) > 0, deep).otherwise(
+        walked["points"])
+
+
+def shape_bbox(geometry: Column) -> Column:
+    """Bounding box of a GeoJSON geometry of any kind; NULL when it has no point."""
+    return ring_bbox(shape_points(geometry))
+
+
 def ring_centroid(ring: Column) -> Column:
     """Area-weighted centroid of a closed ring, mean of its points when it has no area."""
     edges = F.zip_with(

@@ -56,8 +56,10 @@ def exclude_operator(stations: DataFrame, excluded: list[str] = EXCLUDED_DIRECTO
     return stations.join(dominant.where(F.col("dominant").isin(excluded)), "line_id", "left_anti")
 
 
-def exclude_type(lines: DataFrame, excluded: list[str] = EXCLUDED_TYPES) -> DataFrame:
-    return lines.where(~F.coalesce(F.col("kind").isin(excluded), F.lit(False)))
+def exclude_type(stations: DataFrame, excluded: list[str] = EXCLUDED_TYPES, order: str = "seq") -> DataFrame:
+    """Drops whole lines of an excluded kind; a line is of the kind of its first station."""
+    kinds = stations.groupBy("line_id").agg(F.min_by("kind", order).alias("_kind"))
+    return stations.join(kinds.where(F.col("_kind").isin(excluded)), "line_id", "left_anti")
 
 
 def first_per_name(stations: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def neighbour_distances(stations: DataFrame, block: int = 4096) -> DataFrame:
 
 
 def cumulative_km(stations: DataFrame, block: int = 4096) -> DataFrame:
-    """Adds km, the running distance along the line (`seq` is dense per line)."""
+    """Adds km, the running distance along the line (`seq` is dense per line), and km_exact, not rounded."""
     here = stations.withColumn("b", F.struct("lon", "lat"))
     line = _by_station(here, block)
     legs = with_neighbours(line, "b", "seq", "a", "_after")
@@ -107,14 +109,14 @@ def cumulative_km(stations: DataFrame, block: int = 4096) -> DataFrame:
         out = running_sums(legs, ["line_id"], "seq", {"_km": "_leg"}, block)
     else:
         out = legs.withColumn("_km", F.sum("_leg").over(line.upto()))
-    return out.select(*stations.columns, F.round("_km", 3).alias("km"))
+    return out.select(*stations.columns, F.round("_km", 3).alias("km"), F.col("_km").alias("km_exact"))
 
 
 def line_totals(stations: DataFrame) -> DataFrame:
-    """Per line: stations, length and its two terminals."""
-    last = F.col("seq")
+    """Per line: stations, length (rounded once, from km_exact where it is given) and its two terminals."""
+    last, km = F.col("seq"), "km_exact" if "km_exact" in stations.columns else "km"
     return stations.groupBy("line_id").agg(
-        F.count("*").alias("station_count"), F.round(F.max_by("km", last), 2).alias("length_km"),
+        F.count("*").alias("station_count"), F.round(F.max_by(km, last), 2).alias("length_km"),
         X.between_text(F.min_by("name", last), F.max_by("name", last)).alias("short_name"))
 
 
@@ -208,9 +210,13 @@ def network_extent(stations: DataFrame) -> DataFrame:
 
 def bbox_intersects(shapes: DataFrame, extent: DataFrame, ring: str = "ring",
                     margin: float = EXTENT_MARGIN_DEG) -> DataFrame:
-    """Shapes whose bounding box meets the network's, widened by `margin` degrees."""
+    """Shapes whose bounding box meets the network's, widened by `margin` degrees.
+
+    A column `box` (of a whole feature) decides where there is one, so all rings of a kept feature stay;
+    otherwise each ring's own box does.
+    """
     edge = lambda c: extent.select(c).scalar()
-    box = shapes.withColumn("box", X.ring_bbox(F.col(ring)))
+    box = shapes if "box" in shapes.columns else shapes.withColumn("box", X.ring_bbox(F.col(ring)))
     return box.where(
         F.col("box").isNotNull()
         & (F.col("box.max_lon") >= edge("min_lon") - margin)

@@ -131,6 +131,7 @@ SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM stations0
 WINDOW w AS (PARTITION BY line_id ORDER BY seq)"""),
     "stations": (["legs0"], f"""
 SELECT line_id, seq, name, lat, lon, directorate,
+  sum(coalesce({haversine('plon','plat','lon','lat')}, 0)) OVER (PARTITION BY line_id ORDER BY seq) AS km_exact,
   round(sum(coalesce({haversine('plon','plat','lon','lat')}, 0)) OVER (PARTITION BY line_id ORDER BY seq), 3) AS km
 FROM legs0"""),
     "segs": (["stations"], """
@@ -138,7 +139,7 @@ SELECT line_id, seq, name AS a_name, lat AS a_lat, lon AS a_lon, km AS a_km,
   lead(name) OVER w AS b_name, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon, lead(km) OVER w AS b_km
 FROM stations WINDOW w AS (PARTITION BY line_id ORDER BY seq)"""),
     "lines": (["stations"], """
-SELECT line_id, count(*) AS station_count, round(max_by(km, seq), 2) AS length_km,
+SELECT line_id, count(*) AS station_count, round(max_by(km_exact, seq), 2) AS length_km,
   min_by(name, seq) || ' – ' || max_by(name, seq) AS short_name,
   min_by(name, seq) AS first_name, max_by(name, seq) AS last_name,
   min_by(lat, seq) AS first_lat, max_by(lat, seq) AS last_lat,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
@@ -12,6 +14,8 @@ from axlewatch.plans import adapt
 from axlewatch.plans.alarm_queries import defects, stations
 from axlewatch.plans.common_sql import bucket, haversine
 from axlewatch.plans.registry import query
+from axlewatch.session import shared_folder
+from axlewatch.sources import files, geojson
 
 
 @query("cumulative_km", needs="stations", sql="SELECT line_id, seq, name, km FROM stations")
@@ -171,14 +175,14 @@ def raw_stations(spark, d):
         F.col("o_orderkey").alias("seq"), F.concat(F.lit("Station "), (cust % 50).cast("string")).alias("name"),
         F.when(F.col("o_orderstatus") == "O", "Mevcut Hat").when(
             F.col("o_orderstatus") == "F", "İnşaat Aşamasında").alias("stage"),
-        F.when(F.floor(cust / 50) % 5 == 0, "Teleferik").otherwise("Metro").alias("kind"),
+        F.when((F.floor(cust / 50) + F.col("o_orderkey") % 3) % 5 == 0, "Teleferik").otherwise("Metro").alias("kind"),
         F.substring("o_orderpriority", 1, 1).alias("directorate"))
 
 
 RAW_STATIONS = """
 WITH rs AS (SELECT 'L'||(o_custkey//50) AS line_id, o_orderkey AS seq, 'Station '||(o_custkey%50) AS name,
   CASE o_orderstatus WHEN 'O' THEN 'Mevcut Hat' WHEN 'F' THEN 'İnşaat Aşamasında' END AS stage,
-  CASE WHEN o_custkey//50%5=0 THEN 'Teleferik' ELSE 'Metro' END AS kind, substr(o_orderpriority,1,1) AS directorate FROM orders),
+  CASE WHEN (o_custkey//50 + o_orderkey%3)%5=0 THEN 'Teleferik' ELSE 'Metro' END AS kind, substr(o_orderpriority,1,1) AS directorate FROM orders),
 cn AS (SELECT line_id, directorate, count(*) AS n FROM rs GROUP BY ALL),
 dom AS (SELECT line_id, directorate AS dominant, n FROM cn QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY n DESC, directorate) = 1)
 """
@@ -201,7 +205,8 @@ def exclude_operator(spark, d):
     return N.exclude_operator(raw_stations(spark, d), ["1"]).select("seq", "line_id", "directorate")
 
 
-@query("exclude_type", sql=RAW_STATIONS + "SELECT seq, line_id, kind FROM rs WHERE kind <> 'Teleferik'")
+@query("exclude_type", sql=RAW_STATIONS + """
+SELECT seq, line_id, kind FROM rs WHERE line_id NOT IN (SELECT line_id FROM rs GROUP BY line_id HAVING min_by(kind, seq) = 'Teleferik')""")
 def exclude_type(spark, d):
     return N.exclude_type(raw_stations(spark, d)).select("seq", "line_id", "kind")
 
@@ -259,6 +264,57 @@ def bbox_intersects(spark, d):
     return N.bbox_intersects(adapt.districts(spark, d), extent).select("name")
 
 
+def district_features(spark, d):
+    """GeoJSON features, one per customer: polygons, multi-polygons with an island, collections with a point."""
+    key, lit = F.col("c_custkey"), lambda text: F.lit(text)
+    at = lambda x, y: F.concat(lit("["), (28 + key * 131 % 1500 / 1000 + x).cast("string"), lit(","),
+                               (40.5 + key * 89 % 900 / 1000 + y).cast("string"), lit("]"))
+    square = lambda x: F.concat(lit("[["), F.concat_ws(",", at(x, 0), at(x + 0.5, 0), at(x + 0.5, 0.25), at(x, 0)), lit("]]"))
+    polygon = lambda x: F.concat(lit('{"type":"Polygon","coordinates":'), square(x), lit("}"))
+    geometry = F.when(key % 3 == 0, polygon(0)).when(key % 3 == 1, F.concat(
+        lit('{"type":"MultiPolygon","coordinates":['), square(0), lit(","), square(2), lit("]}"))).otherwise(F.concat(
+            lit('{"type":"GeometryCollection","geometries":['), polygon(0), lit(',{"type":"Point","coordinates":'), at(-1, 1), lit("}]}")))
+    return adapt.table(spark, d, "customer").select(F.concat(
+        lit('{"type":"Feature","properties":{"shapeName":"'), F.col("c_name"), lit('"},"geometry":'), geometry, lit("}")).alias("value"))
+
+
+SHAPES = """
+WITH p AS (SELECT c_name AS name, c_custkey%3 AS k, CAST(28 AS DOUBLE) + (c_custkey*131%1500)/CAST(1000 AS DOUBLE) AS x,
+  CAST(40.5 AS DOUBLE) + (c_custkey*89%900)/CAST(1000 AS DOUBLE) AS y FROM customer),
+shape AS (SELECT name, k, CASE k WHEN 2 THEN x-1 ELSE x END AS min_lon, y AS min_lat, CASE k WHEN 1 THEN x+2.5 ELSE x+0.5 END AS max_lon,
+  CASE k WHEN 2 THEN y+1 ELSE y+0.25 END AS max_lat, CASE k WHEN 1 THEN 2 ELSE 1 END AS polygons FROM p)
+"""
+
+
+def shapes(spark, d):
+    """The features written as newline-delimited files, and read back by the parallel reader."""
+    path = f"{shared_folder(spark)}/districts-{uuid.uuid4().hex}"
+    district_features(spark, d).write.text(path)
+    return geojson.scan_shapes(spark, path)
+
+
+@query("shape_bbox", sql=SHAPES + """
+SELECT name, round(min_lon, 6) AS min_lon, round(min_lat, 6) AS min_lat, round(max_lon, 6) AS max_lon, round(max_lat, 6) AS max_lat,
+  CAST(polygons AS INTEGER) AS polygons FROM shape""")
+def shape_bbox(spark, d):
+    """One box per feature, whatever its nesting."""
+    return shapes(spark, d).select(
+        "name", *[F.round(f"box.{c}", 6).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")],
+        F.size("polygons").alias("polygons"))
+
+
+@query("write_geography", needs="stations0", sql=SHAPES + """
+, e AS (SELECT min(lon) AS a, min(lat) AS b, max(lon) AS c, max(lat) AS d FROM stations0)
+SELECT name, CAST(4*polygons AS INTEGER) AS vertices FROM shape, e WHERE max_lon >= a - CAST(0.09 AS DOUBLE) AND min_lon <= c + CAST(0.09 AS DOUBLE)
+  AND max_lat >= b - CAST(0.09 AS DOUBLE) AND min_lat <= d + CAST(0.09 AS DOUBLE)""")
+def write_geography(spark, d):
+    """Features near the network, stored whole and read back: an island of a kept feature stays."""
+    path = f"{shared_folder(spark)}/geography-{uuid.uuid4().hex}"
+    extent = N.network_extent(adapt.station_points(spark, d))
+    files.write_geography(N.bbox_intersects(shapes(spark, d), extent), path)
+    return files.scan_geography(spark, path).select("name", "vertices")
+
+
 @query("polygon_centroid", needs="rings", sql=RINGS + """
 , e AS (SELECT *, lead(px) OVER w AS qx, lead(py) OVER w AS qy FROM ring WINDOW w AS (PARTITION BY name ORDER BY i)),
 t AS (SELECT name, sum(px*qy-qx*py) AS c2, sum((px+qx)*(px*qy-qx*py)) AS cx, sum((py+qy)*(px*qy-qx*py)) AS cy,

@@ -101,6 +101,9 @@ LINES_GEOJSON = T.StructType([
 DISTRICTS_GEOJSON = T.StructType([
     T.StructField("features", T.ArrayType(T.StructType([
         T.StructField("properties", _struct(("shapeName", _S))),
-        T.StructField("geometry", _struct(("type", _S), ("coordinates", _S))),
+        T.StructField("geometry", _S),
     ]))),
 ])
+
+_PART = _struct(("type", _S), ("coordinates", _S))
+GEOMETRY = T.StructType([*_PART.fields, T.StructField("geometries", T.ArrayType(_PART))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,3 +156,14 @@ def write_reports(matrix: DataFrame, report: DataFrame, path: str) -> None:
 def write_network(lines: DataFrame, stations: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").parquet(f"{path}/lines")
     stations.write.mode("overwrite").parquet(f"{path}/stations")
+
+
+def write_geography(shapes: DataFrame, path: str) -> None:
+    """Districts drawn behind the network: name, box, polygons and the number of their vertices."""
+    vertices = F.aggregate(F.flatten("polygons"), F.lit(0), lambda n, ring: n + F.size(ring))
+    drawn = shapes.where(F.size("polygons") > 0)
+    drawn.select("ord", "name", "box", "polygons", vertices.alias("vertices")).write.mode("overwrite").parquet(f"{path}/geography")
+
+
+def scan_geography(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/geography")

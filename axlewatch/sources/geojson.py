@@ -14,9 +14,30 @@ _D = T.DoubleType()
 _POINTS = T.ArrayType(T.ArrayType(_D))
 
 
+# A feature that states its type first begins behind this text, so a file can be cut there and read by many tasks.
+SEPARATOR = '"Feature"'
+_NEXT = r'[,\s]*\{\s*"type"\s*:\s*$'
+
+
 def _features(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    return raw.select(F.posexplode("features").alias("ord", "f"))
+    """The features `f` of collections or newline-delimited files, and `ord`, their order in the files.
+
+    Files are cut at features. Where one does not state its type first, files are parsed whole, one task each.
+    A member `{"type": "Feature"` inside a feature's properties is not expected.
+    """
+    kind = schema["features"].dataType.elementType
+    raw = spark.read.option("lineSep", SEPARATOR).text(path).select(
+        F.ltrim(F.regexp_replace("value", "\ufeff", "")).alias("text"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                 F.monotonically_increasing_id().alias("place")).alias("ord"))
+    head = F.col("text").startswith("{")
+    cut = F.col("text").rlike(_NEXT) | (~head & F.rtrim("text").rlike(r"[}\],]\s*$"))
+    if raw.where((F.col("text") != "") & ~cut).isEmpty():
+        body = F.concat(F.lit('{"type":"Feature"'), F.regexp_replace("text", _NEXT, ""))
+        return raw.where((F.col("text") != "") & ~head).select("ord", F.from_json(body, kind).alias("f"))
+    whole = spark.read.schema(schema).option("multiLine", True).json(path)
+    return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("place", "f")).select(
+        F.struct("file", F.lit(0).cast("long").alias("block"), F.col("place").cast("long").alias("place")).alias("ord"), "f")
 
 
 def _rounded(points: Column, digits: int) -> Column:
@@ -56,13 +77,34 @@ def scan_lines(spark: SparkSession, path: str) -> DataFrame:
         "line_id", F.struct("ord", "part").alias("part_no"), "points", "official_km")
 
 
-def scan_districts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per ring (the first ring of a polygon is its outline) of at least four points."""
+def _polygons(part: Column) -> Column:
+    """Polygons of one geometry, always as those of a multi-polygon; none for points and lines."""
+    text, rings = part["coordinates"], T.ArrayType(_POINTS)
+    return F.when(part["type"] == "MultiPolygon", F.from_json(text, T.ArrayType(rings))).when(
+        part["type"] == "Polygon", F.array(F.from_json(text, rings))).otherwise(F.array().cast(T.ArrayType(rings)))
+
+
+def scan_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """One row per district: its box over all points of its geometry, and its polygons.
+
+    The geometry may be a collection. Rings of fewer than four points and polygons without rings drop out; the box
+    is that of the whole geometry. A feature without any point has no box.
+    """
     rows = _features(spark, path, schemas.DISTRICTS_GEOJSON).select(
-        "ord", N.display_name(F.col("f.properties.shapeName")).alias("name"),
-        F.posexplode(_nested("Polygon", "MultiPolygon", T.ArrayType(_POINTS))).alias("polygon", "rings"))
-    rings = rows.select("ord", "name", "polygon", F.posexplode("rings").alias("ring_no", "raw"))
-    return rings.withColumn("ring", _rounded(F.col("raw"), 5)).where(F.size("ring") >= 4).drop("raw")
+        "ord", N.display_name(F.col("f.properties.shapeName")).alias("name"), F.col("f.geometry").alias("geometry"))
+    one = F.from_json("geometry", schemas.GEOMETRY)
+    parts = F.coalesce(one["geometries"], F.array(F.struct(one["type"].alias("type"), one["coordinates"].alias("coordinates"))))
+    outlines = F.transform(F.flatten(F.transform(parts, _polygons)), lambda polygon: F.filter(
+        F.transform(polygon, lambda ring: _rounded(ring, 5)), lambda ring: F.size(ring) >= 4))
+    return rows.select(
+        "ord", "name", X.shape_bbox(F.try_parse_json("geometry")).alias("box"),
+        F.filter(outlines, lambda polygon: F.size(polygon) > 0).alias("polygons"))
+
+
+def scan_districts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per ring (the first ring of a polygon is its outline), with the box of its whole district."""
+    rows = scan_shapes(spark, path).select("ord", "name", "box", F.posexplode("polygons").alias("polygon", "rings"))
+    return rows.select("ord", "name", "box", "polygon", F.posexplode("rings").alias("ring_no", "ring"))
 
 
 def build_stations(points: DataFrame) -> DataFrame:
@@ -70,7 +112,8 @@ def build_stations(points: DataFrame) -> DataFrame:
 
     Their order along the line is the order in which the file lists them.
     """
-    kept = N.exclude_type(N.exclude_operator(N.in_service(points.where("line_id is not null"))))
+    kept = N.exclude_type(
+        N.exclude_operator(N.in_service(points.where("line_id is not null"))), order="ord")
     named = N.first_per_name(kept.withColumnRenamed("ord", "seq"))
     # a line's stations number a few dozen; their positions restart at 0 for the km of the line
     per_line = named.groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct(

@@ -135,18 +135,23 @@ def alarm_events(states: DataFrame) -> DataFrame:
 
     `prior_duration_s` is the duration of the *prior* state; priority counts no duration.
     """
+    return states.where(is_event()).select(*event_columns(), "track_km")
+
+
+def is_event() -> Column:
+    return F.expr("changed and not (prior_settled is null and settled = 'normal')")
+
+
+def event_columns() -> list[Column]:
     alarm = F.col("settled") != NORMAL
-    return states.where(
-        "changed and not (prior_settled is null and settled = 'normal')"
-    ).select(
-        "sample_id", "timestamp", "tick", F.col("axle_key").alias("axle"), "line_id", "train_id",
+    return [
+        F.col("sample_id"), F.col("timestamp"), F.col("tick"), F.col("axle_key").alias("axle"), F.col("line_id"), F.col("train_id"),
         F.col("prior_settled").alias("prior"), F.col("settled").alias("new"),
-        F.round("conf", 3).alias("conf"), "severity", F.col("next_station").alias("station"),
+        F.round("conf", 3).alias("conf"), F.col("severity"), F.col("next_station").alias("station"),
         F.when(alarm, "alarm").otherwise("temizlendi").alias("kind"),
-        "prior_duration_s",
+        F.col("prior_duration_s"),
         F.when(alarm, X.alarm_priority(F.col("severity"), F.lit(0.0), F.col("conf"))).alias("priority"),
-        "track_km",
-    )
+    ]
 
 
 def defect_reaches(defects: DataFrame, slack_km: float, block: int = 4096) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
-from axlewatch.operators.segments import Timeline, exact_percentile
+from axlewatch.operators.segments import Timeline, exact_percentile, global_rank
 from axlewatch.operators.windows import fit_val_split, sliding_sequences
 from axlewatch.schemas import FEATURES, SEVERITIES, WINDOW_ROWS, WINDOW_STRIDE
 from axlewatch.session import checkpointed
@@ -59,15 +59,19 @@ def scale_features(df: DataFrame, scaler: Scaler) -> DataFrame:
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """Dense code of each label in alphabetical order."""
-    names = df.select(label).distinct().agg(F.array_sort(F.collect_list(label)).alias("names"))
-    return names.select(F.posexplode("names").alias("code", label))
+    """Dense code of each label in alphabetical order; NULL is no label."""
+    names = df.select(label).where(F.col(label).isNotNull()).distinct()
+    return global_rank(names, [label], "code").select(F.col("code").cast("int").alias("code"), label)
 
 
 def class_weights(df: DataFrame, label: str, classes: list | None = None,
-                  power: float = SMOOTHING) -> DataFrame:
-    """Softened inverse-frequency weights with mean 1; absent classes start from 1."""
-    counts = checkpointed(df.groupBy(label).agg(F.count("*").alias("n")))   # one row per class
+                  power: float = SMOOTHING, counted: str | None = None) -> DataFrame:
+    """Softened inverse-frequency weights with mean 1; absent classes start from 1.
+
+    `counted` names the column of counts when `df` is aggregated already.
+    """
+    rows = F.sum(counted) if counted else F.count("*")
+    counts = checkpointed(df.groupBy(label).agg(rows.alias("n")))   # one row per class
     total = counts.agg(F.sum("n").alias("rows"), F.count("*").alias("present"))
     raw = F.col("rows") / (F.col("present") * F.col("n"))
     if classes is not None:
@@ -122,12 +126,13 @@ class FaultModel:
     severity: PipelineModel
     window: int = WINDOW_ROWS
     stride: int = WINDOW_STRIDE
+    curve: list[float] | None = None    # objective of the class model after each iteration
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.fault.write().overwrite().save(f"{path}/fault")
         self.severity.write().overwrite().save(f"{path}/severity")
         meta = {"scaler": asdict(self.scaler), "classes": self.classes,
-                "window": self.window, "stride": self.stride}
+                "window": self.window, "stride": self.stride, "curve": training_curve(self)}
         spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(
             "overwrite").parquet(f"{path}/meta")
 
@@ -136,12 +141,14 @@ class FaultModel:
         meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
         return FaultModel(
             Scaler(**meta["scaler"]), meta["classes"], PipelineModel.load(f"{path}/fault"),
-            PipelineModel.load(f"{path}/severity"), meta["window"], meta["stride"])
+            PipelineModel.load(f"{path}/severity"), meta["window"], meta["stride"],
+            meta["curve"])
 
 
-def _fit(windows: DataFrame, label: Column, codes: list, max_iter: int) -> PipelineModel:
-    data = windows.withColumn("_label", label.cast("double"))
-    weights = {r["_label"]: r["weight"] for r in class_weights(data, "_label", [float(c) for c in codes]).collect()}
+def _fit(windows: DataFrame, counts: DataFrame, label: Column, codes: list, max_iter: int) -> PipelineModel:
+    data, counts = (df.withColumn("_label", label.cast("double")) for df in (windows, counts))
+    table = class_weights(counts, "_label", [float(c) for c in codes], counted="n")
+    weights = {r["_label"]: r["weight"] for r in table.collect()}
     weight = F.lit(1.0)
     for code, value in weights.items():
         weight = F.when(F.col("_label") == code, value).otherwise(weight)
@@ -153,12 +160,16 @@ def _fit(windows: DataFrame, label: Column, codes: list, max_iter: int) -> Pipel
 
 
 def fit_fault_model(windows: DataFrame, scaler: Scaler, max_iter: int = 50) -> FaultModel:
-    """Weighted class and severity classifiers on the same window vectors."""
-    classes = [r["fault_type"] for r in label_codes(windows, "fault_type").orderBy("code").collect()]
+    """Weighted class and severity classifiers on the same window vectors.
+
+    Labels and both weights come from one count by class and severity, for which no vector is built.
+    """
+    counts = checkpointed(windows.groupBy("fault_type", "severity_code").agg(F.count("*").alias("n")))
+    classes = [r["fault_type"] for r in label_codes(counts, "fault_type").orderBy("code").collect()]
     names = F.array(*[F.lit(c) for c in classes])
     code = F.array_position(names, F.col("fault_type")) - 1
-    fault = _fit(windows, code, list(range(len(classes))), max_iter)
-    severity = _fit(windows, F.col("severity_code"), list(range(len(SEVERITIES))), max_iter)
+    fault = _fit(windows, counts, code, list(range(len(classes))), max_iter)
+    severity = _fit(windows, counts, F.col("severity_code"), list(range(len(SEVERITIES))), max_iter)
     return FaultModel(scaler, classes, fault, severity)
 
 
@@ -183,7 +194,9 @@ def score_models(windows: DataFrame, model: FaultModel) -> DataFrame:
 
 
 def training_curve(model: FaultModel) -> list[float]:
-    """Objective after each iteration of the class model."""
+    """Objective after each iteration of the class model; a loaded model has it stored."""
+    if model.curve is not None:
+        return list(model.curve)
     return list(model.fault.stages[-1].summary.objectiveHistory)
 
 
@@ -191,18 +204,42 @@ def training_curve(model: FaultModel) -> list[float]:
 
 @dataclass(frozen=True)
 class AnomalyModel:
+    """Components and threshold, with what is needed to rebuild the inputs they were fitted on."""
+
     components: PCAModel
     threshold: float
+    scaler: Scaler | None = None
+    window: int = WINDOW_ROWS
+    width: int = BOTTLENECK
+    share: float = THRESHOLD_SHARE
+    classes: list[str] | None = None    # those the windows had; the components know `normal` only
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.components.write().overwrite().save(f"{path}/components")
-        spark.createDataFrame([(self.threshold,)], "threshold double").coalesce(1).write.mode(
-            "overwrite").parquet(f"{path}/threshold")
+        meta = {"threshold": self.threshold, "scaler": self.scaler and asdict(self.scaler), "window": self.window,
+                "width": self.width, "share": self.share, "classes": self.classes}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> AnomalyModel:
-        value = spark.read.parquet(f"{path}/threshold").first()["threshold"]
-        return AnomalyModel(PCAModel.load(f"{path}/components"), value)
+        meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+        scaler = Scaler(**meta.pop("scaler")) if meta["scaler"] else meta.pop("scaler")
+        return AnomalyModel(PCAModel.load(f"{path}/components"), scaler=scaler, **meta)
+
+
+def rescaled(vector: Column, given: Scaler, wanted: Scaler) -> Column:
+    """A flattened window of one scaler as that of another with the same features."""
+    if given.features != wanted.features:
+        raise ValueError("scalers of different features")
+    n = F.lit(len(given.features))
+    consts = [F.array(*map(F.lit, v)) for v in (given.mean, given.scale, wanted.mean, wanted.scale)]
+    at = lambda i: [F.get(c, i % n) for c in consts]
+
+    def moved(x: Column, i: Column) -> Column:
+        mean, scale, new_mean, new_scale = at(i)
+        return (x * scale + mean - new_mean) / new_scale
+    return array_to_vector(F.transform(vector_to_array(vector), moved))
 
 
 def _with_error(windows: DataFrame, components: PCAModel) -> DataFrame:
@@ -217,31 +254,41 @@ def _with_error(windows: DataFrame, components: PCAModel) -> DataFrame:
     return coded.withColumn("anomaly_error", F.greatest(error, F.lit(0.0))).drop("_coded")
 
 
-def fit_anomaly_model(windows: DataFrame, width: int = BOTTLENECK,
-                      share: float = THRESHOLD_SHARE) -> AnomalyModel:
+def fit_anomaly_model(windows: DataFrame, width: int = BOTTLENECK, share: float = THRESHOLD_SHARE,
+                      scaler: Scaler | None = None, window: int = WINDOW_ROWS) -> AnomalyModel:
     """Components of the normal windows; threshold from the held-out normal axles.
 
     With so few axles that one side of the split is empty, both use all normal windows.
     """
+    # one count without vectors: the classes, and the sides of the split that normal windows fall on
+    found = holdout_split(windows).groupBy("fault_type", "holdout").agg(F.count("*").alias("n")).collect()
+    classes = sorted({r["fault_type"] for r in found if r["fault_type"] is not None})
+    sides = sum(r["fault_type"] == "normal" for r in found)
     normal = holdout_split(windows.where(F.col("fault_type") == "normal"))
-    sides = normal.select("holdout").distinct().count()
     if sides < 2:
         normal = normal.withColumn("holdout", F.lit(True))
     fit = PCA(k=width, inputCol="features", outputCol="_coded").fit(normal.where("not holdout") if sides > 1 else normal)
     # two columns, stored, because the percentile reads them several times
     errors = checkpointed(_with_error(normal.where("holdout"), fit).select("anomaly_error", "sample_id"))
-    return AnomalyModel(fit, exact_percentile(errors, "anomaly_error", share, ["sample_id"]).first()[0])
+    threshold = exact_percentile(errors, "anomaly_error", share, ["sample_id"]).first()[0]
+    return AnomalyModel(fit, threshold, scaler, window, width, share, classes)
+
 
+def score_anomalies(windows: DataFrame, model: AnomalyModel | None, scaler: Scaler | None = None) -> DataFrame:
+    """Anomaly columns; all NULL when there is no anomaly model.
 
-def score_anomalies(windows: DataFrame, model: AnomalyModel | None) -> DataFrame:
-    """Anomaly columns; all NULL when there is no anomaly model."""
+    `scaler` is the one the windows were scaled with. Where the model was fitted with another, it sees its own.
+    """
     if model is None:
         return windows.withColumns({
             "anomaly_error": F.lit(None).cast("double"), "anomaly": F.lit(None).cast("boolean"),
             "anomaly_score": F.lit(None).cast("double"), "unknown_anomaly": F.lit(None).cast("boolean")})
     limit, error = F.lit(model.threshold), F.col("anomaly_error")
+    seen = windows
+    if scaler is not None and model.scaler is not None and scaler != model.scaler:
+        seen = windows.withColumn("features", rescaled(F.col("features"), scaler, model.scaler))
     return (
-        _with_error(windows, model.components)
+        _with_error(seen, model.components)
         .withColumn("anomaly", error > limit)
         .withColumn("anomaly_score", X.anomaly_score(error, limit))
         .withColumn("unknown_anomaly", X.unknown_anomaly(error, limit, F.col("pred")))

@@ -112,6 +112,14 @@ def network_rules(stations: DataFrame, defects: DataFrame, official: DataFrame)
             F.count_if(col("station_count") >= 5),
             F.count_if((col("station_count") >= 5)
                        & (col("length_km") > col("official_length_km") * LENGTH_SLACK)))})
+    return reduce(DataFrame.unionByName, [station, names, length, defect_rules(stations, defects, totals)])
+
+
+def defect_rules(stations: DataFrame, defects: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """Defects lie on their line between two of its stations, one per line and few in all."""
+    from axlewatch.operators.network import line_totals
+    col = F.col
+    totals = line_totals(stations) if totals is None else totals
     known = sized_broadcast(stations.select("line_id", "name"))
     ends = F.split("between_text", " – ")
     named = (
@@ -124,7 +132,7 @@ def network_rules(stations: DataFrame, defects: DataFrame, official: DataFrame)
     per_line = _report(defects.groupBy("line_id").agg(F.count("*").alias("n")), {
         "DQ16 one defect per line": (F.count("*"), F.count_if(col("n") > 1)),
         "DQ16 few defects": (F.lit(1), F.when(F.sum("n") > MAX_DEFECTS, 1).otherwise(0))})
-    return reduce(DataFrame.unionByName, [station, names, length, inside, per_line])
+    return inside.unionByName(per_line)
 
 
 def ring_rules(rings: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:

@@ -40,7 +40,7 @@ def train(spark: SparkSession, path: str, max_iter: int = 50) -> tuple[M.FaultMo
     scaler = M.fit_scaler(line.rows)
     split = M.window_vectors(line, scaler, split=True)
     fault = M.fit_fault_model(split.where("part = 'fit'"), scaler, max_iter)
-    anomaly = M.fit_anomaly_model(M.window_vectors(line, scaler))
+    anomaly = M.fit_anomaly_model(M.window_vectors(line, scaler), scaler=scaler)
     fault.save(spark, f"{path}/model/fault")
     anomaly.save(spark, f"{path}/model/anomaly")
     return fault, anomaly
@@ -83,7 +83,7 @@ def score_stream(spark: SparkSession, path: str, delay: str = "10 seconds", batc
         windows = live.stream_windows(
             rows, model.scaler.item(), model.window, delay, ["line_id", "train_id", "next_station", "track_km"])
         out = M.score_models(M.vectors_of(windows.where("ready"), model), model)
-        return M.score_anomalies(out, anomaly).drop("features")
+        return M.score_anomalies(out, anomaly, model.scaler).drop("features")
 
     return live.replay(rows, scored, live.append_to(f"{path}/predictions"), f"{path}/state/score")
 

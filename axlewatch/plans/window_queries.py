@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from axlewatch.operators import windows as W
+from axlewatch.operators.alarms import alarm_states
 from axlewatch.operators.segments import with_ordinal
 from axlewatch.plans import adapt
 from axlewatch.plans.alarm_queries import states
@@ -168,28 +169,46 @@ def current_residual(spark, d):
 SELECT tick, count(*) AS axles, count(*) FILTER (WHERE uncertain) AS uncertain,
   count(*) FILTER (WHERE unknown_anomaly) AS unknown_anomalies,
   count(*) FILTER (WHERE settled <> 'normal') AS active_alarms,
-  count(*) FILTER (WHERE changed AND NOT (prior_settled IS NULL AND settled='normal')) AS new_events
+  count(*) FILTER (WHERE changed AND NOT (prior_settled IS NULL AND settled='normal')) AS new_events,
+  count(*) FILTER (WHERE pred='bearing_fault') AS bearing_faults, count(*) FILTER (WHERE pred='normal') AS normals,
+  count(*) FILTER (WHERE pred='motor_fault') AS motor_faults,
+  (SELECT max(tick) FROM states) + 1 AS total_ticks, tick = (SELECT max(tick) FROM states) AS finished
 FROM states GROUP BY tick""")
 def tick_summary(spark, d):
     from axlewatch.operators.payload import tick_summary as build
-    return build(states(spark, d))
+    counts = {n: F.col("class_counts")[n[:-1] if n != "normals" else "normal"] for n in ("bearing_faults", "motor_faults", "normals")}
+    return build(states(spark, d)).withColumns(counts).drop("class_counts")
 
 
 @query("tick_payload", needs="states", sql="""
 SELECT tick, line_id, train_id, count(*) AS axles, min(axle_key) AS first_axle,
   count(*) FILTER (WHERE settled <> 'normal') AS faulty, count(*) FILTER (WHERE uncertain) AS uncertain,
-  round(sum(round(conf, 4)), 4) AS conf, round(sum(track_km), 4) AS km, count(lat) AS located
-FROM states GROUP BY tick, line_id, train_id""")
+  round(sum(round(conf, 4)), 4) AS conf, round(sum(track_km), 4) AS km, count(lat) AS located,
+  CAST(sum(least(seq + 1, 10)) AS BIGINT) AS fill, count(pred) AS ready, round(sum(round(level, 4)), 4) AS sev_conf,
+  round(sum(round(level, 4) + round(conf, 4)), 4) AS sev_probs,
+  count(*) FILTER (WHERE changed AND NOT (prior_settled IS NULL AND settled='normal')) AS new_events,
+  count(*) FILTER (WHERE changed AND settled <> 'normal') AS new_alarms
+FROM (SELECT *, row_number() OVER (PARTITION BY axle_key ORDER BY "timestamp", sample_id) - 1 AS seq FROM states) GROUP BY tick, line_id, train_id""")
 def tick_payload(spark, d):
     """The documents, read back from their JSON text."""
     from axlewatch.operators.payload import train_documents
     position = "struct<lat: double, km: double, station: string, at_station: boolean>"
-    axle = f"struct<axle: string, settled: string, uncertain: boolean, conf: double, position: {position}>"
-    read = F.from_json("document", f"tick long, line_id string, train_id string, axles array<{axle}>")
-    one = train_documents(states(spark, d)).select(read.alias("d")).select(
-        "d.tick", "d.line_id", "d.train_id", F.explode("d.axles").alias("a"))
+    axle = ("struct<axle: string, settled: string, uncertain: boolean, conf: double, ready: boolean, fill: long, "
+            f"sev_conf: double, sev_probs: array<double>, position: {position}>")
+    event = "struct<axle: string, kind: string>"
+    read = F.from_json("document", f"tick long, line_id string, train_id string, axles array<{axle}>, new_events array<{event}>")
+    clock = adapt.clock(spark, d)
+    line = with_ordinal(adapt.prediction_timeline(spark, d, clock), "seq")
+    rows = alarm_states(line, start_us=clock.start_us).rows.withColumns({
+        "fill": F.least(F.col("seq") + 1, F.lit(10)), "sev_conf": F.col("level"), "sev_probs": F.array("level", "conf")})
+    one = train_documents(rows).select(read.alias("d")).select(
+        "d.tick", "d.line_id", "d.train_id", F.size("d.new_events").alias("events"),
+        F.size(F.filter("d.new_events", lambda e: e["kind"] == "alarm")).alias("alarms"), F.explode("d.axles").alias("a"))
     return one.groupBy("tick", "line_id", "train_id").agg(
         F.count("*").alias("axles"), F.min("a.axle").alias("first_axle"),
         F.count_if(F.coalesce(F.col("a.settled") != "normal", F.lit(False))).alias("faulty"),
         F.count_if("a.uncertain").alias("uncertain"), F.round(F.sum("a.conf"), 4).alias("conf"),
-        F.round(F.sum("a.position.km"), 4).alias("km"), F.count("a.position.lat").alias("located"))
+        F.round(F.sum("a.position.km"), 4).alias("km"), F.count("a.position.lat").alias("located"),
+        F.sum("a.fill").alias("fill"), F.count_if("a.ready").alias("ready"), F.round(F.sum("a.sev_conf"), 4).alias("sev_conf"),
+        F.round(F.sum(F.col("a.sev_probs")[0] + F.col("a.sev_probs")[1]), 4).alias("sev_probs"),
+        F.max("events").cast("long").alias("new_events"), F.max("alarms").cast("long").alias("new_alarms"))

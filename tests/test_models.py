@@ -40,6 +40,7 @@ def test_classifiers_reach_the_floors_and_reload(spark, line, tmp_path):
     assert curve[-1] < curve[0]
     model.save(spark, str(tmp_path))
     again = M.FaultModel.load(spark, str(tmp_path))
+    assert M.training_curve(again) == curve and again.scaler == scaler
     val = both.where("part = 'val'")
     out = M.score_models(val, model).select("sample_id", "pred", "conf", "probs", "severity", "sev_probs",
                                             "fault_type", "fault_severity", "uncertain").cache()
@@ -53,10 +54,21 @@ def test_classifiers_reach_the_floors_and_reload(spark, line, tmp_path):
 
 
 def test_anomaly_layer(spark, line, tmp_path):
-    windows = M.window_vectors(line, M.fit_scaler(line.rows.where("fault_type = 'normal'")))
-    model = M.fit_anomaly_model(windows)
-    model.save(spark, str(tmp_path))
+    scaler = M.fit_scaler(line.rows.where("fault_type = 'normal'"))
+    windows = M.window_vectors(line, scaler)
+    fitted = M.fit_anomaly_model(windows, scaler=scaler)
+    fitted.save(spark, str(tmp_path))
     model = M.AnomalyModel.load(spark, str(tmp_path))
+    assert (model.threshold, model.scaler, model.window, model.width, model.share) == (
+        fitted.threshold, scaler, 10, 16, 0.99)
+    assert model.classes == ["bearing_fault", "motor_fault", "normal"]
+    # windows of another scaler are seen through the model's own
+    other = M.fit_scaler(line.rows)
+    moved = M.score_anomalies(M.window_vectors(line, other).withColumn("pred", F.lit("normal")), model, other)
+    own = M.score_anomalies(windows.withColumn("pred", F.lit("normal")), model, scaler)
+    far = moved.select("sample_id", F.col("anomaly_error").alias("e")).join(own, "sample_id").where(
+        F.abs(F.col("e") - F.col("anomaly_error")) > 1e-9)
+    assert other != scaler and far.count() == 0
     scored = M.score_anomalies(windows.withColumn("pred", F.lit("normal")), model)
     rates = {r["class"]: r for r in M.anomaly_rates(scored).collect()}
     assert rates["normal"]["rate"] < 0.10
@@ -86,3 +98,13 @@ def test_scaler_and_weights(spark):
     raw = [(3 / 4) ** 0.5, (3 / 2) ** 0.5, 1.0]
     assert all(abs(w[k] - v / (sum(raw) / 3)) < 1e-12 for k, v in zip("abz", raw))
     assert [tuple(r) for r in M.label_codes(df, "c").collect()] == [(0, "a"), (1, "b")]
+
+
+def test_codes_and_weights_from_counts(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
+    assert [tuple(r) for r in M.label_codes(df, "c").orderBy("code").collect()] == [(0, "a"), (1, "b")]
+    assert M.label_codes(df.where("false"), "c").collect() == []
+    known = df.where("c is not null")
+    counts = known.groupBy("c").agg(F.count("*").alias("rows")).withColumnRenamed("rows", "k")
+    shown = lambda w: sorted(map(tuple, w.collect()))
+    assert shown(M.class_weights(counts, "c", counted="k")) == shown(M.class_weights(known, "c"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from axlewatch.operators import history as H
 from axlewatch.plans import adapt
-from axlewatch.plans.alarm_queries import alarm_table
+from axlewatch.plans.alarm_queries import alarm_table, linked
 from axlewatch.plans.registry import query
+from axlewatch.session import checkpointed, shared_folder
+from axlewatch.sources import files
 
 
 def runs(spark, d):
@@ -23,6 +27,22 @@ def scan_history(spark, d):
     return alarm_table(spark, d, with_defects=True)
 
 
+@query("stored_alarms", needs="linked", sql="""
+SELECT CAST(7 AS BIGINT) AS run_id, sample_id AS id, "timestamp" AS sim_time, tick, axle, line_id, prior, new, severity, conf, station, kind,
+  prior_duration_s, priority, defect_id FROM linked""")
+def stored_alarms(spark, d):
+    """Events through the sink in four batches, one of them twice, compacted when three had come; each shows once."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    events, write = checkpointed(linked(spark, d)), files.alarm_writer(path, 7)
+    batch = F.col("sample_id") % 4
+    for number in (0, 1, 2):
+        write(events.where(batch == number), number)
+    files.compact_alarms(spark, path, 7)
+    for number in (2, 3):
+        write(events.where(batch == number), number)
+    return files.scan_history(spark, path)["alarms"].drop("recorded_at", "actual")
+
+
 @query("alarms_by_axle", needs="alarms", sql="""
 SELECT axle, line_id, count(*) AS alarm_count, count(*) FILTER (WHERE severity='severe') AS severe_count,
   round(avg(prior_duration_s), 1) AS avg_prior_s, max(recorded_at) AS last_alarm

@@ -27,16 +27,22 @@ def timeline(rows: DataFrame) -> Timeline:
 
 
 def prepare(telemetry: DataFrame, path: str) -> None:
-    """Chronological split; the test part becomes an unlabelled stream and a separate answer key."""
-    split = L.chronological_split(L.assign_sample_id(telemetry, ORDER))
-    files.write_split_tables(split, f"{path}/split")
-    test = telemetry.sparkSession.read.parquet(f"{path}/split/part=test")
-    files.write_stream_and_key(test, path)
+    """Chronological split; the test part becomes an unlabelled stream and a separate answer key.
+
+    Each output is written once: sample ids are places in the sorted split table, added on reading.
+    """
+    files.write_ranked(L.chronological_split(telemetry), ORDER, f"{path}/split")
+    files.write_stream_and_key(part(telemetry.sparkSession, path, "test"), path)
+
+
+def part(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The `train` or `test` part of the split table, with sample ids."""
+    return files.scan_ranked(spark, f"{path}/split").where(F.col("part") == name).drop("part")
 
 
 def train(spark: SparkSession, path: str, max_iter: int = 50) -> tuple[M.FaultModel, M.AnomalyModel]:
     """Fits both classifiers and the anomaly layer on the train part, and saves them."""
-    line = timeline(spark.read.parquet(f"{path}/split/part=train"))
+    line = timeline(part(spark, path, "train"))
     scaler = M.fit_scaler(line.rows)
     split = M.window_vectors(line, scaler, split=True)
     fault = M.fit_fault_model(split.where("part = 'fit'"), scaler, max_iter)
@@ -55,7 +61,7 @@ def answer_key(spark: SparkSession, path: str) -> DataFrame:
 def evaluate(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Reports on the test part with the saved models."""
     model = M.FaultModel.load(spark, f"{path}/model/fault")
-    windows = M.window_vectors(timeline(spark.read.parquet(f"{path}/split/part=test")), model.scaler)
+    windows = M.window_vectors(timeline(part(spark, path, "test")), model.scaler)
     out = M.score_models(windows, model)
     scored = S.score_against_key(out.drop("fault_type", "fault_severity"), answer_key(spark, path))
     # the few columns every report reads, scored once
@@ -118,6 +124,7 @@ def replay_alarms(spark: SparkSession, path: str, hysteresis: int = HYSTERESIS,
         f"{path}/predictions/batch=*")
     late = live.replay(source, events, files.alarm_writer(run.store, run.run_id), run.checkpoint)
     files.append_late(spark, run.store, run.run_id, late)
+    files.compact_alarms(spark, run.store, run.run_id)
     # snapshots of the running metrics, from the stored predictions
     rows = table.withColumns({"uncertain": sure, "tick": clock.tick()})
     line = Timeline.of(rows, ["axle_key"], "timestamp", ["timestamp", "sample_id"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from axlewatch.functions import exprs as X
@@ -9,6 +11,8 @@ from axlewatch.operators import labels as L
 from axlewatch.plans import adapt
 from axlewatch.plans.registry import query
 from axlewatch.schemas import ANSWER_KEY, FEATURES, LABELS, STREAM, TELEMETRY
+from axlewatch.session import shared_folder
+from axlewatch.sources import files
 
 _TELE = ", ".join(f'"{f.name}"' for f in TELEMETRY.fields)
 _STREAM = ", ".join(f'"{f.name}"' for f in STREAM.fields)
@@ -17,12 +21,18 @@ _KEY = ", ".join(f'"{f.name}"' for f in ANSWER_KEY.fields)
 
 @query("scan_telemetry", needs="tele", sql=f"SELECT {_TELE} FROM tele")
 def scan_telemetry(spark, d):
-    return adapt.telemetry(spark, d).select(*TELEMETRY.names)
+    """Written as CSV with a header, and read back by the reader."""
+    path = f"{shared_folder(spark)}/telemetry-{uuid.uuid4().hex}"
+    adapt.telemetry(spark, d).select(*TELEMETRY.names).write.options(**files.CSV).csv(path)
+    return files.scan_telemetry(spark, path)
 
 
 @query("scan_answer_key", needs="tele", sql="SELECT sample_id, fault_type, fault_severity FROM tele")
 def scan_answer_key(spark, d):
-    return adapt.answer_key(spark, d)
+    """The key that the sink writes apart from the stream, read back by the reader."""
+    path = f"{shared_folder(spark)}/key-{uuid.uuid4().hex}"
+    files.write_stream_and_key(adapt.telemetry(spark, d), path, "csv")
+    return files.scan_answer_key(spark, f"{path}/key").select("sample_id", "fault_type", "fault_severity")
 
 
 @query("axle_key", needs="tele", sql="SELECT sample_id, train_id, wagon_id, axle_id, axle_key FROM tele")
@@ -55,6 +65,18 @@ def assign_sample_id(spark, d):
     return L.assign_sample_id(adapt.telemetry(spark, d).select(*order), order)
 
 
+@query("scan_ranked", needs="tele", sql="""
+WITH b AS (SELECT min(epoch_us("timestamp")) + (max(epoch_us("timestamp")) - min(epoch_us("timestamp")) + 2000000)*CAST(0.8 AS DOUBLE) AS cut FROM tele)
+SELECT "timestamp", train_id, wagon_id, axle_id, CASE WHEN epoch_us("timestamp") < cut THEN 'train' ELSE 'test' END AS part,
+  row_number() OVER (ORDER BY "timestamp", train_id, wagon_id, axle_id) - 1 AS place FROM tele, b""")
+def scan_ranked(spark, d):
+    """The split table written once in order; places come from file offsets on reading."""
+    order = ["timestamp", "train_id", "wagon_id", "axle_id"]
+    path = f"{shared_folder(spark)}/ranked-{uuid.uuid4().hex}"
+    files.write_ranked(L.chronological_split(adapt.telemetry(spark, d).select(*order)), order, path)
+    return files.scan_ranked(spark, path, "place")
+
+
 @query("chronological_split", sql="""
 WITH b AS (SELECT min(epoch_us(l_shipdate)) + (max(epoch_us(l_shipdate)) - min(epoch_us(l_shipdate)) + 2000000)*CAST(0.8 AS DOUBLE) AS cut
   FROM lineitem)

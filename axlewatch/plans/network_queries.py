@@ -71,7 +71,12 @@ def defect_placement(spark, d):
 
 @query("scan_defects", needs="defects", sql="SELECT defect_id, line_id, km, width_km FROM defects")
 def scan_defects(spark, d):
-    return defects(spark, d).select("defect_id", "line_id", "km", "width_km")
+    """The list stored as a JSON array (it is short: a defect per line), read back by the reader."""
+    path = f"{shared_folder(spark)}/defects-{uuid.uuid4().hex}"
+    item = F.struct(F.col("line_id").alias("hat"), "km", F.col("defect_id").alias("kusur_id"), F.col("width_km").alias("genislik_km"),
+                    F.col("kind").alias("siddet"), F.col("between_text").alias("arasi"), "lat", "lon")
+    defects(spark, d).agg(F.to_json(F.sort_array(F.collect_list(item))).alias("value")).coalesce(1).write.text(path)
+    return files.scan_defects(spark, path).select("defect_id", "line_id", "km", "width_km")
 
 
 @query("locate_on_line", needs="tele segs lines", sql="""

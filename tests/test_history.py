@@ -85,3 +85,38 @@ def test_metric_snapshots_are_stored(spark, tmp_path):
     got = files.scan_history(spark, str(tmp_path))["metrics"].orderBy("tick").collect()
     assert [(r["run_id"], r["tick"], r["active_alarms"]) for r in got] == [(3, 0, 0), (3, 25, 4), (3, 50, 0)]
     assert got[0]["severity_accuracy"] is None
+
+
+def test_batches_end_as_few_files_and_show_once(spark, tmp_path):
+    path, run = str(tmp_path), 5
+    schema = ("sample_id long, timestamp timestamp, tick long, axle string, line_id string, train_id string, "
+              "prior string, new string, conf double, severity string, station string, kind string, "
+              "prior_duration_s double, priority double, track_km double")
+    write = files.alarm_writer(path, run)
+    batch = lambda *ids: spark.createDataFrame(
+        [(i, T0, i, f"a{i}", "M4", "T", "normal", "rail_crack", 0.9, "mild", "X", "alarm", 6.0, 0.4, 1.0) for i in ids], schema)
+    shown = lambda: sorted(r["id"] for r in files.scan_alarms(spark, path).collect())
+    parts = lambda: sorted(p.name for p in (tmp_path / "alarms" / f"run_id={run}").iterdir())
+    assert shown() == []
+    files.compact_alarms(spark, path, run)          # nothing to do yet
+    for n in range(5):
+        write(batch(2 * n, 2 * n + 1), n)
+    write(batch(99), -1)                            # what a bounded replay still holds
+    reader = files.scan_alarms(spark, path)
+    files.compact_alarms(spark, path, run)
+    assert "batch=0-4" in parts() and "batch=3" in parts()
+    assert reader.count() == 11 and shown() == [*range(10), 99]
+    write(batch(8, 9), 4)                           # a retried batch that the range already holds
+    write(batch(10), 5)
+    write(batch(), 6)
+    assert shown() == [*range(11), 99]
+    # a range that was not finished does not count
+    (tmp_path / "alarms" / f"run_id={run}" / "batch=0-6").mkdir()
+    assert shown() == [*range(11), 99]
+    files.compact_alarms(spark, path, run)
+    assert shown() == [*range(11), 99]
+    files.compact_alarms(spark, path, run)
+    assert parts() == ["batch=-1", "batch=0-6"]
+    assert len(list((tmp_path / "alarms" / f"run_id={run}" / "batch=0-6").glob("*.parquet"))) == 1
+    files.alarm_writer(path, 6)(batch(1), 0)        # another run has its own batches
+    assert shown() == [0, 1, 1, *range(2, 11), 99]

@@ -204,3 +204,36 @@ def test_messages_of_a_train_keep_their_order(spark):
     for t in ("T0", "T1", "T2"):
         seen = [r["s"] for r in placed if r["train_id"] == t]
         assert seen == sorted(seen)
+
+
+def test_ranked_table_numbers_rows_by_file_offsets(spark, tmp_path):
+    """Places equal the sort order over many files, ties included, and stay the same on every reading."""
+    order = ["timestamp", "train_id"]
+    df = spark.range(2000).select(
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % 500 * 2).alias("timestamp"),
+        F.concat(F.lit("T"), (F.col("id") * 31 % 5).cast("string")).alias("train_id"), "id")
+    split = L.chronological_split(df)
+    files.write_ranked(split, order, f"{tmp_path}/t")
+    got = files.scan_ranked(spark, f"{tmp_path}/t")
+    rows = [tuple(r) for r in got.select("sample_id", *order, "part", "id").orderBy("sample_id").collect()]
+    assert [r[0] for r in rows] == list(range(2000)) and sorted(r[4] for r in rows) == list(range(2000))
+    assert [r[1:3] for r in rows] == sorted(r[1:3] for r in rows)
+    assert [r[3] for r in rows] == sorted((r[3] for r in rows), reverse=True)
+    test = files.scan_ranked(spark, f"{tmp_path}/t").where("part = 'test'")
+    assert sorted((r["sample_id"], r["id"]) for r in test.collect()) == [(r[0], r[4]) for r in rows if r[3] == "test"]
+    files.write_ranked(split.where("false"), order, f"{tmp_path}/none")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")     # files read in pieces keep their row indexes
+    try:
+        again = files.scan_ranked(spark, f"{tmp_path}/t")
+        assert sorted((r["sample_id"], r["id"]) for r in again.collect()) == [(r[0], r[4]) for r in rows]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_csv_keeps_microseconds(spark, tmp_path):
+    known = {"timestamp": F.timestamp_micros(F.lit(1_700_000_000_123_457)), "at_station": F.lit(True)}
+    rows = spark.range(3).select(F.col("id").alias("sample_id"), *[
+        known.get(f.name, F.lit("1").cast(f.dataType)).alias(f.name) for f in schemas.TELEMETRY.fields])
+    files.write_stream_and_key(rows, str(tmp_path), "csv")
+    for table in (files.scan_stream_table(spark, f"{tmp_path}/stream"), files.scan_answer_key(spark, f"{tmp_path}/key")):
+        assert {r[0] for r in table.select(F.unix_micros("timestamp")).collect()} == {1_700_000_000_123_457}

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from axlewatch.operators.labels import require_unlabelled
 from axlewatch.schemas import STREAM
 
+TASK_ROWS = 1_000_000
 ISO = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
@@ -42,15 +43,41 @@ def in_topic_order(stream: DataFrame) -> DataFrame:
     return stream.repartition("train_id").sortWithinPartitions("timestamp")
 
 
-def write_topic(stream: DataFrame, servers: str, topic: str, ordered: bool = True) -> None:
-    """Sends every row, keyed by train.
+def topic_slices(stream: DataFrame, task_rows: int = TASK_ROWS) -> list[DataFrame]:
+    """The stream cut by time into slices, to be written one after the other.
+
+    Inside a slice a train is in one task; only trains of more than `task_rows` rows make cuts, and all of them together
+    have about `task_rows` rows in a slice. Rows of one instant are never cut apart; those without a time come first.
+    """
+    hot = stream.groupBy("train_id").agg(F.count("*").alias("n")).where(F.col("n") > task_rows)
+    total = hot.agg(F.sum("n")).first()[0] or 0
+    count = -(-total // task_rows)
+    if count < 2:
+        return [in_topic_order(stream)]
+    at = F.unix_micros("timestamp")
+    shares = [i / count for i in range(1, count)]
+    long = stream.join(hot.select("train_id"), "train_id", "left_semi")
+    found = long.agg(F.percentile_approx(at, shares, max(10_000, 20 * count))).first()[0] or []
+    cuts = [F.timestamp_micros(F.lit(c)) for c in sorted(set(found))]
+    time = F.col("timestamp")
+    bounds = list(zip([None, *cuts], [*cuts, None]))
+    slices = []
+    for low, high in bounds:
+        inside = F.lit(True) if low is None else time >= low
+        inside = inside if high is None else inside & (time < high)
+        slices.append(in_topic_order(stream.where(inside | time.isNull() if low is None else inside)))
+    return slices
+
+
+def write_topic(stream: DataFrame, servers: str, topic: str, ordered: bool = True, task_rows: int = TASK_ROWS) -> None:
+    """Sends every row, keyed by train; ordered, no task holds much more than `task_rows` rows of long trains.
 
     Readers put rows in event-time order themselves, so a large backfill may go unordered, and
     then without a shuffle.
     """
-    rows = in_topic_order(stream) if ordered else stream
-    (encode_messages(rows).write.format("kafka")
-     .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
+    for rows in topic_slices(stream, task_rows) if ordered else [stream]:
+        (encode_messages(rows).write.format("kafka")
+         .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
 
 
 def read_topic(spark: SparkSession, servers: str, topic: str, streaming: bool = False) -> DataFrame:

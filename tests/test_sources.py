@@ -237,3 +237,22 @@ def test_csv_keeps_microseconds(spark, tmp_path):
     files.write_stream_and_key(rows, str(tmp_path), "csv")
     for table in (files.scan_stream_table(spark, f"{tmp_path}/stream"), files.scan_answer_key(spark, f"{tmp_path}/key")):
         assert {r[0] for r in table.select(F.unix_micros("timestamp")).collect()} == {1_700_000_000_123_457}
+
+
+def test_a_long_train_comes_from_several_tasks_in_order(spark):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.concat(F.lit("T"), (F.col("id") % 7).cast("string"))).otherwise("hot").alias("train_id"),
+        F.when(F.col("id") % 500 != 3, F.timestamp_seconds(1_700_000_000 + F.col("id") * 7919 % 1500)).alias("timestamp"), "id")
+    slices = kafka.topic_slices(rows, task_rows=300)
+    assert len(slices) >= 9
+    sent = {}
+    for part in slices:
+        got = part.withColumn("task", F.spark_partition_id()).collect()
+        assert sum(r["train_id"] == "hot" for r in got) <= 340
+        assert len({r["task"] for r in got if r["train_id"] == "hot"}) == 1
+        for r in got:       # rows of a task in their order
+            sent.setdefault(r["train_id"], []).append((r["timestamp"], r["id"]))
+    assert sorted(i for v in sent.values() for _, i in v) == list(range(3000))
+    for times in ([t for t, _ in v if t] for v in sent.values()):
+        assert times == sorted(times)
+    assert len(kafka.topic_slices(rows, task_rows=3000)) == 1

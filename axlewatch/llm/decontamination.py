@@ -5,18 +5,20 @@ edits; cut into k + 1 pieces, at least one piece survives any k edits unchanged.
 all pieces of a block of items in every whole document, and around each hit Myers' bit-parallel
 algorithm gives the exact edit distance of the best match.
 
-Items are handled in blocks of at most `block_chars` characters (one block unless the benchmark is
-large); documents are scanned once per block. Only a block travels to the executors.
+The different texts of the items are handled in blocks of about `block_chars` characters (one block
+unless the benchmark is large); documents are scanned once per block. Only a block travels to the
+executors; the ids of its texts are joined to what was found.
 
 Defined results: a null or empty text, or one without letters or digits, matches nothing; such items
-match nothing; an item under `min_chars` characters must occur as whole words without edits; repeated items are
-reported under each id, repeated documents each; an empty table gives no rows; other columns are
+match nothing; an item whose budget is below one edit must occur as whole words; repeated items are
+reported under each id once, repeated documents each; an empty table gives no rows; other columns are
 ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axlewatch.llm.base import arrow_rows
+from axlewatch.operators.segments import sized_broadcast
 
 NOT_WORD = re.compile(r"[\W_]+")
 WIDE_SIGN = re.compile(r"[^\w\x00-\x7f]")
 SIGNS_TO_SPACE = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
-MATCHED = "doc_id long, item_id long, distance int, budget int"
+MATCHED = "doc_id long, item_key binary, distance int, budget int"
 
 
 @dataclass
@@ -39,15 +42,15 @@ class Item:
     letters: dict[str, int]     # character -> bits of its places
 
     @classmethod
-    def of(cls, ids: list, text: str, rate: float, min_chars: int) -> Item:
+    def of(cls, ids: list, text: str, rate: float) -> Item:
         letters: dict[str, int] = {}
         for i, c in enumerate(text):
             letters[c] = letters.get(c, 0) | 1 << i
-        return cls(ids, text, 0 if len(text) < min_chars else int(rate * len(text)), letters)
+        return cls(ids, text, int(rate * len(text)), letters)
 
     def pieces(self) -> list[tuple[int, str]]:
         if not self.budget:
-            return [(1, f" {self.text} ")] if len(self.text) < 20 else [(0, self.text)]
+            return [(1, f" {self.text} ")]
         n, m = self.budget + 1, len(self.text)
         cuts = [i * m // n for i in range(n + 1)]
         return [(a, self.text[a:b]) for a, b in zip(cuts, cuts[1:])]
@@ -83,13 +86,13 @@ def plain(text: str | None) -> str:
 class Matcher:
     """Finds the items of a block in texts."""
 
-    def __init__(self, rows: list[tuple], rate: float, min_chars: int) -> None:
+    def __init__(self, rows: list[tuple], rate: float) -> None:
         import ahocorasick
         by_text: dict[str, list] = {}
         for item, text in rows:
             if words := plain(text):
                 by_text.setdefault(words, []).append(item)
-        self.items = [Item.of(ids, text, rate, min_chars) for text, ids in by_text.items()]
+        self.items = [Item.of(ids, text, rate) for text, ids in by_text.items()]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, item in enumerate(self.items):
             for at, piece in item.pieces():
@@ -129,18 +132,24 @@ class Matcher:
         return found
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple]]:
-    """The benchmark in blocks of about `block_chars` characters each."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def item_texts(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_key, text): a key for each text."""
+    text = F.col("text").cast("string")
+    return benchmark.where(text.isNotNull()).select(
+        F.col("item_id").cast("long").alias("item_id"), F.unhex(F.md5(text)).alias("item_key"), text.alias("text"))
+
+
+def item_blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
+    """The different texts of the benchmark, as (key, text), in blocks of about `block_chars` characters each."""
+    rows = item_texts(benchmark).groupBy("item_key").agg(F.first("text").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(total // block_chars) + 1
-    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    number = F.pmod(F.xxhash64("item_key"), F.lit(blocks))
     for i in range(blocks):
-        yield [tuple(r) for r in (rows.where(number == i) if blocks > 1 else rows).collect()]
+        yield [(bytes(k), t) for k, t in (rows.where(number == i) if blocks > 1 else rows).collect()]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, min_chars: int = 34,
-               block_chars: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id) of every document that holds an item within its error budget."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
@@ -149,27 +158,27 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, min_ch
 
         def work(columns, shared=shared, kept=[]):
             if not kept:
-                kept.append(Matcher(shared.value, rate, min_chars))
+                kept.append(Matcher(shared.value, rate))
             matcher, found = kept[0], []
             for doc, text in zip(*columns, strict=True):
                 for i, d in matcher.matches(text).items():
-                    found += [(doc, item, d, matcher.items[i].budget) for item in matcher.items[i].ids]
+                    found += [(doc, key, d, matcher.items[i].budget) for key in matcher.items[i].ids]
             return found
 
         part = arrow_rows(rows, work, MATCHED)
         out = part if out is None else out.unionByName(part)
-    return out
+    ids = item_texts(benchmark).select("item_id", "item_key").distinct()
+    return out.join(sized_broadcast(ids), "item_key").select("doc_id", "item_id", "distance", "budget")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, min_chars: int = 34,
-               block_chars: int = 1_000_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, block_chars: int = 1_000_000) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
     column, schema = docs.columns.index("text"), docs.schema
     for block in item_blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            matcher = Matcher(shared.value, rate, min_chars)
+            matcher = Matcher(shared.value, rate)
             for batch in batches:
                 keep = [not matcher.matches(t, any_one=True) for t in batch.column(column).to_pylist()]
                 yield batch.filter(pa.array(keep, type=pa.bool_()))

@@ -31,6 +31,7 @@ SHINGLE = 5
 ROWS, BANDS = 4, 32
 FEW = 4             # so many classes outside the largest component meet all others as pairs
 BLOCK_ITEMS = 500_000   # shingles of a block of classes that a task compares with another block
+BLOCK_CLASSES = 4_000   # classes of such a block at most, on average
 FILTER_BITS = 23    # size of the key filter; full filters only stop saving work
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                     0xA0761D6478BD642F], dtype=np.uint64)
@@ -222,7 +223,7 @@ def open_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels:
         F.count("*").alias("parts"), F.sum("size").alias("total"), F.sum("items").alias("items"),
         F.max(F.struct("size", "label", "items")).alias("main"))
         .where((F.col("parts") > 1) & (F.col("total") > 2))
-        .select("key", F.col("main.label").alias("main"), (F.col("total") - F.col("main.size")).alias("rest"), "items",
+        .select("key", F.col("main.label").alias("main"), "total", (F.col("total") - F.col("main.size")).alias("rest"), "items",
                 (F.col("items") - F.col("main.items")).alias("rest_items")))
     rows = stored(named.join(buckets, "key"))
     few = rows.where(F.col("rest") <= FEW)
@@ -240,20 +241,21 @@ def open_links(docs: DataFrame, classes: DataFrame, members: DataFrame, labels:
 def block_links(rows: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """Links between the classes outside a bucket's largest component and all others of the bucket.
 
-    Both sides come in blocks of about BLOCK_ITEMS shingles, and a task compares one block with one
-    block. Of the links it finds, it passes on those that join components not yet joined by it.
+    Both sides come in blocks of about BLOCK_ITEMS shingles and BLOCK_CLASSES classes at most, and a
+    task compares one block with one block. Of the links it finds, it passes on those that join components not yet joined by it.
     """
-    def blocks(total: str):
-        return F.ceil(F.col(total) / BLOCK_ITEMS).cast("int")
+    def blocks(items: str, classes: str):
+        return F.ceil(F.greatest(F.col(items) / BLOCK_ITEMS, F.col(classes) / BLOCK_CLASSES)).cast("int")
 
-    def place(total: str, salt: int):
-        return F.pmod(F.xxhash64("node", F.lit(salt)), blocks(total)).cast("int")
+    def place(items: str, classes: str, salt: int):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), blocks(items, classes)).cast("int")
 
-    held = rows.join(sets.withColumnRenamed("items", "items_of"), "node").withColumns({"i": place("items", 1), "j": place("rest_items", 2)})
+    held = rows.join(sets.withColumnRenamed("items", "items_of"), "node").withColumns(
+        {"i": place("items", "total", 1), "j": place("rest_items", "rest", 2)})
     left = held.select("key", "node", "label", "items_of", "i", F.explode(
-        F.sequence(F.lit(0), blocks("rest_items") - 1)).alias("j"))
+        F.sequence(F.lit(0), blocks("rest_items", "rest") - 1)).alias("j"))
     right = held.where(F.col("label") != F.col("main")).select("key", "node", "label", "items_of", "j", F.explode(
-        F.sequence(F.lit(0), blocks("items") - 1)).alias("i")).toDF("key2", "node2", "label2", "items2", "j2", "i2")
+        F.sequence(F.lit(0), blocks("items", "total") - 1)).alias("i")).toDF("key2", "node2", "label2", "items2", "j2", "i2")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         found = compare_blocks(*(t.column(c).to_pylist() for t, c in ((a, "node"), (a, "label"), (b, "node2"), (b, "label2"))),
@@ -270,19 +272,30 @@ def compare_blocks(nodes: list, labels: list, nodes2: list, labels2: list, items
     owner, owner2 = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.arange(len(sizes2)), sizes2)
     flat, flat2 = items.flatten().to_numpy(), items2.flatten().to_numpy()
     both = np.intersect1d(flat, flat2)      # only these can be common
-    common = np.zeros((len(sizes2), len(sizes)), dtype=np.float32)
+    # a class with less than its share of these has no link here
+    held, held2 = (np.flatnonzero(100 * np.bincount(who[np.isin(values, both)], minlength=len(n)) >= percent * n)
+                   for values, who, n in ((flat, owner, sizes), (flat2, owner2, sizes2)))
+    if not len(held) or not len(held2):
+        return []
+    row, row2 = np.full(len(sizes), -1), np.full(len(sizes2), -1)
+    row[held], row2[held2] = np.arange(len(held)), np.arange(len(held2))
+    common = np.zeros((len(held2), len(held)), dtype=np.float32)
     for start in range(0, len(both), 2048):
         part = both[start:start + 2048]
         pair = []
-        for values, who, n in ((flat, owner, len(sizes)), (flat2, owner2, len(sizes2))):
+        for values, who, n in ((flat, row[owner], len(held)), (flat2, row2[owner2], len(held2))):
             at = np.minimum(np.searchsorted(part, values), len(part) - 1)
-            hit = part[at] == values
+            hit = (part[at] == values) & (who >= 0)
             grid = np.zeros((n, len(part)), dtype=np.float32)
             grid[who[hit], at[hit]] = 1
             pair.append(grid)
         common += pair[1] @ pair[0].T
-    common = common.astype(np.int64)
-    near = 100 * common >= percent * (sizes2[:, None] + sizes[None, :] - common)
+    # 100 * common >= percent * (size2 + size - common), in whole numbers, some rows at a time
+    links_at = []
+    for start in range(0, len(held2), 64):
+        some = common[start:start + 64].astype(np.int64)
+        near = (100 + percent) * some >= percent * (sizes2[held2[start:start + 64], None] + sizes[None, held])
+        links_at += [(held2[start + i], held[j]) for i, j in np.argwhere(near)]
     top: dict = {}
 
     def root(x):
@@ -291,7 +304,7 @@ def compare_blocks(nodes: list, labels: list, nodes2: list, labels2: list, items
         return x
 
     links = []
-    for i, j in np.argwhere(near):
+    for i, j in links_at:
         x, y = root(labels2[i]), root(labels[j])
         if x != y:
             top[max(x, y)] = min(x, y)

@@ -17,6 +17,8 @@ belongs to the host ""; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -28,10 +30,11 @@ from axlewatch.operators.segments import sized_broadcast
 from axlewatch.session import checkpointed
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"
-TOKEN = re.compile(
-    r"""<(?:!--(?s:.*?)(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)"""
-    r"""((?:[^>"']|"[^"]{0,2000}"|'[^']{0,2000}')*+|[^>]*)>)""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+TOKEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+TAG_END = re.compile(r"""((?:[^>"']+|"[^"]*"|'[^']*')*+)>""")
+TAG_SIGN = re.compile(r"""[>"']""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+READ = frozenset("class id role hidden aria-hidden style".split())
 
 # fixed values of the markup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +48,7 @@ ENDS_PARAGRAPH = frozenset(
     "header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_ENDING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
                "th": ("td", "th"), "option": ("option",)}
+LISTS = frozenset("ul ol dl table select".split())
 DROPPED = frozenset(
     "nav footer aside form script style noscript template button select textarea iframe svg math object embed canvas "
     "dialog menu head title audio video".split())
@@ -71,7 +75,8 @@ def element(tag: str, attributes: str) -> Element:
     found = {}
     if attributes and not attributes.isspace():
         for name, value in ATTRIBUTE.findall(attributes):
-            found.setdefault(name.lower(), value.strip("\"'"))
+            if name.lower() in READ:
+                found.setdefault(name.lower(), value.strip("\"'"))
     marks = " ".join(found[n] for n in ("class", "id") if n in found)
     dropped = (tag in DROPPED or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
                or found.get("role", "").lower() in ROLES
@@ -80,53 +85,122 @@ def element(tag: str, attributes: str) -> Element:
     return Element(tag, marks, dropped)
 
 
+class Stack:
+    """The open elements. What a tag may close is found without walking over the others."""
+
+    def __init__(self, root: Element) -> None:
+        self.open = [root]
+        self.count: Counter = Counter()     # of open elements by tag
+        self.outer: list[int] = []          # depths of those that are not inline
+        self.listed: list[int] = []         # depths of those that end by themselves, and of lists
+
+    def push(self, node: Element) -> None:
+        depth = len(self.open)
+        self.open.append(node)
+        self.count[node.tag] += 1
+        if node.tag not in INLINE:
+            self.outer.append(depth)
+        if node.tag in SELF_ENDING or node.tag in LISTS:
+            self.listed.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Ends the elements from this depth on."""
+        for node in self.open[depth:]:
+            self.count[node.tag] -= 1
+        del self.open[depth:]
+        for depths in (self.outer, self.listed):
+            while depths and depths[-1] >= depth:
+                depths.pop()
+
+    def close(self, tag: str) -> None:
+        if self.count[tag]:
+            depth = len(self.open) - 1
+            while self.open[depth].tag != tag:
+                depth -= 1
+            self.cut(depth)
+
+    def make_room(self, tag: str) -> None:
+        """Ends the paragraph, list item or cell that such an element cannot be in."""
+        if tag in ENDS_PARAGRAPH:
+            if self.outer and self.open[self.outer[-1]].tag == "p":
+                self.cut(self.outer[-1])
+        elif tag in SELF_ENDING:
+            for depth in reversed(self.listed):
+                if self.open[depth].tag in SELF_ENDING[tag]:
+                    self.cut(depth)
+                    break
+                if self.open[depth].tag in LISTS:
+                    break
+
+
+class TagEnds:
+    """Where a tag's last sign is: the first > outside quotes, else the first > at all; linear in the page."""
+
+    def __init__(self, html: str) -> None:
+        self.html = html
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def after(self, at: int) -> int:
+        if self.places is None:
+            if found := TAG_END.match(self.html, at):
+                return found.end() - 1
+            # an open quote: no such scan again, all ends are found at once, from the last sign back
+            self.places = [m.start() for m in TAG_SIGN.finditer(self.html)]
+            self.ends = [-1] * (len(self.places) + 1)
+            later: dict[str, int] = {}
+            for i in range(len(self.places) - 1, -1, -1):
+                sign = self.html[self.places[i]]
+                if sign == ">":
+                    self.ends[i] = self.places[i]
+                else:
+                    self.ends[i] = self.ends[later[sign] + 1] if sign in later else -1
+                    later[sign] = i
+        end = self.ends[bisect_left(self.places, at)]
+        return end if end >= 0 else self.html.find(">", at)
+
+
 def parse(html: str) -> Element:
-    """The element tree; unclosed elements end where their parents do."""
-    root = Element("")
-    stack, at = [root], 0
+    """The element tree; unclosed elements end where their parents do. Time is linear in the page, whatever it holds."""
+    stack, ends = Stack(Element("")), TagEnds(html)
+    root, at, last = stack.open[0], 0, html.rfind(">")
+    scripts_end: dict[str, re.Pattern] = {}
+    begin = 0       # of the text not yet taken
     while found := TOKEN.search(html, at):
-        if found.start() > at:
-            stack[-1].items.append(html[at:found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        comment = found[0] == "<!--"
+        if found.end() > last and not comment:
+            # no tag ends any more, a comment may begin
+            at = html.find("<!--", found.start() + 1)
+            if at < 0:
+                break
             continue
-        if found[1]:
-            if tag == "br":
-                stack[-1].items.append(" ")
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    del stack[depth:]
-                    break
+        if found.start() > begin:
+            stack.open[-1].items.append(html[begin:found.start()])
+        if comment:
+            end = html.find("-->", found.end())
+            begin = at = end + 3 if end >= 0 else len(html)
             continue
+        tag = (found[2] or "").lower()
+        end = ends.after(found.end()) if tag else html.find(">", found.end())
+        begin = at = end + 1
         if tag == "br":
-            stack[-1].items.append(" ")
-            continue
-        if tag in ENDS_PARAGRAPH:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == "p":
-                    del stack[depth:]
-                    break
-                if stack[depth].tag not in INLINE:
-                    break
-        elif tag in SELF_ENDING:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in SELF_ENDING[tag]:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in ("ul", "ol", "dl", "table", "select"):
-                    break
-        node = element(tag, found[3])
-        stack[-1].items.append(node)
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-            node.items.append(html[at:close.start() if close else len(html)])
-            at = close.end() if close else len(html)
-        elif tag not in VOID:
-            stack.append(node)
-    if at < len(html):
-        stack[-1].items.append(html[at:])
+            stack.open[-1].items.append(" ")
+        elif found[1]:
+            stack.close(tag)
+        elif tag:
+            stack.make_room(tag)
+            node = element(tag, html[found.end():end])
+            stack.open[-1].items.append(node)
+            if tag in RAW:
+                if tag not in scripts_end:
+                    scripts_end[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+                close = scripts_end[tag].search(html, at, last + 1)
+                node.items.append(html[at:close.start() if close else len(html)])
+                begin = at = close.end() if close else len(html)
+            elif tag not in VOID:
+                stack.push(node)
+    if begin < len(html):
+        stack.open[-1].items.append(html[begin:])
     return root
 
 

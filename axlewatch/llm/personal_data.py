@@ -41,6 +41,7 @@ NUMBER = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().-]{0,3}[0-9]){6,24}(?![0-9
 SPELLED = re.compile(
     r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})\x20?[\[(]\x20?(?:at|AT|@)\x20?[\])]\x20?"
     r"[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[\[(](?:dot|DOT|\.)[\])]\x20?)[A-Za-z0-9-]{1,63}){1,4}")
+RUN = re.compile(r"[A-Za-z0-9._%+-]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 FEATURES = 16
 STATES = len(KINDS) + 1     # the last one is "none"
@@ -92,13 +93,14 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """(start, end, base kind or "none", key of the skip links), in order and without overlaps."""
     taken = [(a, b, k, mail_key(text[a:b]) if k == 0 else NOT_DIGIT.sub("", text[a:b])[-7:]) for a, k, b in base]
     boxes = {text[a:b].split("@")[0] for a, k, b in base if k == 0}
+    boxes = {box for box in boxes if len(box) >= 6 and not box.isdigit()}
     more = [(m.start(), m.end(), NOT_DIGIT.sub("", m[0])[-7:]) for m in NUMBER.finditer(text)]
     if "[" in text or "(" in text:
         more += [(m.start(), m.end(), "@" + m[1].lower()) for m in SPELLED.finditer(text)]
-    for box in boxes:
-        if len(box) >= 6 and not box.isdigit():
-            for m in re.finditer(rf"(?<![A-Za-z0-9._%+-]){re.escape(box)}(?![A-Za-z0-9._%+@-])", text):
-                more.append((m.start(), m.end(), "@" + box.lower()))
+    if boxes:
+        # all mailbox names in one pass over whole runs
+        more += [(m.start(), m.end(), "@" + m[0].lower()) for m in RUN.finditer(text)
+                 if m[0] in boxes and text[m.end():m.end() + 1] != "@"]
     out, ends = list(taken), np.array([s[1] for s in taken], dtype=np.int64)
     starts = np.array([s[0] for s in taken], dtype=np.int64)
     reach = np.maximum.accumulate(ends) if len(ends) else ends

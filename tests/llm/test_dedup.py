@@ -107,6 +107,7 @@ def test_near_duplicates(spark, monkeypatch, seed, few):
     """Whether few or many classes are left in a bucket, no link is lost."""
     monkeypatch.setattr(N, "FEW", few)
     monkeypatch.setattr(N, "BLOCK_ITEMS", 3000)     # several blocks
+    monkeypatch.setattr(N, "BLOCK_CLASSES", 40)
     texts = family(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = N.near_duplicates(docs).collect()
@@ -117,6 +118,39 @@ def test_near_duplicates(spark, monkeypatch, seed, few):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, w in want.items() if w[2])
 
 
+def test_many_short_texts_of_one_bucket(spark):
+    """A block bounds its classes, not only their shingles; strangers of a bucket cost little."""
+    texts = [f"thanks for reading this post n{i}" for i in range(9000)]
+    texts += ["thanks for reading this post n7 " + "more words of it here x y z " * 2 + e for e in ("a", "b")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs).collect()}
+    assert got == {i: min(i, 9000) for i in range(9002)}
+
+
+def test_blocks_state_all_links():
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(120)]
+    items = pa.array([s.tolist() for s in sets], pa.list_(pa.uint64()))
+    names = [bytes([i]) for i in range(120)]
+    # with a component for each class, what is passed on joins the same classes as all links
+    links = N.compare_blocks(names, list(range(120)), names, list(range(120)), items, items, 75)
+    top = list(range(120))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        assert 100 * len(np.intersect1d(sets[a[0]], sets[b[0]])) >= 75 * len(np.union1d(sets[a[0]], sets[b[0]]))
+        top[root(a[0])] = root(b[0])
+    for i in range(120):
+        for j in range(i):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j])):
+                assert root(i) == root(j)
+
+
 @pytest.mark.parametrize("few", [4, 10**6])
 def test_near_duplicates_among_documents_of_other_sizes(spark, monkeypatch, few):
     """Two similar texts meet although both centres of every bucket of theirs are of dissimilar size."""

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -65,6 +66,18 @@ def test_long_runs_take_linear_time(text):
     S.secret_spans(text, S.keyword_automaton())
 
 
+def test_mailbox_names_in_one_pass():
+    text = "alice.b@x.org, alice.b; alice.bc (alice.b) alice.b@ -alice.b 1234567@x.org 1234567 Alice.b alice.b"
+    base = P.base_spans(text)
+    found = [(a, b) for a, b, k, key in P.candidates(text, base) if key == "@alice.b" and k == P.STATES - 1]
+    plain = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9._%+-])alice\.b(?![A-Za-z0-9._%+@-])", text)]
+    assert found == plain and len(found) == 3
+    many = " ".join(f"person{i}@host{i}.org" for i in range(40_000))
+    start = time.monotonic()
+    assert len(P.candidates(many, P.base_spans(many))) == 40_000
+    assert time.monotonic() - start < 10
+
+
 def field():
     rows = []
     for i in range(60):

@@ -1,6 +1,7 @@
 """Packing, toxicity, language models, benchmark leaks, pages, graph search and the pipeline."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -216,14 +217,14 @@ def test_bit_parallel_distance():
     for _ in range(200):
         a = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 90)))
         b = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 120)))
-        assert D.Item.of([1], a, 0.1, 0).distance(b) == edit_distance(a, b)
+        assert D.Item.of([1], a, 0.1).distance(b) == edit_distance(a, b)
 
 
 @pytest.mark.parametrize("block_chars", [10**6, 300])
 def test_leaks_within_the_budget_are_found(spark, block_chars):
     rng = random.Random(4)
     item = lambda: " ".join(f"{rng.choice('bdfgk')}{rng.choice('aeiou')}{rng.randrange(50)}" for _ in range(30))
-    items = [item() for _ in range(8)] + [None, "", "tiny item", item()]
+    items = [item() for _ in range(8)] + [None, "", "tiny item", item(), "short item of letters", "tiny item"]
     items[11] = items[0]
     rows, want = [], set()
     for i in range(60):
@@ -236,14 +237,16 @@ def test_leaks_within_the_budget_are_found(spark, block_chars):
             text.insert(1, "".join(leak).upper().replace(" ", " ,\n"))
             want |= {(i, k)} | ({(i, 11)} if k == 0 else set())
         rows.append((i, " ".join(text)))
-    docs = spark.createDataFrame([*rows, (60, None), (61, "a Tiny, item!"), (62, "tinyitem")], "doc_id long, text string")
-    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame([*rows, (60, None), (61, "a Tiny, item!"), (62, "tinyitem tiny items"),
+                                  (63, "a short itm of letters"), (64, "a shrt itm of letters")], "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (0, items[0]), (0, items[0])], "item_id long, text string")
+    rows += [(63, "a short itm of letters"), (64, "a shrt itm of letters")]
     got = {(r["doc_id"], r["item_id"]) for r in D.find_leaks(docs, bench, block_chars=block_chars).collect()}
     plain = {i: D.plain(t) for i, t in enumerate(items)}
-    brute = {(d, i) for d, t in rows for i, p in plain.items() if p and len(p) >= 34
+    brute = {(d, i) for d, t in rows for i, p in plain.items() if int(0.06 * len(p))
              and edit_distance(p, D.plain(t)) <= int(0.06 * len(p))}
-    assert got == brute | {(61, 10)} and want <= got
-    assert {r["doc_id"] for r in D.drop_leaks(docs, bench, block_chars=block_chars).collect()} == set(range(63)) - {d for d, _ in got}
+    assert got == brute | {(61, 10), (61, 13)} and want <= got and (63, 12) in got
+    assert {r["doc_id"] for r in D.drop_leaks(docs, bench, block_chars=block_chars).collect()} == set(range(65)) - {d for d, _ in got}
 
 
 def test_odd_rows_have_no_leaks(spark, odd_documents):
@@ -266,6 +269,24 @@ def test_main_text():
     assert H.page_text("<p>1 < 2 &amp; 3 &#233;<p>") == "1 < 2 & 3 é" and H.page_text("") == ""
 
 
+def test_marks_are_attributes_not_words():
+    long = "a" * 5_000
+    assert H.page_text(f'<p data-x="{long}>junk">hello') == "hello"
+    assert H.page_text('<p title="hidden gem" data-hidden="x">seen</p><p hidden>not</p>') == "seen"
+    assert H.page_text('<p x="open>text</p><p>more') == "text\nmore"
+    assert H.page_text("a<!-- <p> x") == "a" and H.page_text("1 > 0 <a <!-- x") == "1 > 0 <a"
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 330_000, "<div>" * 80_000 + "</x>" * 80_000, "<a b='\">" * 120_000, "<!" * 500_000,
+    "<script>" + "</script " * 100_000, "<p><x><b>" + "<b>" * 80_000 + "<hr>" * 80_000,
+    "<li><ul>" + "<div>" * 80_000 + "<li></li>" * 50_000, "<p " + "id " * 330_000 + ">x"])
+def test_odd_markup_takes_linear_time(html):
+    start = time.monotonic()
+    H.page_text(html, frozenset([1]))
+    assert time.monotonic() - start < 10
+
+
 def test_site_templates_go(spark):
     rows = [(i, f"https://a.org/{i}", PAGE.format(extra="<div>Read our terms</div>") .replace("One", f"One {i}")) for i in range(8)]
     rows += [(20 + i, f"http://b.org/{i}", PAGE.format(extra="<div>Read our terms</div>").replace("One", f"One {i}")) for i in range(2)]
@@ -313,6 +334,48 @@ def test_recall_ties_and_odd_vectors(spark):
     assert [r["vec_id"] for r in G.nearest_neighbours(few).collect() if r["query_id"] == 0].__len__() == 2
 
 
+def recall_of(found, vectors, top=20):
+    """Share of the nearest by brute force that was found; found: query -> ids."""
+    hits = total = 0
+    for q, ids in found.items():
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        true = np.argpartition(-scores, top)[:top]
+        hits, total = hits + len(set(true.tolist()) & set(ids)), total + top
+    return hits / total
+
+
+@pytest.mark.parametrize("norms", ["one large", "spread", "huge"])
+def test_recall_does_not_hang_on_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    if norms == "one large":
+        base[17] *= 1e4
+    elif norms == "spread":
+        base *= rng.uniform(1, 3, (3000, 1))
+    else:
+        base *= 1e150
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in G.nearest_neighbours(table, least_shards=2).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(found) == 150 and recall_of(found, base) >= 0.95
+
+
+def test_recall_of_a_full_shard_without_clusters():
+    """A shard of half the default size; figures of a full one are in the README."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(10_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    edges, entries = G.build_graph(G.lifted(base))
+    points, asked = G.padded(G.lifted(base), 0), base[:10_000:200]
+    flat = np.column_stack([asked, np.zeros(len(asked))]).astype(np.float32)
+    near, _ = G.beam_search(points, np.einsum("ij,ij->i", points, points), G.padded(edges, -1), entries, flat,
+                            G.wide(G.SEARCH_BEAM, len(base)))
+    assert recall_of({200 * i: n[1:21].tolist() for i, n in enumerate(near)}, base) >= 0.95
+
+
 # ---------------------------------------------------------------- queries
 
 def test_pipeline_stages_take_effect(spark):

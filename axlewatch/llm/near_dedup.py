@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axlewatch.llm.base import row_key, stored
+from axlewatch.llm.base import lean, row_key, stored, texts_in_turn
 from axlewatch.llm.components import connected_components
 
 SHINGLE = 5
@@ -99,8 +99,8 @@ def described(docs: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             nodes, sizes, keys = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = shingles(text or "", hashes)
+            for text in texts_in_turn(batch.column(2)):
+                found = shingles(text, hashes)
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 sizes.append(len(found))
                 keys.append(band_keys(signature(found)) if len(found) else np.empty(0, np.int64))
@@ -112,7 +112,7 @@ def described(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.select("doc_id", row_key("doc_id", "text").alias("row"), "text").mapInArrow(
-        run, "doc_id long, row long, node binary, n_shingles long, bands array<long>")
+        lean(run), "doc_id long, row long, node binary, n_shingles long, bands array<long>")
 
 
 # ---------------------------------------------------------------- sets of the classes in question
@@ -159,8 +159,8 @@ def class_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             nodes, items = [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingles(text or "", hashes)
+            for node, text in zip(batch.column(0).to_pylist(), texts_in_turn(batch.column(1)), strict=True):
+                found = shingles(text, hashes)
                 if xxhash.xxh3_128_digest(found.tobytes()) == node:
                     nodes.append(node)
                     items.append(found.view(np.int64))
@@ -174,7 +174,7 @@ def class_sets(docs: DataFrame, need: DataFrame) -> DataFrame:
                        F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(likely, "row long, text string")
     # equal rows share a key, so one of them is enough
-    return (rows.join(need, "row").select("node", "text").mapInArrow(run, "node binary, items array<long>")
+    return (rows.join(need, "row").select("node", "text").mapInArrow(lean(run), "node binary, items array<long>")
             .dropDuplicates(["node"]))
 
 
@@ -193,7 +193,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
 
     return (pairs.join(sets.select(F.col("node").alias("b"), F.col("items").alias("right")), "b")
             .join(sets.select(F.col("node").alias("a"), F.col("items").alias("left")), "a")
-            .select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary"))
+            .select("a", "b", "left", "right").mapInArrow(lean(run), "a binary, b binary"))
 
 
 def similar_size(small: str, large: str, percent: int = 75):

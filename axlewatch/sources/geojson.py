@@ -92,13 +92,15 @@ def scan_shapes(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = _features(spark, path, schemas.DISTRICTS_GEOJSON).select(
         "ord", N.display_name(F.col("f.properties.shapeName")).alias("name"), F.col("f.geometry").alias("geometry"))
-    one = F.from_json("geometry", schemas.GEOMETRY)
-    parts = F.coalesce(one["geometries"], F.array(F.struct(one["type"].alias("type"), one["coordinates"].alias("coordinates"))))
+    parts = X.once(F.from_json("geometry", schemas.GEOMETRY), lambda one: F.coalesce(one["geometries"], F.array(F.struct(
+        one["type"].alias("type"), one["coordinates"].alias("coordinates")))))
     outlines = F.transform(F.flatten(F.transform(parts, _polygons)), lambda polygon: F.filter(
         F.transform(polygon, lambda ring: _rounded(ring, 5)), lambda ring: F.size(ring) >= 4))
-    return rows.select(
-        "ord", "name", X.shape_bbox(F.try_parse_json("geometry")).alias("box"),
-        F.filter(outlines, lambda polygon: F.size(polygon) > 0).alias("polygons"))
+    # generated columns are computed once, whatever filters and projections follow; a filter on the box comes before the polygons
+    boxed = rows.select("ord", "name", "geometry", F.inline(F.array(F.struct(
+        X.shape_bbox(F.try_parse_json("geometry")).alias("box")))))
+    return boxed.select("ord", "name", "box", F.inline(F.array(F.struct(
+        F.filter(outlines, lambda polygon: F.size(polygon) > 0).alias("polygons")))))
 
 
 def scan_districts(spark: SparkSession, path: str) -> DataFrame:

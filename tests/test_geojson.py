@@ -110,6 +110,16 @@ def test_an_island_of_a_kept_district_stays(spark, tmp_path):
     assert [(r["name"], r["vertices"], len(r["polygons"])) for r in stored] == [("Coast", 8, 2)]
 
 
+def test_boxes_and_polygons_are_computed_once(spark, tmp_path):
+    (tmp_path / "d.json").write_text("\n".join(map(json.dumps, many(5))) + "\n")
+    extent = spark.createDataFrame([(2.0, 0.0, 2.5, 1.0)], "min_lon double, min_lat double, max_lon double, max_lat double")
+    near = N.bbox_intersects(geojson.scan_shapes(spark, f"{tmp_path}/d.json"), extent).where(F.size("polygons") > 0)
+    assert [r["name"] for r in near.orderBy("name").collect()] == ["D1", "D2"]
+    text = near.select("name", "box", F.size("polygons"), "polygons")._jdf.queryExecution().optimizedPlan().toString()
+    # each of the two steps down a geometry reads it once, above and below a filter together
+    assert text.count("parseJson") == 1 and text.count("MultiPolygon") == 1, text
+
+
 def test_a_line_is_of_the_kind_of_its_first_station(spark):
     rows = [("A", 0, "Metro"), ("A", 1, "Teleferik"), ("B", 3, "Teleferik"), ("B", 4, "Metro"), ("C", 0, None), ("C", 1, "Teleferik")]
     df = spark.createDataFrame(rows, "line_id string, seq long, kind string")

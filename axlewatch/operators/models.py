@@ -20,7 +20,7 @@ from axlewatch.functions import exprs as X
 from axlewatch.operators.segments import Timeline, exact_percentile, global_rank
 from axlewatch.operators.windows import fit_val_split, sliding_sequences
 from axlewatch.schemas import FEATURES, SEVERITIES, WINDOW_ROWS, WINDOW_STRIDE
-from axlewatch.session import checkpointed
+from axlewatch.session import checkpointed, stored
 
 SMOOTHING = 0.5          # fixed value: exponent that softens inverse-frequency weights
 BOTTLENECK = 16          # fixed value: width of the anomaly bottleneck
@@ -100,6 +100,11 @@ def window_vectors(line: Timeline, scaler: Scaler, size: int = WINDOW_ROWS,
         "severity_code", X.severity_code(F.col("fault_severity"))).drop("window")
 
 
+def stored_windows(windows: DataFrame, *columns: str) -> DataFrame:
+    """Vectors with labels and `columns`, stored: a fit reads its windows four times, and each time would build them again."""
+    return stored(windows.select("sample_id", "fault_type", "severity_code", *columns, "features"), "windows")
+
+
 def vectors_of(windows: DataFrame, model: FaultModel) -> DataFrame:
     """Vectors of windows that a stream has already collected (and scaled)."""
     full = F.size("window") == model.window

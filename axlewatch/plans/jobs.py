@@ -44,9 +44,9 @@ def train(spark: SparkSession, path: str, max_iter: int = 50) -> tuple[M.FaultMo
     """Fits both classifiers and the anomaly layer on the train part, and saves them."""
     line = timeline(part(spark, path, "train"))
     scaler = M.fit_scaler(line.rows)
-    split = M.window_vectors(line, scaler, split=True)
+    split = M.stored_windows(M.window_vectors(line, scaler, split=True), "part")
     fault = M.fit_fault_model(split.where("part = 'fit'"), scaler, max_iter)
-    anomaly = M.fit_anomaly_model(M.window_vectors(line, scaler), scaler=scaler)
+    anomaly = M.fit_anomaly_model(M.stored_windows(M.window_vectors(line, scaler), "axle_key"), scaler=scaler)
     fault.save(spark, f"{path}/model/fault")
     anomaly.save(spark, f"{path}/model/anomaly")
     return fault, anomaly

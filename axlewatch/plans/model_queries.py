@@ -99,7 +99,7 @@ def score_models(spark, d):
     """Both classifiers fitted on the first part of each axle, scoring the rest."""
     line = adapt.telemetry_timeline(spark, d)
     scaler = M.fit_scaler(line.rows)
-    both = M.window_vectors(line, scaler, split=True)
+    both = M.stored_windows(M.window_vectors(line, scaler, split=True), "part")
     model = M.fit_fault_model(both.where("part = 'fit'"), scaler, max_iter=20)
     out = M.score_models(both.where("part = 'val'"), model)
     given = lambda names, label, probs: F.get(
@@ -127,6 +127,7 @@ def score_anomalies(spark, d):
     The threshold is the 99th percentile of the held-out normal windows, so the number of those it flags is known.
     """
     rows, scaler = windows(spark, d)
+    rows = M.stored_windows(rows, "axle_key")
     model = M.fit_anomaly_model(rows, scaler=scaler)
     out = M.holdout_split(M.score_anomalies(rows.withColumn("pred", F.col("fault_type")), model, scaler)).select(
         "sample_id", "fault_type", "anomaly", "anomaly_error", "anomaly_score", "unknown_anomaly", "holdout")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from axlewatch.operators import models as M
 from axlewatch.operators import scoring as S
 from axlewatch.operators.segments import Timeline
+from axlewatch.plans.catalog import QUERIES
 from axlewatch.schemas import FEATURES
 
 TICKS, AXLES = 200, 12
@@ -108,3 +109,19 @@ def test_codes_and_weights_from_counts(spark):
     counts = known.groupBy("c").agg(F.count("*").alias("rows")).withColumnRenamed("rows", "k")
     shown = lambda w: sorted(map(tuple, w.collect()))
     assert shown(M.class_weights(counts, "c", counted="k")) == shown(M.class_weights(known, "c"))
+
+
+@pytest.mark.parametrize("name,fit", [("score_models", "fit_fault_model"), ("score_anomalies", "fit_anomaly_model")])
+def test_windows_of_a_fit_are_built_once(spark, tmp_path, monkeypatch, name, fit):
+    n, kinds = F.col("id"), F.array(*map(F.lit, ["view", "purchase", "error", "click"]))
+    spark.range(80 * 30).select(
+        n.alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + n * 60).alias("ts"), (n % 30).alias("user_id"),
+        F.get(kinds, (n * 7 % 11 % 4).cast("int")).alias("event_type"), (n * 37 % 200 + n % 7 / 7).alias("value"),
+        F.concat(F.lit('{"k": '), (n * 13 % 97).cast("string"), F.lit("}")).alias("props")).write.parquet(f"{tmp_path}/events.parquet")
+    real, seen = getattr(M, fit), []
+    monkeypatch.setattr(M, fit, lambda windows, *a, **k: (seen.append(windows), real(windows, *a, **k))[1])
+    out = QUERIES[name](spark, str(tmp_path))
+    # 68 rows of an axle train and 12 are left, which give two windows; anomalies take all 36
+    assert out.count() == {"score_models": 30 * 2, "score_anomalies": 30 * 36}[name]
+    text = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and "windowspecdefinition" not in text(seen[0]) and "windowspecdefinition" not in text(out)

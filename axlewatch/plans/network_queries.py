@@ -14,7 +14,7 @@ from axlewatch.plans import adapt
 from axlewatch.plans.alarm_queries import defects, stations
 from axlewatch.plans.common_sql import bucket, haversine
 from axlewatch.plans.registry import query
-from axlewatch.session import shared_folder
+from axlewatch.session import shared_folder, stored
 from axlewatch.sources import files, geojson
 
 
@@ -133,6 +133,11 @@ def episodes(spark, d):
         (5 + F.col("o_orderkey") % 10).alias("len_steps"), kind.alias("fault_type"))
 
 
+def numbered(spark, d):
+    """Places of the readings in their series, numbered once: the join reads them twice."""
+    return stored(with_ordinal(adapt.telemetry_timeline(spark, d)).rows.select("sample_id", "axle_key", "seq"), "numbered")
+
+
 @query("episode_label_join", needs="tele", sql=f"""
 WITH p AS (SELECT sample_id, axle_key, row_number() OVER (PARTITION BY axle_key ORDER BY "timestamp", sample_id) - 1 AS seq FROM tele),
 ep AS (SELECT 'T'||(o_custkey//10//4)||'/V'||((o_custkey//10%4)//2+1)||'-A'||(o_custkey//10%2+1) AS axle_key, o_orderkey AS ord,
@@ -145,8 +150,7 @@ l AS (SELECT *, coalesce(CASE WHEN (seq-s)/CAST(n AS DOUBLE) < 0.5 THEN least(1.
 SELECT sample_id, axle_key, lev AS episode_level, CASE WHEN lev > 0.1 THEN kind ELSE 'normal' END AS episode_label,
   {bucket('lev')} AS episode_severity FROM l""")
 def episode_label_join(spark, d):
-    rows = with_ordinal(adapt.telemetry_timeline(spark, d)).rows.select("sample_id", "axle_key", "seq")
-    return J.episode_label_join(rows, episodes(spark, d)).drop("seq")
+    return J.episode_label_join(numbered(spark, d), episodes(spark, d)).drop("seq")
 
 
 @query("episodes_of_any_length", needs="tele", sql="""
@@ -157,10 +161,9 @@ SELECT p.sample_id, p.axle_key, min_by(ep.s, ord) AS start_step, min_by(ep.n, or
 FROM p LEFT JOIN ep ON p.axle_key=ep.axle_key AND s <= seq AND seq < s+n GROUP BY ALL""")
 def episodes_of_any_length(spark, d):
     """Overlapping episodes of one to a million steps; the first listed one covers a row."""
-    rows = with_ordinal(adapt.telemetry_timeline(spark, d)).rows.select("sample_id", "axle_key", "seq")
     long = episodes(spark, d).withColumns({
         "ord": F.col("ord") * 31 % 1_000_003, "len_steps": F.pow(F.lit(2.0), F.col("ord") % 21).cast("long")})
-    return J.episode_label_join(rows, long, keep=True).select("sample_id", "axle_key", "start_step", "len_steps")
+    return J.episode_label_join(numbered(spark, d), long, keep=True).select("sample_id", "axle_key", "start_step", "len_steps")
 
 
 @query("axle_line_map", needs="tele", sql="""

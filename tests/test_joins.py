@@ -56,3 +56,53 @@ def test_joins_without_any_interval(spark):
     none = spark.createDataFrame([], DEFECTS)
     rows = spark.createDataFrame([(1, "L1", 2.0)], "i long, line_id string, track_km double")
     assert nearest_defect(rows, none).first()["defect_id"] is None
+
+
+EPISODES = "axle_key string, ord long, start_step long, len_steps long, fault_type string"
+
+
+def plain_cover(episodes, axle, step):
+    return min((e[1:] for e in episodes if e[0] == axle and e[2] <= step < e[2] + e[3]), default=None)
+
+
+@pytest.mark.parametrize("limit", ["200000", "1"])
+def test_episodes_of_any_length_in_blocks(spark, limit):
+    """Short and long episodes over sparse steps on both sides of zero; equal places in the list; broadcast or not."""
+    rng = random.Random(3)
+    episodes = [(f"a{i % 3}", rng.randrange(150), rng.randrange(-400, 40_000), 2 ** rng.randrange(21), rng.choice("xyz")) for i in range(300)]
+    episodes += [("a0", 200 + i, 5 - i, 1 << 40, "w") for i in range(3)] + [("a1", 1, 7, 0, "never"), (None, 0, 0, 10, "x"), ("a1", 0, None, 3, "x")]
+    steps = [*range(-300, 300, 3), *(rng.randrange(3_000_000) for _ in range(300))]
+    rows = [(i, f"a{i % 4}", s) for i, s in enumerate(steps)] + [(9000, None, 3), (9001, "a1", None)]
+    spark.conf.set("axlewatch.broadcast.rows", limit)
+    try:
+        got = {r["i"]: r for r in J.episode_label_join(
+            spark.createDataFrame(rows, "i long, axle_key string, seq long"), spark.createDataFrame(episodes, EPISODES), keep=True).collect()}
+    finally:
+        spark.conf.unset("axlewatch.broadcast.rows")
+    assert len(got) == len(rows)
+    sound = [e for e in episodes if e[0] and e[2] is not None]
+    for i, axle, step in rows:
+        want = plain_cover(sound, axle, step) if axle and step is not None else None
+        assert (got[i]["start_step"], got[i]["len_steps"]) == (want[1:3] if want else (None, None)), (i, axle, step)
+
+
+def test_long_episodes_add_no_shuffle_of_the_rows(spark):
+    """Rows meet one list per level of 128, whatever the lengths; a list holds what can cover a step first."""
+    episodes = spark.range(20_000).select(
+        F.lit("a").alias("axle_key"), (F.col("id") * 7919 % 20_011).alias("ord"), (F.col("id") % 60).alias("start_step"),
+        F.pow(F.lit(2.0), F.col("id") % 21).cast("long").alias("len_steps"), F.lit("x").alias("fault_type"))
+    rows = spark.range(100).select(F.lit("a").alias("axle_key"), F.col("id").alias("seq"))
+    out = J.episode_label_join(rows, episodes, keep=True)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 1
+    index = J.FirstCover(episodes, "axle_key", F.col("start_step"), F.col("start_step") + F.col("len_steps") - 1, F.struct("ord"), 0, 99)
+    assert index.table.agg(F.max(F.size("_items"))).first()[0] < 128
+    plain = [tuple(r) for r in episodes.collect()]
+    for r in out.collect():
+        assert (r["start_step"], r["len_steps"]) == plain_cover(plain, "a", r["seq"])[1:3]
+
+
+def test_episodes_of_no_rows_and_rows_of_no_episodes(spark):
+    rows, none = spark.createDataFrame([("a", 3)], "axle_key string, seq long"), spark.createDataFrame([], EPISODES)
+    assert J.episode_label_join(rows, none).first()["episode_label"] == "normal"
+    one = spark.createDataFrame([("a", 1, 0, 10, "x")], EPISODES)
+    assert J.episode_label_join(rows.where("seq > 3"), one).count() == 0
